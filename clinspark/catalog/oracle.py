@@ -238,14 +238,22 @@ _ALIGN = """FROM stat st LEFT JOIN vit v ON st.subject_id = v.subject_id AND st.
 
 
 def _extended(final: str, no_death: bool = False) -> str:
-    joined = f"""SELECT st.subject_id, st.hadm_id, {_STATIC_NAMES}, {stay_names(_MORE_STATS, 'v')}, i.vent, i.vaso,
+    # The exact means ride along for the BMI and its flags.
+    means = {"weight_mean": "wm", "height_mean": "hm", "hemoglobin_mean": "gm"}
+    exact = ", ".join(f"AVG({c.removesuffix('_mean')}) AS {a}" for c, a in means.items())
+    vit, itv = extract_steps(_MORE_STATS, _IN_CHOSEN)
+    vit = (vit[0], vit[1].replace(" FROM hourly", f", {exact} FROM hourly"))
+    bmi_flags = _BMI_FLAGS
+    for column, alias in means.items():
+        bmi_flags = bmi_flags.replace(column, alias)
+    joined = f"""SELECT st.subject_id, st.hadm_id, {_STATIC_NAMES}, {stay_names(_MORE_STATS, 'v')}, v.wm, v.hm, v.gm, i.vent, i.vaso,
       {', '.join(f'sev.{s}' for s in _SCORES)}, aki.aki_42hr {_ALIGN}
       JOIN sev ON st.subject_id = sev.subject_id AND st.hadm_id = sev.hadm_id
       LEFT JOIN aki ON st.subject_id = aki.subject_id AND st.hadm_id = aki.hadm_id"""
     steps = (
         cohort_steps("ev_hosps", "ev_cohort", no_death=no_death) + [_STATIC_STEP]
-        + extract_steps(_MORE_STATS, _IN_CHOSEN) + severity_steps("ev_severity") + _AKI_STEPS
-        + [("joined", joined), ("extended", f"""SELECT *, {_BMI_FLAGS}, {big('CASE WHEN "admission_type_EMERGENCY" = 1 OR "admission_type_URGENT" = 1 THEN 1 ELSE 0 END', 'emergency_or_urgent_admission')} FROM joined""")]
+        + [vit, itv] + severity_steps("ev_severity") + _AKI_STEPS
+        + [("joined", joined), ("extended", f"""SELECT * EXCLUDE (wm, hm, gm), {bmi_flags}, {big('CASE WHEN "admission_type_EMERGENCY" = 1 OR "admission_type_URGENT" = 1 THEN 1 ELSE 0 END', 'emergency_or_urgent_admission')} FROM joined""")]
     )
     return with_views(_EXTRACT_VIEWS + ["stay", "kdigo", "ev_severity"], steps, final)
 

@@ -164,14 +164,15 @@ def score_histogram(scored: DataFrame, score: str = "score", bins: int = 100) ->
         F.struct(F.lit("False").alias("series"), (F.lit(1.0) - p).alias("v")),
         F.struct(F.lit("True").alias("series"), p.alias("v")),
     )
-    limits = scored.agg(
-        F.least(F.min(p), F.lit(1.0) - F.max(p)).alias("lo"), F.greatest(F.max(p), F.lit(1.0) - F.min(p)).alias("hi")
-    )
+    low, high = F.least(F.min(p), F.lit(1.0) - F.max(p)), F.greatest(F.max(p), F.lit(1.0) - F.min(p))
+    # A single value gets a range of width 1 around it.
+    margin = F.when(low == high, 0.5).otherwise(0.0)
+    limits = scored.agg((low - margin).alias("lo"), (high + margin).alias("hi"))
     ranged = scored.select(F.inline(both)).where("v IS NOT NULL").withColumns(
         {"lo": limits.select("lo").scalar(), "hi": limits.select("hi").scalar()}
     )
     width = (F.col("hi") - F.col("lo")) / bins
-    guess = F.least(F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("lo"), width)), F.lit(0)), F.lit(bins - 1))
+    guess = F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1))
     edge = lambda i: F.col("lo") + i * width
     # The division may land one bin off; the edges decide.
     index = F.when(F.col("v") < edge(F.col("b")), F.col("b") - 1).when(
