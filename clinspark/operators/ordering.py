@@ -7,15 +7,17 @@ everything in one task.  Both operators here first cut the value range into piec
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 # Distinct values that one task may sort; a window of this size spills comfortably.
 PIECE_ROWS = 1_000_000
 _SKETCH_ACCURACY = 10_000
+# Rows from which checking a proposed bracket is cheaper than ordering all of them.
+_GUESS_FROM = 2_000
 _MAX_PIECES = 10_000
 
 
@@ -25,6 +27,10 @@ def group_sizes(df: DataFrame, groups: Sequence[str]) -> dict[tuple, int]:
     return {tuple(r[g] for g in groups): r["n"] for r in counted.collect()}
 
 
+Bracket = dict[str, Any]
+Guess = Callable[[int, int], tuple[float, float]]
+
+
 def order_statistics(
     df: DataFrame,
     groups: Sequence[str],
@@ -32,103 +38,126 @@ def order_statistics(
     ranks: Mapping[tuple, Sequence[int]],
     sizes: Mapping[tuple, int],
     proxy: Column | None = None,
+    guess: Guess | None = None,
     piece_rows: int = PIECE_ROWS,
 ) -> dict[tuple, list[Any]]:
     """Exact values at the given 1-based ranks of each group, as ``{group: [value, …]}``.
 
-    ``proxy`` is a numeric expression that never decreases with ``value`` (the value itself by default).  While a
-    wanted rank lies among more than ``piece_rows`` rows, a quantile sketch narrows the bracket around it and
-    one counting pass fixes how many rows lie below; the last bracket is counted per distinct value.  What
-    reaches the driver is two bounds and a count per wanted rank.
+    ``proxy`` is a numeric expression that never decreases with ``value`` (the value itself by default).  Around
+    every wanted rank a bracket of proxy values is kept.  ``guess(rank, size)`` may propose a first one; while
+    more than ``piece_rows`` rows are inside, a quantile sketch narrows it.  A counting pass then fixes how many
+    rows lie below, so a wrong proposal is noticed and dropped.  Only rows inside the last brackets are
+    shuffled, counted per distinct value; two bounds and a count per rank reach the driver.
     """
     proxy = F.col(value) if proxy is None else proxy
     rows = df.select(*groups, F.col(value).alias("_v"), proxy.cast("double").alias("_p")).where("_v IS NOT NULL")
-    spark = df.sparkSession
-
-    # One bracket per wanted rank: rows below it, its bounds, and the rows inside.
-    brackets = {
+    brackets: dict[tuple, Bracket] = {
         (group, rank): {"low": -math.inf, "high": math.inf, "below": 0, "inside": sizes[group]}
         for group, wanted in ranks.items()
         for rank in wanted
         if 1 <= rank <= sizes[group]
     }
+    if not brackets:
+        return {group: [None] * len(wanted) for group, wanted in ranks.items()}
+
+    search = _BracketSearch(rows, list(groups))
+    if guess is not None:
+        proposed = {
+            key: {**b, **dict(zip(("low", "high"), guess(key[1], sizes[key[0]])))}
+            for key, b in brackets.items() if b["inside"] > min(piece_rows, _GUESS_FROM)
+        }
+        brackets.update(search.confirmed(proposed, brackets))
+    while wide := {k: b for k, b in brackets.items() if b["inside"] > piece_rows and b["low"] < b["high"]}:
+        narrowed = search.confirmed(search.sketched(wide), brackets)
+        if not narrowed:
+            break
+        brackets.update(narrowed)
+    found = search.values(brackets)
+    return {group: [found.get((group, rank)) for rank in wanted] for group, wanted in ranks.items()}
+
+
+class _BracketSearch:
+    """Passes over ``(groups, _v, _p)`` for brackets keyed by ``(group, rank)``."""
+
+    def __init__(self, rows: DataFrame, groups: list[str]) -> None:
+        self.rows, self.groups = rows, groups
+        self.group_types = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*groups).schema]
 
-    def inside(chosen: Mapping[tuple, dict]) -> DataFrame:
-        """Rows at or under the upper bound of each chosen bracket, one copy per bracket holding them."""
-        kind = rows.select(*groups).schema
-        table = spark.createDataFrame(
-            [(*group, rank, b["low"], b["high"]) for (group, rank), b in chosen.items()],
-            ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kind), "_k bigint", "_lo double", "_hi double"]),
+    def _key(self, row: Row) -> tuple:
+        return tuple(row[g] for g in self.groups), row["_k"]
+
+    def _upto(self, brackets: Mapping[tuple, Bracket]) -> DataFrame:
+        """Rows at or under the upper bound of each bracket, one copy per bracket."""
+        table = self.rows.sparkSession.createDataFrame(
+            [(*group, rank, b["low"], b["high"], b["below"]) for (group, rank), b in brackets.items()],
+            ", ".join([*self.group_types, "_k bigint", "_lo double", "_hi double", "_below bigint"]),
         )
         # As many rows as wanted ranks, which the caller bounds.
-        return rows.join(F.broadcast(table), list(groups)).where(F.col("_p") <= F.col("_hi"))
+        return self.rows.join(F.broadcast(table), self.groups).where("_p <= _hi")
 
-    while True:
-        wide = {key: b for key, b in brackets.items() if b["inside"] > piece_rows and b["low"] < b["high"]}
-        if not wide:
-            break
-        shares = {}
-        for (group, rank), b in wide.items():
-            p, slack = (rank - b["below"]) / b["inside"], 2.0 / _SKETCH_ACCURACY
+    def sketched(self, brackets: Mapping[tuple, Bracket]) -> dict[tuple, Bracket]:
+        """Tighter brackets from quantile sketches of the rows inside."""
+        slack, shares = 2.0 / _SKETCH_ACCURACY, {}
+        for (group, rank), b in brackets.items():
+            p = (rank - b["below"]) / b["inside"]
             shares[group, rank] = (max(0.0, p - slack), min(1.0, p + slack))
         grid = sorted({s for pair in shares.values() for s in pair})
-        sketched = (
-            inside(wide).where("_p >= _lo").groupBy(*groups, "_k")
+        sketches = (
+            self._upto(brackets).where("_p >= _lo").groupBy(*self.groups, "_k")
             .agg(F.percentile_approx("_p", grid, _SKETCH_ACCURACY).alias("_q")).collect()
         )
-        narrowed = {}
-        for r in sketched:
-            key = (tuple(r[g] for g in groups), r["_k"])
-            low, high = (r["_q"][grid.index(s)] for s in shares[key])
-            narrowed[key] = {**brackets[key], "low": low, "high": high}
+        tighter = {}
+        for row in sketches:
+            key = self._key(row)
+            low, high = (row["_q"][grid.index(s)] for s in shares[key])
+            tighter[key] = {**brackets[key], "low": low, "high": high}
+        return tighter
+
+    def confirmed(self, proposed: Mapping[tuple, Bracket], current: Mapping[tuple, Bracket]) -> dict[tuple, Bracket]:
+        """Proposed brackets that hold their rank and fewer rows than now, with their exact counts."""
+        if not proposed:
+            return {}
         under = F.col("_p") < F.col("_lo")
-        counted = (
-            inside(narrowed).groupBy(*groups, "_k")
-            .agg(F.count(F.when(under, 1)).alias("_below"), F.count(F.when(~under, 1)).alias("_inside")).collect()
+        counts = (
+            self._upto(proposed).groupBy(*self.groups, "_k")
+            .agg(F.count(F.when(under, 1)).alias("below"), F.count(F.when(~under, 1)).alias("inside")).collect()
         )
-        for r in counted:
-            key = (tuple(r[g] for g in groups), r["_k"])
-            b = {**narrowed[key], "below": r["_below"], "inside": r["_inside"]}
-            holds = b["below"] < key[1] <= b["below"] + b["inside"]
-            if not holds or b["inside"] >= brackets[key]["inside"]:
-                # The sketch could not narrow this bracket: keep the old bounds and stop asking for smaller.
-                b = {**brackets[key], "final": True}
-            brackets[key] = b
-        if all(brackets[key].get("final") for key in wide):
-            break
-
-    if not brackets:
-        return {group: [None] * len(wanted) for group, wanted in ranks.items()}
-    offsets = spark.createDataFrame(
-        [(*group, rank, b["below"]) for (group, rank), b in brackets.items()],
-        ", ".join(
-            [*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*groups).schema), "_k bigint", "_below bigint"]
-        ),
-    )
-    distinct = (
-        inside(brackets).where("_p >= _lo").groupBy(*groups, "_k", "_v").agg(F.count("*").alias("_n"))
-    )
-    upto = Window.partitionBy(*groups, "_k").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = distinct.withColumn("_upto", F.sum("_n").over(upto)).join(F.broadcast(offsets), [*groups, "_k"])
-    wanted_rank = F.col("_k") - F.col("_below")
-    hits = ranked.where((F.col("_upto") >= wanted_rank) & (F.col("_upto") - F.col("_n") < wanted_rank)).collect()
-    found = {(tuple(r[g] for g in groups), r["_k"]): r["_v"] for r in hits}
-    return {group: [found.get((group, rank)) for rank in wanted] for group, wanted in ranks.items()}
-
-
-def exact_medians(df: DataFrame, columns: Sequence[str], piece_rows: int = PIECE_ROWS) -> dict[str, float]:
+        kept = {}
+        for row in counts:
+            key = self._key(row)
+            below, inside = row["below"], row["inside"]
+            if below < key[1] <= below + inside and inside < current[key]["inside"]:
+                kept[key] = {**proposed[key], "below": below, "inside": inside}
+        return kept
+
+    def values(self, brackets: Mapping[tuple, Bracket]) -> dict[tuple, Any]:
+        """The value at each rank, from the distinct values inside its bracket."""
+        by = [*self.groups, "_k"]
+        distinct = self._upto(brackets).where("_p >= _lo").groupBy(*by, "_below", "_v").agg(F.count("*").alias("_n"))
+        upto = F.sum("_n").over(Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+        rank = F.col("_k") - F.col("_below")
+        hits = distinct.withColumn("_upto", upto).where((F.col("_upto") >= rank) & (F.col("_upto") - F.col("_n") < rank))
+        return {self._key(r): r["_v"] for r in hits.collect()}
+
+
+def exact_medians(
+    df: DataFrame, columns: Sequence[str], piece_rows: int = PIECE_ROWS, rows: int | None = None
+) -> dict[str, float]:
     """Exact median of each column, 0 where a column has no value.
 
     Spark's ``median`` keeps every distinct value of a column in one buffer, so it is used only for columns
-    with at most ``piece_rows`` values; longer ones go through ``order_statistics``.
+    with at most ``piece_rows`` values; longer ones go through ``order_statistics``.  ``rows``, if known, is the
+    row count of ``df`` and saves the counting pass for short tables.
     """
-    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(columns)]).first()
-    sizes = dict(zip(columns, counts))
+    if rows is not None and rows <= piece_rows:
+        sizes = dict.fromkeys(columns, rows)
+    else:
+        sizes = dict(zip(columns, df.agg(*[F.count(F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(columns)]).first()))
     medians = dict.fromkeys(columns, 0.0)
     short = [c for c in columns if 0 < sizes[c] <= piece_rows]
     if short:
         values = df.agg(*[F.median(F.col(f"`{c}`").cast("double")).alias(f"_{i}") for i, c in enumerate(short)]).first()
-        medians.update(zip(short, values))
+        medians.update({c: v for c, v in zip(short, values) if v is not None})
     long_ = [c for c in columns if sizes[c] > piece_rows]
     if long_:
         cells = F.array(*[F.struct(F.lit(c).alias("_f"), F.col(f"`{c}`").cast("double").alias("_x")) for c in long_])

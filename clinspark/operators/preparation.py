@@ -41,14 +41,16 @@ class GroupMeans:
 
     columns: tuple[str, ...]
     rows: tuple[tuple, ...]
+    fitted_on: int = 0
 
     @classmethod
     def fit(cls, df: DataFrame, columns: Sequence[str]) -> GroupMeans:
         require_columns(df, ["age", "gender"], "imputer input")
         filled = tuple(c for c in columns if c not in ("age", "gender"))
-        means = group_means(df, filled).where("age_group IS NOT NULL AND gender IS NOT NULL")
-        # Seven age groups by the values of gender.
-        return cls(filled, tuple(tuple(r) for r in means.collect()))
+        # Seven age groups and none, by the values of gender and none.
+        found = group_means(df, filled, count="_n").collect()
+        known = [r for r in found if r["age_group"] is not None and r["gender"] is not None]
+        return cls(filled, tuple(tuple(r)[:-1] for r in known), sum(r["_n"] for r in found))
 
     def transform(self, df: DataFrame) -> DataFrame:
         if not self.columns or not self.rows:
@@ -64,10 +66,11 @@ class GroupMeans:
         )
 
 
-def group_means(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Mean of each column per age group and gender."""
+def group_means(df: DataFrame, columns: Sequence[str], count: str | None = None) -> DataFrame:
+    """Mean of each column per age group and gender, and the group's row count under the name ``count``."""
     grouped = df.groupBy(age_group(F.col("age")).alias("age_group"), "gender")
-    return grouped.agg(*[F.avg(_col(c)).alias(c) for c in columns])
+    counted = [F.count("*").alias(count)] if count else []
+    return grouped.agg(*[F.avg(_col(c)).alias(c) for c in columns], *counted)
 
 
 @dataclass(frozen=True)
@@ -77,8 +80,10 @@ class Medians:
     values: dict[str, float]
 
     @classmethod
-    def fit(cls, df: DataFrame, columns: Sequence[str], piece_rows: int = PIECE_ROWS) -> Medians:
-        return cls(exact_medians(df, columns, piece_rows))
+    def fit(
+        cls, df: DataFrame, columns: Sequence[str], piece_rows: int = PIECE_ROWS, rows: int | None = None
+    ) -> Medians:
+        return cls(exact_medians(df, columns, piece_rows, rows))
 
     def transform(self, df: DataFrame) -> DataFrame:
         return df.select(
@@ -136,7 +141,7 @@ class Preparation:
         data = nan_to_null(df.select(*[_col(c) for c in columns]))
         means = GroupMeans.fit(data, columns)
         filled = means.transform(data)
-        medians = Medians.fit(filled, columns)
+        medians = Medians.fit(filled, columns, rows=means.fitted_on)
         return cls(tuple(columns), through, means, medians, Scaling.fit(medians.transform(filled), columns))
 
     @property
@@ -158,6 +163,6 @@ class Preparation:
         means = d["group_means"]
         return cls(
             tuple(d["numerical"]), tuple(d["passthrough"]),
-            GroupMeans(tuple(means["columns"]), tuple(tuple(r) for r in means["rows"])),
+            GroupMeans(tuple(means["columns"]), tuple(tuple(r) for r in means["rows"]), means["fitted_on"]),
             Medians(d["medians"]["values"]), Scaling(**d["scaling"]),
         )

@@ -6,12 +6,15 @@ threshold found per class, so the rows themselves are never shuffled or ranked.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clinspark.operators.ordering import PIECE_ROWS, group_sizes, order_statistics
 
+HASH_RANGE = float(16**15)
+
 
 def hash_order(key: str, *prefix: object) -> Column:
     """``md5("seed:…:key")`` as text; unique keys give a repeatable random order."""
@@ -24,6 +27,13 @@ def hash_number(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
+def expected_bracket(rank: int, size: int) -> tuple[float, float]:
+    """Where the ``rank``-th of ``size`` evenly spread hash numbers lies, with eight deviations of room."""
+    share = rank / size
+    room = 8 * math.sqrt(share * (1 - share) / size) + 8 / size
+    return (share - room) * HASH_RANGE, (share + room) * HASH_RANGE
+
+
 def _by_class(label: str, values: dict[tuple, object]) -> Column:
     chain = None
     for (cls,), value in values.items():
@@ -41,7 +51,7 @@ def _quota_filter(
     hashed = df.select(label, digest.alias("_h"))
     limits = order_statistics(
         hashed, [label], "_h", {c: [q] for c, q in quota.items() if q > 0}, sizes,
-        proxy=hash_number(F.col("_h")), piece_rows=piece_rows,
+        proxy=hash_number(F.col("_h")), guess=expected_bracket, piece_rows=piece_rows,
     )
     return F.coalesce(digest <= _by_class(label, {c: v[0] for c, v in limits.items()}), F.lit(False))
 
@@ -95,7 +105,7 @@ def balanced_limits(
     groups = {(b, *c): n for b in bags for c, n in sizes.items()}
     limits = order_statistics(
         hashed, ["bag", label], "_h", {g: [quota] for g in groups}, groups,
-        proxy=hash_number(F.col("_h")), piece_rows=piece_rows,
+        proxy=hash_number(F.col("_h")), guess=expected_bracket, piece_rows=piece_rows,
     )
     return {g: v[0] for g, v in limits.items()}
 
