@@ -30,17 +30,7 @@ def stays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     First and last stay of a subject come from one aggregate, not from a window over all of its stays.
     """
-    orders = table(spark, sf_dir, "orders").withColumn(
-        "admittime", F.expr("o_orderdate + (o_orderkey % 24) * INTERVAL '1' HOUR")
-    ).withColumn(
-        "dischtime",
-        F.expr("admittime + ((o_orderkey * 37) % 400) * INTERVAL '1' HOUR + (o_orderkey % 60) * INTERVAL '1' MINUTE"),
-    )
-    ends = orders.groupBy("o_custkey").agg(
-        F.max("dischtime").alias("last_disch"),
-        F.max(F.struct("admittime", "o_orderkey")).alias("last"),
-        F.min(F.struct("admittime", "o_orderkey", "dischtime")).alias("first"),
-    )
+    orders, ends = _timed_orders(spark, sf_dir), _subject_ends(spark, sf_dir)
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     joined = orders.join(ends, "o_custkey").join(customer, F.col("o_custkey") == F.col("c_custkey"))
     is_last = F.col("o_orderkey") == F.col("last.o_orderkey")
@@ -63,6 +53,34 @@ def stays(spark: SparkSession, sf_dir: str) -> DataFrame:
             "WHITE", "WHITE - RUSSIAN", "BLACK/AFRICAN AMERICAN", "HISPANIC OR LATINO", "LATIN AMERICAN",
             "ASIAN - CHINESE", "PORTUGUESE", "AMERICAN WHITE",
         ]).alias("ethnicity"),
+        *_personal(cust),
+        F.when(order % 20 == 0, 0).otherwise(1).alias("has_chartevents_data"),
+        mapped("o_orderpriority", priority).alias("admission_type"),
+        _pick((order % 6).cast("int"), ["CCU", "CSRU", "MICU", "SICU", "TSICU"]).alias("first_careunit"),
+        mapped("c_mktsegment", segment).otherwise("Self Pay").alias("insurance"),
+    )
+
+
+def _timed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").withColumn(
+        "admittime", F.expr("o_orderdate + (o_orderkey % 24) * INTERVAL '1' HOUR")
+    ).withColumn(
+        "dischtime",
+        F.expr("admittime + ((o_orderkey * 37) % 400) * INTERVAL '1' HOUR + (o_orderkey % 60) * INTERVAL '1' MINUTE"),
+    )
+
+
+def _subject_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and last stay per subject."""
+    return _timed_orders(spark, sf_dir).groupBy("o_custkey").agg(
+        F.max("dischtime").alias("last_disch"),
+        F.max(F.struct("admittime", "o_orderkey")).alias("last"),
+        F.min(F.struct("admittime", "o_orderkey", "dischtime")).alias("first"),
+    )
+
+
+def _personal(cust: Column) -> list[Column]:
+    return [
         F.when(cust % 2 == 0, "M").otherwise("F").alias("gender"),
         F.expr("TIMESTAMP_NTZ '1905-01-01 00:00:00' + ((o_custkey * 7919) % 36000) * INTERVAL '1' DAY").alias("dob"),
         F.when(cust % 5 == 0, F.expr(
@@ -70,18 +88,14 @@ def stays(spark: SparkSession, sf_dir: str) -> DataFrame:
         )).when(cust % 5 == 1, F.expr(
             "CAST(CAST(first.dischtime AS DATE) AS TIMESTAMP_NTZ) + (o_custkey % 61 - 5) * INTERVAL '1' DAY"
         )).alias("dod"),
-        F.when(order % 20 == 0, 0).otherwise(1).alias("has_chartevents_data"),
-        mapped("o_orderpriority", priority).alias("admission_type"),
-        _pick((order % 6).cast("int"), ["CCU", "CSRU", "MICU", "SICU", "TSICU"]).alias("first_careunit"),
-        mapped("c_mktsegment", segment).otherwise("Self Pay").alias("insurance"),
-    )
+    ]
 
 
 def admissions_and_patients(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The stay columns, and one row per subject: the two inputs of the base admissions."""
-    adm = stays(spark, sf_dir)
-    patients = adm.groupBy("subject_id").agg(*[F.min(c).alias(c) for c in ("gender", "dob", "dod")])
-    return adm.drop("gender", "dob", "dod"), patients
+    cust = F.col("o_custkey")
+    patients = _subject_ends(spark, sf_dir).select(cust.cast("bigint").alias("subject_id"), *_personal(cust))
+    return stays(spark, sf_dir).drop("gender", "dob", "dod"), patients
 
 
 def hosps(spark: SparkSession, sf_dir: str) -> DataFrame:

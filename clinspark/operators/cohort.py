@@ -67,8 +67,12 @@ def _criteria(options: CohortOptions) -> list[tuple[str, Column]]:
 
 
 def select_cohort(hosps: DataFrame, allowed: DataFrame, options: CohortOptions = CohortOptions()) -> DataFrame:
-    """First stays of allowed subjects that meet every criterion; its subjects are the selected cohort."""
-    stays = first_stay(in_cohort(hosps, allowed), options.first_stay_mode)
+    """First stays of allowed subjects that meet every criterion; its subjects are the selected cohort.
+
+    The subject test follows the aggregation, so that rows of one subject are combined before any shuffle;
+    Catalyst moves it below where the cohort is small enough to broadcast.
+    """
+    stays = in_cohort(first_stay(hosps, options.first_stay_mode), allowed)
     for _, condition in _criteria(options):
         stays = stays.where(condition)
     return stays
@@ -79,13 +83,12 @@ def cohort_funnel(hosps: DataFrame, allowed: DataFrame, options: CohortOptions =
 
     One pass: the number of stays per subject is kept beside its first stay and summed at the end.
     """
-    eligible = in_cohort(hosps, allowed)
-    columns = [c for c in eligible.columns if c != "subject_id"]
+    columns = [c for c in hosps.columns if c != "subject_id"]
     if options.first_stay_mode == "row":
         firsts = [F.min_by(F.col(f"`{c}`"), F.struct("admittime", "hadm_id")).alias(c) for c in columns]
     else:
         firsts = [first_known(F.col(f"`{c}`"), c) for c in columns]
-    stays = eligible.groupBy("subject_id").agg(F.count("*").alias("_stays"), *firsts)
+    stays = in_cohort(hosps.groupBy("subject_id").agg(F.count("*").alias("_stays"), *firsts), allowed)
 
     steps, passed, totals = ["initial_cohort", "first_admission"], F.lit(True), []
     for name, condition in _criteria(options):

@@ -45,9 +45,9 @@ def window_events(
     return listed.join(stays, ["subject_id", "hadm_id"]).where(F.col("charttime").between(F.col("admittime"), limit))
 
 
-def known_stays(events: DataFrame, hosps: DataFrame) -> DataFrame:
-    """Events whose admission is in the admissions table."""
-    return events.join(hosps.select("hadm_id"), "hadm_id", "left_semi")
+def known_stays(df: DataFrame, hosps: DataFrame) -> DataFrame:
+    """Rows (events or stays) whose admission is in the admissions table."""
+    return df.join(hosps.select("hadm_id"), "hadm_id", "left_semi")
 
 
 def clean_measurements(events: DataFrame, metadata: DataFrame, rules: Sequence[UnitRule] = ()) -> DataFrame:
