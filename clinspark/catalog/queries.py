@@ -23,7 +23,8 @@ from clinspark.plans.training import load_models, train_all, train_model
 from clinspark.plans.tuning import grid_search
 from clinspark.schemas import ICU_KEYS, STAY_KEYS
 from clinspark.session import configure, shared_folder
-from clinspark.sources.cache import read_or_build
+from clinspark.sources.cache import cached_extract
+from clinspark.sources.extract import read_extract
 from clinspark.sources.tables import load_base_admissions, load_score_tables, read_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,12 +125,14 @@ def mortality_by_age_group(spark, d):
 
 @query
 def sources_roundtrip(spark, d):
-    """Write cohort ids as CSV and the hourly table through the cache, read both back and restrict."""
+    """Write cohort ids as CSV and the extract through the cache, read both back and restrict."""
     root = f"{shared_folder(spark)}/roundtrip-{uuid.uuid4().hex}"
     s.event_cohort(spark, d).write.option("header", True).csv(f"{root}/cohort")
-    for _ in range(2):  # the second call finds the stored table
-        tables = read_or_build(spark, f"{root}/extract", ["hourly"], lambda: {"hourly": s.hourly(spark, d)})
-    return in_cohort(tables["hourly"], read_csv(spark, f"{root}/cohort"))
+    for _ in range(2):  # the second call finds the stored tables
+        cached_extract(spark, f"{root}/extract", lambda: s.bundle(spark, d))
+    bundle = read_extract(spark, f"{root}/extract")
+    hourly = bundle.hourly.drop("subject_id", "hadm_id").join(bundle.stay_map, "icustay_id")
+    return in_cohort(hourly, read_csv(spark, f"{root}/cohort"))
 
 
 # --- measurements -----------------------------------------------------------------------------
@@ -474,6 +477,13 @@ def attributions(spark, d):
     return _attributions(spark, d)
 
 
+@query
+def top_k_by_attribution(spark, d):
+    return attribution.select_by_attribution(
+        _train(spark, d, Learner.FOREST, FOREST), s.feature_rows(spark, d), "row_id", k=3, permutations=1
+    )
+
+
 @query
 def top_k_features(spark, d):
     """Selection over the absolute standardised values, which SQL can follow."""

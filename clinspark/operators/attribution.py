@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from clinspark.config import Learner
-from clinspark.operators.ensembles import RiskModel
+from clinspark.operators.ensembles import RiskModel, mean_probability
 from clinspark.operators.sampling import hash_order
 
 ALWAYS_KEPT = ("gender", "age")
@@ -84,3 +84,18 @@ def top_features(
     chosen = ranked.where((F.col("rank") <= k) | F.col("forced").isNotNull())
     place = F.when(F.col("rank") <= k, F.col("rank")).otherwise(F.lit(k) + F.col("forced"))
     return chosen.select(F.row_number().over(Window.orderBy(place)).alias("position"), "feature", "importance")
+
+
+def select_by_attribution(
+    model: RiskModel, df: DataFrame, key: str, k: int = 75, permutations: int = 8, seed: int = 0
+) -> DataFrame:
+    """Feature selection for a fitted model of any kind: attributions of the given rows, then the top ``k``.
+
+    Prepared numerical features are centred, so the baseline is the average row of the training data with
+    nothing set among the passed-through columns.
+    """
+    attributed = shapley_attributions(
+        model.preparation.transform(df), key, model.features, lambda v: mean_probability(v, model.members),
+        dict.fromkeys(model.features, 0.0), permutations, seed,
+    )
+    return top_features(attributed, k)

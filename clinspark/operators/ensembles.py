@@ -16,11 +16,12 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clinspark.config import Learner
 from clinspark.operators.preparation import Preparation
 from clinspark.operators.sampling import balanced_limits, in_draw
+from clinspark.session import stage_table
 
 FIT_THREADS = 4
 # Points the calibrator may see: it pools them on the driver.
@@ -96,14 +97,13 @@ def to_vectors(df: DataFrame, features: Sequence[str], keep: Iterable[str]) -> D
 
 
 def fit_members(
-    vectors: DataFrame, label: str, key: str, learner: Learner, params: Mapping[str, Any], bags: int, seed: int,
-    threads: int = FIT_THREADS,
+    vectors: DataFrame, n_features: int, label: str, key: str, learner: Learner, params: Mapping[str, Any], bags: int,
+    seed: int, threads: int = FIT_THREADS,
 ) -> list[Any]:
     """One fitted model per class-balanced draw of ``(key, label, features)``.
 
     ``vectors`` should be a staged table: the draws are filters over it, so no copy per bag is made.
     """
-    n_features = int(vectors.select(F.size(vector_to_array("features")).alias("n")).first()["n"])
     limits = balanced_limits(vectors, label, key, seed, range(bags))
     data = vectors.withColumn("label", F.col(label).cast("double"))
 
@@ -131,14 +131,16 @@ def fit_calibrator(scored: DataFrame, label: str, score: str = "raw_score") -> I
 
     Above ``CALIBRATION_POINTS`` distinct scores they are grouped to six decimals, still counting every row.
     """
-    def grouped(value: Column) -> DataFrame:
-        return scored.groupBy(value.alias("score")).agg(
+    points = stage_table(
+        scored.groupBy(F.col(score).alias("score")).agg(
             F.avg(F.col(label).cast("double")).alias("label"), F.count("*").cast("double").alias("weight")
-        )
-
-    points = grouped(F.col(score))
+        ),
+        "calibration",
+    )
     if points.count() > CALIBRATION_POINTS:
-        points = grouped(F.round(F.col(score), 6))
+        points = points.groupBy(F.round("score", 6).alias("score")).agg(
+            (F.sum(F.col("label") * F.col("weight")) / F.sum("weight")).alias("label"), F.sum("weight").alias("weight")
+        )
     return IsotonicRegression(featuresCol="score", labelCol="label", weightCol="weight").fit(points)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from clinspark.config import BOOTSTRAP_DRAWS, BOOTSTRAP_SHARE, CURVE_GRID_POINTS
 from clinspark.operators.ordering import PIECE_ROWS, numbered, running_totals
 from clinspark.operators.sampling import hash_number
+from clinspark.session import stage_table
 
 DECISION_LIMIT = 0.5
 
@@ -29,29 +30,35 @@ def confusion(scored: DataFrame, y: str = "y", score: str = "score") -> DataFram
     return counts.select(F.inline(F.array(*rows)))
 
 
-def _class_metrics(scored: DataFrame, y: str, score: str) -> DataFrame:
-    pred, truth = predicted(F.col(score)), F.col(y)
-    count = lambda t, p: F.count(F.when((truth == t) & (pred == p), 1)).cast("double")
-    cells = scored.agg(
-        count(1, 1).alias("tp"), count(0, 1).alias("fp"), count(1, 0).alias("fn"), count(0, 0).alias("tn")
+def _class_metrics(counts: DataFrame) -> DataFrame:
+    called = F.col("score") > DECISION_LIMIT
+    total = lambda column, condition: F.coalesce(F.sum(F.when(condition, F.col(column))), F.lit(0)).cast("double")
+    cells = counts.agg(
+        total("pos", called).alias("tp"), total("neg", called).alias("fp"),
+        total("pos", ~called).alias("fn"), total("neg", ~called).alias("tn"),
     )
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     recalls = [F.try_divide(tp, tp + fn), F.try_divide(tn, tn + fp)]
     # Only the classes that occur have a recall to average.
     known = sum((F.when(r.isNotNull(), 1).otherwise(0) for r in recalls), F.lit(0))
-    total = sum((F.coalesce(r, F.lit(0.0)) for r in recalls), F.lit(0.0))
+    summed = sum((F.coalesce(r, F.lit(0.0)) for r in recalls), F.lit(0.0))
     return cells.select(
         F.try_divide(tp + tn, tp + fp + fn + tn).alias("acc"),
-        F.try_divide(total, known).alias("balanced_acc"),
+        F.try_divide(summed, known).alias("balanced_acc"),
         F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), F.lit(0.0)).alias("f1_score"),
     )
 
 
 def score_counts(scored: DataFrame, y: str, score: str, groups: Sequence[str] = ()) -> DataFrame:
-    """Positives and negatives per distinct score: the only shuffle that sees every scored row."""
-    return scored.groupBy(*groups, F.col(score).cast("double").alias("score")).agg(
+    """Positives and negatives per distinct score, staged.
+
+    The only step that sees every scored row, so whatever produced the scores runs once; all curves and metrics
+    work on this table.
+    """
+    counts = scored.groupBy(*groups, F.col(score).cast("double").alias("score")).agg(
         F.sum(F.col(y).cast("bigint")).alias("pos"), F.sum(F.lit(1) - F.col(y).cast("bigint")).alias("neg")
     )
+    return stage_table(counts, "score-counts")
 
 
 def curve_counts(counts: DataFrame, groups: Sequence[str] = (), piece_rows: int = PIECE_ROWS) -> DataFrame:
@@ -102,12 +109,12 @@ def roc_points(scored: DataFrame, y: str = "y", score: str = "score", piece_rows
     return points.unionByName(_end_point(points, threshold=None, fpr=0.0, tpr=0.0))
 
 
-def _ranking_metrics(scored: DataFrame, y: str, score: str, piece_rows: int, floor: float = 0.8) -> DataFrame:
+def _ranking_metrics(counts: DataFrame, piece_rows: int, floor: float = 0.8) -> DataFrame:
     """Average precision and the recall at a precision floor in one aggregate.
 
     The recall gained at a score is its own positives over all positives, so the step sum needs no ``lag``.
     """
-    counted = curve_counts(score_counts(scored, y, score), piece_rows=piece_rows)
+    counted = curve_counts(counts, piece_rows=piece_rows)
     gain = F.coalesce(F.try_divide(F.col("pos"), F.col("n_pos")), F.lit(0.0))
     return counted.agg(
         F.coalesce(F.max(F.when(_precision() >= floor, _recall())), F.lit(0.0)).alias("PR80"),
@@ -118,22 +125,23 @@ def _ranking_metrics(scored: DataFrame, y: str, score: str, piece_rows: int, flo
 def average_precision(
     scored: DataFrame, y: str = "y", score: str = "score", piece_rows: int = PIECE_ROWS
 ) -> DataFrame:
-    return _ranking_metrics(scored, y, score, piece_rows).select("ap")
+    return _ranking_metrics(score_counts(scored, y, score), piece_rows).select("ap")
 
 
 def recall_at_precision(
     scored: DataFrame, floor: float = 0.8, y: str = "y", score: str = "score", piece_rows: int = PIECE_ROWS
 ) -> DataFrame:
     """Highest recall among points with precision of at least ``floor``; 0 if only the end point qualifies."""
-    return _ranking_metrics(scored, y, score, piece_rows, floor).select(F.col("PR80").alias("recall"))
+    counts = score_counts(scored, y, score)
+    return _ranking_metrics(counts, piece_rows, floor).select(F.col("PR80").alias("recall"))
 
 
 def metric_report(
     scored: DataFrame, subset: str = "test", y: str = "y", score: str = "score", piece_rows: int = PIECE_ROWS
 ) -> DataFrame:
     """Five rows ``(metric, subset, value)``: acc, balanced_acc, f1_score, PR80, ap."""
-    classes = _class_metrics(scored, y, score)
-    ranking = _ranking_metrics(scored, y, score, piece_rows)
+    counts = score_counts(scored, y, score)
+    classes, ranking = _class_metrics(counts), _ranking_metrics(counts, piece_rows)
     parts = [(classes, ("acc", "balanced_acc", "f1_score")), (ranking, ("PR80", "ap"))]
     rows = [
         df.select(F.inline(F.array(*[
@@ -159,16 +167,20 @@ def score_histogram(scored: DataFrame, score: str = "score", bins: int = 100) ->
 
     Bins are half-open, the last one closed.
     """
-    p = F.col(score).cast("double")
+    counts = stage_table(
+        scored.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("p")).agg(F.count("*").alias("n")),
+        "score-values",
+    )
+    p = F.col("p")
     both = F.array(
-        F.struct(F.lit("False").alias("series"), (F.lit(1.0) - p).alias("v")),
-        F.struct(F.lit("True").alias("series"), p.alias("v")),
+        F.struct(F.lit("False").alias("series"), (F.lit(1.0) - p).alias("v"), "n"),
+        F.struct(F.lit("True").alias("series"), p.alias("v"), "n"),
     )
     low, high = F.least(F.min(p), F.lit(1.0) - F.max(p)), F.greatest(F.max(p), F.lit(1.0) - F.min(p))
     # A single value gets a range of width 1 around it.
     margin = F.when(low == high, 0.5).otherwise(0.0)
-    limits = scored.agg((low - margin).alias("lo"), (high + margin).alias("hi"))
-    ranged = scored.select(F.inline(both)).where("v IS NOT NULL").withColumns(
+    limits = counts.agg((low - margin).alias("lo"), (high + margin).alias("hi"))
+    ranged = counts.select(F.inline(both)).withColumns(
         {"lo": limits.select("lo").scalar(), "hi": limits.select("hi").scalar()}
     )
     width = (F.col("hi") - F.col("lo")) / bins
@@ -178,8 +190,8 @@ def score_histogram(scored: DataFrame, score: str = "score", bins: int = 100) ->
     index = F.when(F.col("v") < edge(F.col("b")), F.col("b") - 1).when(
         (F.col("v") >= edge(F.col("b") + 1)) & (F.col("b") < bins - 1), F.col("b") + 1
     ).otherwise(F.col("b"))
-    binned = ranged.withColumn("b", guess).select("series", index.alias("bin"), edge(index).alias("bin_start"))
-    return binned.groupBy("series", "bin", "bin_start").agg(F.count("*").alias("n"))
+    binned = ranged.withColumn("b", guess).select("series", index.alias("bin"), edge(index).alias("bin_start"), "n")
+    return binned.groupBy("series", "bin", "bin_start").agg(F.sum("n").alias("n"))
 
 
 def bootstrap_draws(
@@ -255,7 +267,8 @@ def bootstrap_bands(
 
     A draw without a positive or a negative row has no defined rates on that side and is left out of the mean.
     """
-    sample = bootstrap_draws(scored.select(key, y, score), key, draws, share, seed, piece_rows)
+    rows = stage_table(scored.select(key, y, score), "scored")
+    sample = bootstrap_draws(rows, key, draws, share, seed, piece_rows)
     counted = curve_counts(score_counts(sample, y, score, ["draw"]), ["draw"], piece_rows)
     roc = counted.where("n_neg > 0 AND n_pos > 0").select(
         "draw", "score", (F.col("fp") / F.col("n_neg")).alias("x"), (F.col("tp") / F.col("n_pos")).alias("y")

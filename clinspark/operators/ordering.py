@@ -14,7 +14,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 # Distinct values that one task may sort; a window of this size spills comfortably.
-PIECE_ROWS = 1_000_000
+PIECE_ROWS = 2_000_000
 _SKETCH_ACCURACY = 10_000
 # Rows from which checking a proposed bracket is cheaper than ordering all of them.
 _GUESS_FROM = 2_000
@@ -145,20 +145,25 @@ def exact_medians(
 ) -> dict[str, float]:
     """Exact median of each column, 0 where a column has no value.
 
-    Spark's ``median`` keeps every distinct value of a column in one buffer, so it is used only for columns
-    with at most ``piece_rows`` values; longer ones go through ``order_statistics``.  ``rows``, if known, is the
-    row count of ``df`` and saves the counting pass for short tables.
+    Spark's ``median`` keeps every distinct value of its columns in one buffer, so it is used only if all columns
+    together have at most ``piece_rows`` values; otherwise the medians are selected by ``order_statistics``.
+    ``rows``, if known, is the row count of ``df`` and saves the counting pass for short tables.
     """
-    if rows is not None and rows <= piece_rows:
+    medians = dict.fromkeys(columns, 0.0)
+    if rows is not None and rows * len(columns) <= piece_rows:
         sizes = dict.fromkeys(columns, rows)
     else:
         sizes = dict(zip(columns, df.agg(*[F.count(F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(columns)]).first()))
-    medians = dict.fromkeys(columns, 0.0)
-    short = [c for c in columns if 0 < sizes[c] <= piece_rows]
+    columns = [c for c in columns if sizes[c] > 0]
+    if not columns:
+        return medians
+    if sum(sizes[c] for c in columns) <= piece_rows:
+        short, long_ = columns, []
+    else:
+        short, long_ = [], columns
     if short:
         values = df.agg(*[F.median(F.col(f"`{c}`").cast("double")).alias(f"_{i}") for i, c in enumerate(short)]).first()
         medians.update({c: v for c, v in zip(short, values) if v is not None})
-    long_ = [c for c in columns if sizes[c] > piece_rows]
     if long_:
         cells = F.array(*[F.struct(F.lit(c).alias("_f"), F.col(f"`{c}`").cast("double").alias("_x")) for c in long_])
         middle = {(c,): [(sizes[c] + 1) // 2, sizes[c] // 2 + 1] for c in long_}

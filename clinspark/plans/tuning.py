@@ -63,22 +63,21 @@ def grid_search(
     fixed = dict(fixed or {})
     for params in candidates:
         check_params(learner, {**fixed, **params})
-    folded = stratified_folds(stage_table(data, "features"), label, key, folds)
+    folded = stratified_folds(stage_table(data, "features", spread=True), label, key, folds)
 
-    def prepare(fold: int) -> DataFrame:
+    def prepare(fold: int) -> tuple[int, DataFrame]:
         training = folded.where(F.col("fold") != fold).drop("fold")
         preparation = fit_preparation(training, exclude)
-        return stage_table(
-            to_vectors(preparation.transform(folded), preparation.features, [key, label, "fold"]), f"fold-{fold}"
-        )
+        rows = to_vectors(preparation.transform(folded), preparation.features, [key, label, "fold"])
+        return len(preparation.features), stage_table(rows, f"fold-{fold}", spread=True)
 
     numbers = range(1, folds + 1)
     vectors = dict(zip(numbers, run_parallel([lambda f=f: prepare(f) for f in numbers], threads)))
 
     def evaluate(params: dict[str, Any], fold: int) -> float:
-        rows = vectors[fold]
+        n_features, rows = vectors[fold]
         members = fit_members(
-            rows.where(F.col("fold") != fold), label, key, learner, {**fixed, **params}, bags, seed,
+            rows.where(F.col("fold") != fold), n_features, label, key, learner, {**fixed, **params}, bags, seed,
             threads=1,
         )
         scored = mean_probability(rows.where(F.col("fold") == fold), members, "score")
