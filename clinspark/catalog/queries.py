@@ -438,7 +438,7 @@ def calibrated_scores(spark, d):
 def score_all_targets(spark, d):
     """Train the three outcomes on the cohort, save and load them, then score the other subjects."""
     study, cohort = s.study(spark, d), s.event_cohort(spark, d)
-    sizes = {Learner.FOREST: {"n_estimators": 10}, Learner.BOOSTED: {"max_iter": 5}}
+    sizes = {Learner.FOREST: {"n_estimators": 10}, Learner.BOOSTED: {"max_iter": 3}}
     configs = {
         o: replace(c, params={**c.params, **sizes[c.learner]}, bags=2) for o, c in FINAL_MODELS.items()
     }

@@ -52,18 +52,20 @@ class GroupMeans:
         known = [r for r in found if r["age_group"] is not None and r["gender"] is not None]
         return cls(filled, tuple(tuple(r)[:-1] for r in known), sum(r["_n"] for r in found))
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        if not self.columns or not self.rows:
-            return df
+    def attach(self, df: DataFrame) -> DataFrame:
+        """Add the means of each row's group as ``_m0``, ``_m1``, …; all NULL without a group."""
         kind = df.select("gender").schema[0].dataType.simpleString()
         fields = ["_group string", f"_gender {kind}", *[f"`_m{i}` double" for i in range(len(self.columns))]]
         table = df.sparkSession.createDataFrame(list(self.rows), ", ".join(fields))
         match = (age_group(F.col("age")) == F.col("_group")) & (F.col("gender") == F.col("_gender"))
-        mean_of = {c: F.col(f"_m{i}") for i, c in enumerate(self.columns)}
-        joined = df.join(F.broadcast(table), match, "left")
-        return joined.select(
-            [F.coalesce(_col(c), mean_of[c]).alias(c) if c in mean_of else _col(c) for c in df.columns]
-        )
+        return df.join(F.broadcast(table), match, "left")
+
+    def fill(self, name: str, value: Column) -> Column:
+        """``value`` or, on rows with attached means, the mean of its group."""
+        return F.coalesce(value, F.col(f"_m{self.columns.index(name)}")) if name in self.columns else value
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.attach(df).select([self.fill(c, _col(c)).alias(c) for c in df.columns])
 
 
 def group_means(df: DataFrame, columns: Sequence[str], count: str | None = None) -> DataFrame:
@@ -85,13 +87,11 @@ class Medians:
     ) -> Medians:
         return cls(exact_medians(df, columns, piece_rows, rows))
 
+    def fill(self, name: str, value: Column) -> Column:
+        return F.coalesce(value.cast("double"), F.lit(float(self.values[name]))) if name in self.values else value
+
     def transform(self, df: DataFrame) -> DataFrame:
-        return df.select(
-            [
-                F.coalesce(_col(c).cast("double"), F.lit(float(self.values[c]))).alias(c) if c in self.values else _col(c)
-                for c in df.columns
-            ]
-        )
+        return df.select([self.fill(c, _col(c)).alias(c) for c in df.columns])
 
 
 @dataclass(frozen=True)
@@ -115,13 +115,11 @@ class Scaling:
             {c: float(row[f"_s{i}"] or 0.0) for i, c in enumerate(scaled)},
         )
 
+    def scale(self, name: str, value: Column) -> Column:
+        return (value - F.lit(self.mean[name])) / F.lit(self.deviation[name] or 1.0) if name in self.mean else value
+
     def transform(self, df: DataFrame) -> DataFrame:
-        return df.select(
-            [
-                ((_col(c) - F.lit(self.mean[c])) / F.lit(self.deviation[c] or 1.0)).alias(c) if c in self.mean else _col(c)
-                for c in df.columns
-            ]
-        )
+        return df.select([self.scale(c, _col(c)).alias(c) for c in df.columns])
 
 
 @dataclass(frozen=True)
@@ -149,10 +147,20 @@ class Preparation:
         return self.numerical + self.passthrough
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Other columns (keys, label), prepared columns, then the columns passed through untouched."""
+        """Other columns (keys, label), prepared columns, then the columns passed through untouched.
+
+        One small join and one projection.
+        """
         others = [c for c in df.columns if c not in self.features]
-        ordered = nan_to_null(df.select([_col(c) for c in (*others, *self.features)]))
-        return self.scaling.transform(self.medians.transform(self.group_means.transform(ordered)))
+        attached = self.group_means.attach(nan_to_null(require_columns(df, self.features, "feature matrix")))
+
+        def prepared(name: str) -> Column:
+            filled = self.medians.fill(name, self.group_means.fill(name, _col(name)))
+            return self.scaling.scale(name, filled).alias(name)
+
+        return attached.select(
+            *[_col(c) for c in others], *[prepared(c) for c in self.numerical], *[_col(c) for c in self.passthrough]
+        )
 
     def to_json(self) -> str:
         return json.dumps(asdict(self))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, functions as F
@@ -89,7 +89,11 @@ def train_all(
     configs: Mapping[Outcome, ModelConfig] = FINAL_MODELS,
     save_to: str | None = None,
 ) -> dict[Outcome, RiskModel]:
-    """One model per configured outcome, each saved under its own path if ``save_to`` is given."""
+    """One model per configured outcome, each saved under its own path if ``save_to`` is given.
+
+    The base admissions are staged once; every outcome reads them for its cohort and its target.
+    """
+    study = replace(study, hosps=stage_table(study.hosps, "hosps"))
     models = {}
     for outcome, config in configs.items():
         # Readmission is unknown on later stays, which the raw-event form keeps.
