@@ -40,6 +40,10 @@ def shapley_attributions(
     Each row is repeated once per permutation and step; step s takes its first s features from the row and the
     others from the baseline.  ``score`` adds ``raw_score`` to a frame with a ``features`` vector.  A feature's
     value is the mean score difference when it enters, so the values of a row add up to f(row) - f(baseline).
+
+    A score counts for the feature that entered at its step and against the one that enters next.  These signed
+    scores are summed per row and feature, which combines before the shuffle because all steps of a row come
+    from one input row.
     """
     n = len(features)
     row = F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in features])
@@ -57,14 +61,21 @@ def shapley_attributions(
     mixed = F.transform(
         F.col("_x"), lambda v, j: F.when(F.array_contains(entered, j), v).otherwise(F.get(start, j))
     )
-    changed = F.get(F.col("_order"), F.col("_step") - 1)
-    probes = stepped.select(key, "_perm", "_step", changed.alias("_j"), array_to_vector(mixed).alias("features"))
-    scored = score(probes)
-    # A group is one row's permutation: n + 1 steps.
-    path = Window.partitionBy(key, "_perm").orderBy("_step")
-    gained = scored.withColumn("_gain", F.col("raw_score") - F.lag("raw_score").over(path)).where("_step > 0")
+    # Out of range before the first step and after the last one, which gives NULL.
+    entered_now = F.get(F.col("_order"), F.col("_step") - 1)
+    enters_next = F.get(F.col("_order"), F.col("_step"))
+    probes = stepped.select(
+        key, entered_now.alias("_now"), enters_next.alias("_next"), array_to_vector(mixed).alias("features")
+    )
+    signed = F.array(
+        F.struct(F.col("_now").alias("_j"), F.col("raw_score").alias("_s")),
+        F.struct(F.col("_next").alias("_j"), (-F.col("raw_score")).alias("_s")),
+    )
     name = F.get(F.array(*[F.lit(c) for c in features]), F.col("_j"))
-    return gained.groupBy(key, name.alias("feature")).agg(F.avg("_gain").alias("attribution"))
+    return (
+        score(probes).select(key, F.inline(signed)).where("_j IS NOT NULL")
+        .groupBy(key, name.alias("feature")).agg((F.sum("_s") / permutations).alias("attribution"))
+    )
 
 
 def top_features(

@@ -28,23 +28,28 @@ FAHRENHEIT_TO_CELSIUS = UnitRule("TempF", "TempC", 32.0, 1.8)
 def window_events(
     events: DataFrame,
     admissions: DataFrame,
-    items: DataFrame,
+    items: DataFrame | None = None,
     hours: int = WINDOW_HOURS,
     drop_errors: bool = False,
 ) -> DataFrame:
-    """Events of the listed items charted from admission to ``hours`` later, both ends included.
+    """Events of the listed items (all, if none are listed) from admission to ``hours`` later, ends included.
 
     The item semi join and the error test run before the shuffle.  The time range is a residual condition
     of an equi join, so a stay with very many events is split by AQE instead of filling one task.
     """
-    if drop_errors:
-        events = events.where(~F.col("error").eqNullSafe(F.lit(1)))
-    listed = events.join(items.select("itemid"), "itemid", "left_semi")
+    listed = without_errors(events) if drop_errors else events
+    if items is not None:
+        listed = listed.join(items.select("itemid"), "itemid", "left_semi")
     stays = admissions.select("subject_id", "hadm_id", "admittime")
     limit = F.col("admittime") + F.make_dt_interval(hours=F.lit(hours))
     return listed.join(stays, ["subject_id", "hadm_id"]).where(F.col("charttime").between(F.col("admittime"), limit))
 
 
+def without_errors(events: DataFrame) -> DataFrame:
+    """Rows not marked as an error; an unknown mark is kept."""
+    return events.where(~F.col("error").eqNullSafe(F.lit(1)))
+
+
 def known_stays(df: DataFrame, hosps: DataFrame) -> DataFrame:
     """Rows (events or stays) whose admission is in the admissions table."""
     return df.join(hosps.select("hadm_id"), "hadm_id", "left_semi")

@@ -12,7 +12,7 @@ from clinspark.functions.encoding import encode_admission, encode_demographics,
 from clinspark.operators.cohort import bundle_in_cohort, in_cohort, select_cohort
 from clinspark.operators.measurements import (
     FAHRENHEIT_TO_CELSIUS, UnitRule, align_features, clean_measurements, hourly_to_stay, interventions_to_stay,
-    known_stays, one_per_key, pivot_measurements, window_events, within_hours,
+    known_stays, one_per_key, pivot_measurements, window_events, within_hours, without_errors,
 )
 from clinspark.operators.scores import ClinicalTables, extend_features
 from clinspark.schemas import STAY_KEYS, select_features
@@ -73,13 +73,14 @@ def event_measurements(
     """Cleaned labs and vitals of the cohort inside the window, as one long table.
 
     Known admissions and the cohort are applied to the admissions, whose rows the window join needs anyway:
-    the events pass one join instead of three.
+    the events pass one large join instead of three.  Items, error marks and valid ranges are tested before it.
     """
     hours, cohort = options.window_hours, select_cohort(hosps, allowed, options.cohort)
     stays = in_cohort(known_stays(admissions, hosps), cohort)
 
     def load(events: DataFrame, items: DataFrame, drop_errors: bool, rules: tuple[UnitRule, ...]) -> DataFrame:
-        return clean_measurements(window_events(events, stays, items, hours, drop_errors), items, rules)
+        usable = without_errors(events) if drop_errors else events
+        return window_events(clean_measurements(usable, items, rules), stays, hours=hours)
 
     columns = [*STAY_KEYS, "charttime", "admittime", "itemid", "feature name", "valuenum"]
     vitals = load(tables.charts, tables.chart_items, True, tables.unit_rules).select(*columns)
