@@ -442,6 +442,13 @@ SELECT s.row_id, {big('s.gender', 'gender')}, {scaled(scale_columns)} FROM feat
     sql["prepare"] = with_views(["feat"], _GROUP_MEAN_STEPS + median_steps("filled", "med") + scale_steps("med", "sc", scale_columns), f"""
 SELECT s.row_id, {big('s.y', 'y')}, {scaled(scale_columns)}, {num('s.gender', 'gender')}, {big('s.vent', 'vent')} FROM med s CROSS JOIN sc_s t""")
 
+    cohorts = (cohort_steps(name="c0") + cohort_steps(name="c1", cap=False) + cohort_steps(name="c2", no_death=True))
+    sql["join_predictions"] = with_views(hosp, cohorts, f"""
+SELECT COALESCE(c0.subject_id, c1.subject_id, c2.subject_id) AS subject_id, {num('c0.subject_id * 3 % 100 / 100.0', 'mortality_proba')},
+  {num('c1.subject_id * 7 % 100 / 100.0', 'prolonged_LOS_proba')}, {num('c2.subject_id * 11 % 100 / 100.0', 'readmission_proba')}
+FROM c0 FULL OUTER JOIN c1 ON c0.subject_id = c1.subject_id
+  FULL OUTER JOIN c2 ON c2.subject_id = COALESCE(c0.subject_id, c1.subject_id)""")
+
     sql["strat_split"], sql["strat_folds"], sql["balanced_sample"] = _SPLIT, _FOLDS, _BALANCED
     sql["confusion"] = with_views(["scored"], [("cells", "SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS t(y, predicted)")], """
 SELECT CAST(c.y AS BIGINT) AS y, CAST(c.predicted AS BIGINT) AS predicted, COUNT(s.row_id) AS n

@@ -18,10 +18,10 @@ from clinspark.operators.cohort import cohort_funnel, first_stay, in_cohort, sel
 from clinspark.operators.ensembles import RiskModel, mean_probability
 from clinspark.operators.scores import aki_by_icustay, aki_by_stay, bmi_flags, first_score, merge_severity
 from clinspark.plans import features as plans
-from clinspark.plans.scoring import score_unseen_subjects
+from clinspark.plans.scoring import outer_join_predictions, score_unseen_subjects
 from clinspark.plans.training import load_models, train_all, train_model
 from clinspark.plans.tuning import grid_search
-from clinspark.schemas import ICU_KEYS, STAY_KEYS
+from clinspark.schemas import STAY_KEYS
 from clinspark.session import configure, shared_folder
 from clinspark.sources.cache import cached_extract
 from clinspark.sources.extract import read_extract
@@ -50,10 +50,11 @@ def comparable(df: DataFrame) -> DataFrame:
 
 
 def query(fn: Query) -> Query:
+    """Register under the function's name; a trailing underscore keeps it apart from the operator it calls."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return comparable(fn(configure(spark), sf_dir))
 
-    QUERIES[fn.__name__] = run
+    QUERIES[fn.__name__.rstrip("_")] = run
     return fn
 
 
@@ -85,8 +86,6 @@ def cohort_funnel_(spark, d):
     return cohort_funnel(s.hosps(spark, d), s.cohort(spark, d), CohortOptions(drop_in_hospital_death=True))
 
 
-QUERIES["cohort_funnel"] = QUERIES.pop("cohort_funnel_")
-
 
 @query
 def first_stay_nonnull(spark, d):
@@ -229,8 +228,6 @@ def encode_admission_(spark, d):
     )
 
 
-QUERIES["encode_admission"] = QUERIES.pop("encode_admission_")
-
 
 @query
 def encode_static(spark, d):
@@ -243,8 +240,6 @@ def bmi_flags_(spark, d):
     return bmi_flags(vitals).select(*STAY_KEYS, "bmi", "high_level_of_hemoglobin", "underweight", "overweight")
 
 
-QUERIES["bmi_flags"] = QUERIES.pop("bmi_flags_")
-
 
 @query
 def features_with_target(spark, d):
@@ -273,8 +268,6 @@ def aki_by_stay_(spark, d):
     return aki_by_stay(tables.icustays, tables.kdigo, tables.stay_map)
 
 
-QUERIES["aki_by_stay"] = QUERIES.pop("aki_by_stay_")
-
 
 # --- feature composites -----------------------------------------------------------------------
 
@@ -448,6 +441,19 @@ def score_all_targets(spark, d):
     return score_unseen_subjects(study, unseen, load_models(root, configs), configs)
 
 
+@query
+def join_predictions(spark, d):
+    """Three prediction tables over different cohorts, with a number made from the subject as probability."""
+    hosps, allowed = s.hosps(spark, d), s.cohort(spark, d)
+    choices = (CohortOptions(), CohortOptions(cap_los=False), CohortOptions(drop_in_hospital_death=True))
+    return outer_join_predictions(
+        select_cohort(hosps, allowed, options).select(
+            "subject_id", (F.col("subject_id") * factor % 100 / 100).alias(outcome.value)
+        )
+        for outcome, options, factor in zip(Outcome, choices, (3, 7, 11))
+    )
+
+
 @query
 def grid_search_scores(spark, d):
     grid = {"max_depth": [2, 4], "max_features": [4], "n_estimators": [4]}

@@ -7,6 +7,7 @@ as SQL text are in ``standin_sql``.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from clinspark.config import SEVERITY_SCORES
 from clinspark.operators.cohort import base_admissions
@@ -16,8 +17,15 @@ from clinspark.plans.training import StudyData
 from clinspark.sources.extract import ExtractBundle
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; its schema is inferred on the first read only."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def _pick(index: Column, values: list[str]) -> Column:

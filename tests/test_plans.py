@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 
 from clinspark.catalog import standins as s
 from clinspark.catalog.queries import QUERIES
-from clinspark.config import CohortOptions, FeatureOptions, Outcome
+from clinspark.config import FeatureOptions
 from clinspark.operators.cohort import first_stay, select_cohort
 from clinspark.operators.labels import label_readmission
-from clinspark.operators.measurements import hourly_to_stay, window_events, within_hours
+from clinspark.operators.measurements import window_events
 from clinspark.plans.features import extract_features
 from clinspark.session import stage_table
 from clinspark.sources.extract import ExtractBundle
-from conftest import ids, ts
 
 
 @pytest.fixture
