@@ -25,8 +25,8 @@ def label_prolonged(hosps: DataFrame) -> DataFrame:
     return hosps.withColumn("target", flag(F.col("los_hosp_hr") > PROLONGED_HOURS))
 
 
-def label_readmission(hosps: DataFrame) -> DataFrame:
-    """On a subject's first stay: 1 if the second stay starts at most 30 days after it; NULL on other stays.
+def first_readmissions(hosps: DataFrame) -> DataFrame:
+    """``(subject_id, hadm_id, target)`` of each first stay: 1 if the second starts at most 30 days after it.
 
     Only the first two stays matter; ``row_number() <= 2`` is applied per task before the shuffle.
     """
@@ -42,8 +42,12 @@ def label_readmission(hosps: DataFrame) -> DataFrame:
         F.max(F.when(F.col("_rn") == 2, F.col("admittime"))).alias("_back"),
     )
     label = flag(elapsed_days(F.col("_left"), F.col("_back")) <= FOLLOW_UP_DAYS)
-    firsts = pair.select("subject_id", "hadm_id", label.alias("target"))
-    return hosps.join(firsts, ["subject_id", "hadm_id"], "left")
+    return pair.select("subject_id", "hadm_id", label.alias("target"))
+
+
+def label_readmission(hosps: DataFrame) -> DataFrame:
+    """The readmission label on first stays, NULL on other stays."""
+    return hosps.join(first_readmissions(hosps), ["subject_id", "hadm_id"], "left")
 
 
 _LABELS = {
@@ -75,8 +79,16 @@ def build_target(
     options: CohortOptions = CohortOptions(),
     excluded_subjects: Sequence[int] = OVERLAPPING_STAY_SUBJECTS,
 ) -> DataFrame:
-    """``(subject_id, hadm_id, target)``: labels over all admissions, then the cohort, then the exclusions."""
-    chosen = select_cohort(add_label(hosps, outcome), allowed, options)
+    """``(subject_id, hadm_id, target)``: labels over all admissions, then the cohort, then the exclusions.
+
+    Readmission belongs to the first stay, the only one the cohort keeps, so it is attached per subject; both
+    sides are already partitioned by subject.
+    """
+    if outcome is Outcome.READMISSION:
+        labels = first_readmissions(hosps).select("subject_id", "target")
+        chosen = select_cohort(hosps, allowed, options).join(labels, "subject_id", "left")
+    else:
+        chosen = select_cohort(add_label(hosps, outcome), allowed, options)
     return without_subjects(chosen, excluded_subjects).select("subject_id", "hadm_id", "target")
 
 
