@@ -45,8 +45,8 @@ def extract_features(
         vitals = hourly_to_stay(vitals, bundle.measured, options.extended)
         treated = interventions_to_stay(treated, bundle.treated)
     static, vitals, treated = bundle_in_cohort((bundle.static, vitals, treated), cohort)
-    if options.extended:
-        # One row per stay: the first ICU stay of each table, before the joins rather than after their product.
+    if options.aggregate:
+        # One row per stay: the first ICU stay of each table, so that the joins below build no product.
         static, vitals, treated = (one_per_key(t, STAY_KEYS, ["icustay_id"]) for t in (static, vitals, treated))
     features = align_features(static, vitals, treated, hourly=not options.aggregate)
     if not options.minimal:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from clinspark.config import FINAL_MODELS, ModelConfig, Outcome
 from clinspark.operators.ensembles import RiskModel
 from clinspark.plans.training import StudyData, outcome_features
+from clinspark.schemas import STAY_KEYS
 from clinspark.sources.tables import cohort_from_ids
 
 
@@ -19,8 +20,15 @@ def outer_join_predictions(parts: Iterable[DataFrame]) -> DataFrame:
 
 
 def score_outcome(study: StudyData, cohort: DataFrame, config: ModelConfig, model: RiskModel) -> DataFrame:
-    scored = model.score(outcome_features(study, cohort, config), ["subject_id"])
-    return scored.select("subject_id", F.col("probability").alias(config.outcome.value))
+    """One probability per subject, that of its earliest stay with features.
+
+    The extract may hold later stays of a subject as well; without this step the outer join of the outcomes
+    would pair all of them.
+    """
+    scored = model.score(outcome_features(study, cohort, config), STAY_KEYS)
+    timed = scored.join(study.hosps.select(*STAY_KEYS, "admittime"), list(STAY_KEYS), "left")
+    order = F.struct(F.col("admittime").isNull(), "admittime", "hadm_id", "probability")
+    return timed.groupBy("subject_id").agg(F.min_by("probability", order).alias(config.outcome.value))
 
 
 def score_unseen_subjects(

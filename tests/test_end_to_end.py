@@ -12,7 +12,7 @@ def test_score_all_targets(spark):
     assert scored.columns == ["subject_id", *COLUMNS]
     rows = scored.collect()
     trained = {r.subject_id for r in s.event_cohort(spark, sf_dir).collect()}
-    assert rows and len({r.subject_id for r in rows}) <= len(rows)
+    assert rows and len({r.subject_id for r in rows}) == len(rows)
     assert not trained & {r.subject_id for r in rows}
     for column in COLUMNS:
         values = [r[column] for r in rows if r[column] is not None]

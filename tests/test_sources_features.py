@@ -87,12 +87,13 @@ def test_one_row_per_stay_and_only_numbers(spark, small_dir, study):
     assert {t for c, t in features.dtypes} <= {"int", "bigint", "double"}
 
 
-def test_second_icu_stay_adds_no_row(spark, small_dir, study):
+@pytest.mark.parametrize("extended", [True, False])
+def test_second_icu_stay_adds_no_row(spark, small_dir, study, extended):
     """An admission with two ICU stays still gives one row, from its first ICU stay."""
     bundle = study.bundle
     later = lambda t: t.unionByName(t.withColumn("icustay_id", F.col("icustay_id") + 1_000_000))
     doubled = type(bundle)(later(bundle.static), later(bundle.hourly), later(bundle.interventions))
-    allowed, options = s.event_cohort(spark, small_dir), FeatureOptions(extended=True)
+    allowed, options = s.event_cohort(spark, small_dir), FeatureOptions(extended=extended)
     one = extract_features(bundle, study.hosps, allowed, options, study.clinical)
     two = extract_features(doubled, study.hosps, allowed, options, study.clinical)
     assert sorted(map(tuple, one.collect()), key=str) == sorted(map(tuple, two.collect()), key=str)
