@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 from clinspark.llm.text import gather, split_words, starts_of
 
-MEMO_WORDS = 400_000  # words a worker remembers; the memory is emptied beyond that
+MEMO_WORDS = 300_000  # words a worker remembers; the memory is emptied beyond that
 MEMO_LENGTH = 64  # longer words are encoded anew each time
 JOINED = 512  # words that go to the library in one text
 

@@ -14,8 +14,8 @@ from clinspark.session import configure
 
 # Rows and bytes that one Arrow batch brings to a Python worker: they bound the memory of every operator here.
 BATCH_SETTINGS = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
-    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "6m",
 }
 
 
