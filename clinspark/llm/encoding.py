@@ -21,22 +21,17 @@ MEMO_LENGTH = 64  # longer words are encoded anew each time
 JOINED = 512  # words that go to the library in one text
 
 
-class WordEncoder:
-    """``encode`` returns the ids of all texts in one array and the number of ids of each text."""
+class DistinctEncoder:
+    """Texts to ids by distinct words; ``encode_distinct`` of a subclass gives the ids of words as bytes."""
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+    def __init__(self) -> None:
         self.memo: dict[str, bytes] = {}
 
+    def encode_distinct(self, words: list[str]) -> dict[str, bytes]:
+        raise NotImplementedError
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and the number of ids of each text; a null text has none."""
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         texts = pc.fill_null(texts, "")
@@ -62,6 +57,22 @@ class WordEncoder:
         memo.update((w, b) for w, b in fresh.items() if len(w) <= MEMO_LENGTH)
         return [fresh[w] if w in fresh else memo[w] for w in words]
 
+
+class WordEncoder(DistinctEncoder):
+    """The words go to the tokenizers library."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
     def encode_distinct(self, words: list[str]) -> dict[str, bytes]:
         found: dict[str, bytes] = {}
         if not words:

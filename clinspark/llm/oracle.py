@@ -31,7 +31,43 @@ def components_sql(words: int, percent: int) -> str:
         FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN lowest USING (doc_id))"""
 
 
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+WARC_SQL = f"""
+    WITH own AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+    coded AS (
+        SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+            array_to_string(list_transform(range(0, 32), lambda i: substr('{BASE32}',
+                1 + (((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT) >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1)), '')
+                AS payload_digest
+        FROM own),
+    owner AS (SELECT payload_digest, max(page_id) AS owner FROM coded GROUP BY payload_digest)
+    SELECT page_id, payload_bytes, payload_digest,
+        CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN page_id <> owner THEN owner END AS refers_to
+    FROM coded JOIN owner USING (payload_digest)"""
+
+SEARCH_SQL = r"""
+    WITH word AS MATERIALIZED (
+        SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) AS term FROM documents),
+    posting AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM word GROUP BY ALL),
+    length AS (SELECT doc_id, sum(tf) AS dl FROM posting GROUP BY doc_id),
+    corpus AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM word) / (SELECT count(*) FROM documents) AS mean),
+    weight AS (
+        SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM posting, corpus GROUP BY term, n),
+    score AS (
+        SELECT q.doc_id AS query_id, p.doc_id,
+            round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score
+        FROM (SELECT DISTINCT doc_id, term FROM posting WHERE doc_id % 50 = 0) q
+        JOIN posting p USING (term) JOIN weight USING (term) JOIN length l ON l.doc_id = p.doc_id, corpus
+        GROUP BY q.doc_id, p.doc_id),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM score)
+    SELECT query_id, rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_warc": WARC_SQL,
+        "op9_search": SEARCH_SQL,
         "op3_near_dedup": f"WITH RECURSIVE {components_sql(4, 80)} SELECT *, doc_id = component_id AS kept FROM found",
     }

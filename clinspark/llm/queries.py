@@ -7,17 +7,23 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from clinspark.llm import bpe
 from clinspark.llm.files import run_folder
+from clinspark.llm.language import fit_languages, identify, training_texts
 from clinspark.llm.minhash import NearDuplicates, near_duplicates
 from clinspark.llm.packing import Packing, pack
 from clinspark.llm.quality import fit_quality, score_quality
 from clinspark.llm.records import RecordFormat, fetch, read_index, write_records
+from clinspark.llm.search import search
 from clinspark.llm.text import table, tuned
+from clinspark.llm.token_counts import Attribution, count_section_tokens
 from clinspark.llm.toxicity import fit_toxicity, score_toxicity, training_labels
+from clinspark.llm.warc import read_warc, write_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
 
 
@@ -30,6 +36,11 @@ def query(fn: Query) -> Query:
     return run
 
 
+@query
+def op1_token_counts(spark, d):
+    return count_section_tokens(table(spark, d, "documents"), Attribution(BYTE_TOKENIZER))
+
+
 @query
 def op2_toxicity(spark, d):
     documents = table(spark, d, "documents")
@@ -41,6 +52,12 @@ def op3_near_dedup(spark, d):
     return near_duplicates(table(spark, d, "documents"), NearDuplicates(words=4, percent=80))
 
 
+@query
+def op4_warc(spark, d):
+    read = read_warc(write_warc(table(spark, d, "pages"), run_folder(spark, "warc")))
+    return read.where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op5_quality(spark, d):
     documents = table(spark, d, "documents")
@@ -55,6 +72,12 @@ def op6_packing(spark, d):
     )
 
 
+@query
+def op7_language(spark, d):
+    documents = table(spark, d, "documents")
+    return identify(documents, fit_languages(training_texts(documents)))
+
+
 @query
 def op8_token_records(spark, d):
     manifest = write_records(table(spark, d, "documents"), run_folder(spark, "records"), RecordFormat(WORD_TOKENIZER, END_ID))
@@ -62,3 +85,19 @@ def op8_token_records(spark, d):
     return read.select(
         "doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
     )
+
+
+@query
+def op9_search(spark, d):
+    documents = table(spark, d, "documents")
+    queries = documents.where(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return search(documents, queries)
+
+
+@query
+def op10_bpe(spark, d):
+    coded = bpe.decode(bpe.encode(table(spark, d, "documents"), WORD_TOKENIZER), WORD_TOKENIZER)
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
