@@ -27,6 +27,8 @@ MIX_1, MIX_2, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB
 _SEEDS = np.random.default_rng(20240229)
 FACTORS = _SEEDS.integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _SEEDS.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
+LONG = 1024  # bits of the long sketch
+LONG_FACTORS = _SEEDS.integers(0, 2**63, LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 @dataclass(frozen=True)
@@ -103,14 +105,17 @@ def signatures(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def index_keys(symbols: np.ndarray, chunks: list[np.ndarray]) -> np.ndarray:
-    """The keys of each signature: every chunk with each of its symbols left out in turn."""
+    """The keys of each signature: every chunk with each of its symbols left out in turn.
+
+    The lowest six bits of a key are the place of the symbol left out.
+    """
     keys = []
     for c, chunk in enumerate(chunks):
         for gone in chunk:
             h = np.full(len(symbols), np.uint64(c * SYMBOLS + gone))
             for i in chunk[chunk != gone]:
                 h = mix(h * STEP + symbols[:, i].astype(np.uint64))
-            keys.append(h)
+            keys.append((h & ~np.uint64(SYMBOLS - 1)) | np.uint64(gone))
     return np.stack(keys, axis=1).view(np.int64)
 
 
@@ -132,6 +137,34 @@ def _sketch_distance(a: str, b: str) -> Column:
     return differing("s0") + differing("s1")
 
 
+def long_sketches(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """1,024 one-bit MinHashes of each (filled) set, in sixteen 64-bit values."""
+    bits = np.zeros((len(starts) - 1, LONG), dtype=np.uint8)
+    if len(bits):
+        for i in range(LONG):
+            bits[:, i] = mix(np.minimum.reduceat(sets * LONG_FACTORS[i], starts[:-1])) & np.uint64(1)
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
+def long_distance_allowed(percent: int) -> int:
+    """Differing bits that a pair at the linking similarity exceeds once in about a million: the mean and 4.75 deviations."""
+    differing = (1 - percent / 100) / 2
+    return int(np.ceil(LONG * differing + 4.75 * np.sqrt(LONG * differing * (1 - differing))))
+
+
+def _first_shared(a: str, b: str, chunks: list[np.ndarray]) -> Column:
+    """The place left out in the first key that two signatures (array columns) share; null if they share none.
+
+    A chunk with one differing symbol shares the key without it; a chunk without any shares all, of which the first counts.
+    """
+    cases = None
+    for chunk in chunks:
+        first, size = int(chunk[0]), len(chunk)
+        differ = F.filter(F.sequence(F.lit(first), F.lit(first + size - 1)), lambda i: F.get(a, i) != F.get(b, i))
+        cases = (F if cases is None else cases).when(F.size(differ) <= 1, F.coalesce(F.get(differ, F.lit(0)), F.lit(first)))
+    return cases
+
+
 def _symbols(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, SYMBOLS)
 
@@ -172,15 +205,19 @@ def keyed(nodes: DataFrame, options: NearDuplicates) -> DataFrame:
 
 
 def sketched(nodes: DataFrame) -> DataFrame:
-    """(node, n_shingles, s0, s1)."""
+    """(node, n_shingles, s0, s1, symbols)."""
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(parts):
             s = sketches(_symbols(b["signature"]))
+            symbols = pa.array(list(_symbols(b["signature"]).view("<i2")), pa.list_(pa.int16()))
             yield pa.RecordBatch.from_arrays(
-                [b["node"], b["n_shingles"], pa.array(s[:, 0]), pa.array(s[:, 1])], ["node", "n_shingles", "s0", "s1"]
+                [b["node"], b["n_shingles"], pa.array(s[:, 0]), pa.array(s[:, 1]), symbols],
+                ["node", "n_shingles", "s0", "s1", "symbols"],
             )
 
-    return nodes.select("node", "n_shingles", "signature").mapInArrow(rows, "node long, n_shingles long, s0 long, s1 long")
+    return nodes.select("node", "n_shingles", "signature").mapInArrow(
+        rows, "node long, n_shingles long, s0 long, s1 long, symbols array<smallint>"
+    )
 
 
 class _Join:
@@ -233,14 +270,21 @@ class _Join:
         union = F.size("s_a") + F.size("s_b") - common
         return stage_table(both.where(common * 100 >= union * self.options.percent).select("a", "b"), "links")
 
-    def leader_pairs(self, index: DataFrame, scrambled: bool) -> DataFrame:
-        """Each entry with one leader of its key: the smallest node, or another one for each key."""
-        if scrambled:
-            leaders = index.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("least"))
-            leaders = leaders.select("key", F.col("least").bitwiseXOR(F.col("key")).alias("leader"))
-            index = index.select("key", "node").join(leaders, "key")
-        pairs = index.where(F.col("node") != F.col("leader"))
-        return pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    def leader_pairs(self) -> DataFrame:
+        """Each entry of the index with the smallest node of its key."""
+        return self._ordered(self.index.where(F.col("node") != F.col("leader")), "node", "leader")
+
+    def scrambled_pairs(self, index: DataFrame, components: DataFrame) -> DataFrame:
+        """Each entry of the open index with one node of another component, chosen anew for each key."""
+        leaders = index.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("least"))
+        leaders = leaders.select("key", F.col("least").bitwiseXOR(F.col("key")).alias("leader"))
+        placed = components.select(F.col("node").alias("leader"), F.col("component").alias("led"))
+        leaders = leaders.join(placed, "leader", "left").withColumn("led", F.coalesce("led", "leader"))
+        return self._ordered(index.join(leaders, "key").where(F.col("component") != F.col("led")), "node", "leader")
+
+    @staticmethod
+    def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
+        return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
     def open_index(self, components: DataFrame) -> DataFrame:
         """Entries of the keys that still join different components: (key, node, component)."""
@@ -252,18 +296,56 @@ class _Join:
         )
         return placed.join(mixed, "key", "left_semi")
 
-    def cross_pairs(self, index: DataFrame) -> DataFrame:
-        """All pairs of different components that share a key, by size and sketch."""
-        full = index.join(sketched(self.nodes), "node")
-        left, right = (full.select("key", *(F.col(c).alias(f"{p}{c}") for c in ("node", "component", "n_shingles", "s0", "s1")))
-                       for p in ("a_", "b_"))
+    def common_shingles(self, index: DataFrame) -> DataFrame:
+        """(node, common): how many shingles of each open node a node of another component has too.
+
+        No intersection of two nodes of different components is larger than that of either, which rules out most pairs
+        of a large group of loosely similar texts before they are formed.
+        """
+        single = self.sets.join(index.select("node", "component").distinct(), "node")
+        single = single.select("node", "component", F.explode("shingles").alias("shingle"))
+        repeated = (
+            single.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+            .where("low < high").select("shingle")
+        )
+        return single.join(repeated, "shingle").groupBy("node").agg(F.count("*").alias("common"))
+
+    def _can_link(self, prefix_a: str, prefix_b: str) -> Column:
+        """Whether sizes and common shingles (columns with the given prefixes) allow the similarity."""
+        p = self.options.percent
+        total = F.col(f"{prefix_a}n_shingles") + F.col(f"{prefix_b}n_shingles")
+        return F.least(f"{prefix_a}common", f"{prefix_b}common") * (100 + p) >= total * p
+
+    def long_sketched(self, index: DataFrame) -> DataFrame:
+        """(node, bits): the long sketch of each node of the index, from its full set."""
+        def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches(parts):
+                lists = b["shingles"]
+                sets = lists.flatten().to_numpy().view(np.uint64)
+                starts = starts_of(pc.list_value_length(lists).to_numpy())
+                yield pa.RecordBatch.from_arrays(
+                    [b["node"], pa.array(list(long_sketches(sets, starts)), pa.list_(pa.int64()))], ["node", "bits"]
+                )
+
+        filled = self.sets.join(index.select("node").distinct(), "node", "left_semi").where(F.size("shingles") > 0)
+        return filled.mapInArrow(rows, "node long, bits array<long>")
+
+    def cross_pairs(self, index: DataFrame, common: DataFrame) -> DataFrame:
+        """All pairs of different components that share a key, each at the first key it shares, as far as sizes, common
+        shingles, sketches and long sketches allow a link."""
+        able = stage_table(self._linkable(index, common), "able")
+        full = able.join(common, "node").join(sketched(self.nodes), "node").join(self.long_sketched(able), "node")
+        columns = ("node", "component", "n_shingles", "common", "s0", "s1", "symbols", "bits")
+        left, right = (full.select("key", *(F.col(c).alias(f"{p}{c}") for c in columns)) for p in ("a_", "b_"))
         low, high = F.least("a_n_shingles", "b_n_shingles"), F.greatest("a_n_shingles", "b_n_shingles")
         near = (
             (F.col("a_component") < F.col("b_component")) & (low * 100 >= high * self.options.percent)
-            & (_sketch_distance("a_", "b_") <= self.options.distance)
+            & self._can_link("a_", "b_") & (_sketch_distance("a_", "b_") <= self.options.distance)
+            & (F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n)
+               <= long_distance_allowed(self.options.percent))
+            & (_first_shared("a_symbols", "b_symbols", self.options.chunks) == left["key"].bitwiseAND(F.lit(SYMBOLS - 1)))
         )
-        pairs = left.join(right, (left["key"] == right["key"]) & near)
-        return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+        return self._ordered(left.join(right, (left["key"] == right["key"]) & near), "a_node", "b_node")
 
     def components(self) -> DataFrame:
         """(node, component) of linked classes.
@@ -272,16 +354,24 @@ class _Join:
         of a row per entry.  Then every pair that shares a key and lies in different components is compared, so no
         link between components is missed; links inside a component change nothing and are not looked for.
         """
-        links = self.confirmed(self.leader_pairs(self.index, scrambled=False))
+        links = self.confirmed(self.leader_pairs())
         placed = stage_table(connected_components(links, "a", "b"), "components")
+        rest = stage_table(self.open_index(placed), "open")
         for _ in range(self.options.leader_rounds - 1):
-            rest = stage_table(self.open_index(placed), "open")
-            links = links.unionByName(self.confirmed(self.leader_pairs(rest, scrambled=True)))
+            common = stage_table(self.common_shingles(rest), "common")
+            links = links.unionByName(self.confirmed(self.scrambled_pairs(self._linkable(rest, common), placed)))
             placed = stage_table(connected_components(links, "a", "b"), "components")
-        rest = stage_table(self.open_index(placed), "open")
-        links = links.unionByName(self.confirmed(self.cross_pairs(rest)))
+            rest = stage_table(self.open_index(placed), "open")
+        common = stage_table(self.common_shingles(rest), "common")
+        links = links.unionByName(self.confirmed(self.cross_pairs(rest, common)))
         return stage_table(connected_components(links, "a", "b"), "components")
 
+    def _linkable(self, index: DataFrame, common: DataFrame) -> DataFrame:
+        """Entries of the nodes that can have a link at all: with |x| shingles, a partner holds at least its share of them."""
+        able = common.join(self.nodes.select("node", "n_shingles"), "node")
+        able = able.where(F.col("common") * 100 >= F.col("n_shingles") * self.options.percent).select("node")
+        return index.join(able, "node", "left_semi")
+
 
 def near_duplicates(documents: DataFrame, options: NearDuplicates = NearDuplicates()) -> DataFrame:
     """One row per row of ``documents``: doc_id, n_shingles, component_id, kept.
