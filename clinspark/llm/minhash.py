@@ -41,7 +41,7 @@ class NearDuplicates:
     words: int = 5
     percent: int = 80
     distance: int = 27
-    leader_rounds: int = 2
+    leader_rounds: int = 1
 
     @property
     def chunks(self) -> list[np.ndarray]:
@@ -265,7 +265,7 @@ class _Join:
         def side(name: str) -> DataFrame:
             return self.sets.select(F.col("node").alias(name), F.col("shingles").alias(f"s_{name}"))
 
-        both = self._within_distance(pairs).join(side("a"), "a").join(side("b"), "b")
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
         common = F.size(F.array_intersect("s_a", "s_b"))
         union = F.size("s_a") + F.size("s_b") - common
         return stage_table(both.where(common * 100 >= union * self.options.percent).select("a", "b"), "links")
@@ -354,12 +354,13 @@ class _Join:
         of a row per entry.  Then every pair that shares a key and lies in different components is compared, so no
         link between components is missed; links inside a component change nothing and are not looked for.
         """
-        links = self.confirmed(self.leader_pairs())
+        links = self.confirmed(self._within_distance(self.leader_pairs()))
         placed = stage_table(connected_components(links, "a", "b"), "components")
         rest = stage_table(self.open_index(placed), "open")
         for _ in range(self.options.leader_rounds - 1):
             common = stage_table(self.common_shingles(rest), "common")
-            links = links.unionByName(self.confirmed(self.scrambled_pairs(self._linkable(rest, common), placed)))
+            links = links.unionByName(self.confirmed(
+                self._within_distance(self.scrambled_pairs(self._linkable(rest, common), placed))))
             placed = stage_table(connected_components(links, "a", "b"), "components")
             rest = stage_table(self.open_index(placed), "open")
         common = stage_table(self.common_shingles(rest), "common")
