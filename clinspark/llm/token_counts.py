@@ -109,7 +109,8 @@ def span_encoder(path: str) -> SpanEncoder:
 def attribute(start: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray, rule: str) -> np.ndarray:
     """Tokens of each section, from token spans and section spans in ascending order (an interval join by search).
 
-    Characters between sections belong to none; a token whose share lies there counts for none.
+    Characters between sections belong to none; under ``majority`` a token with more than half of its characters there
+    counts for none.
     """
     out = np.zeros(len(low))
     if not len(low) or not len(start):
