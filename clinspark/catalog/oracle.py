@@ -193,14 +193,10 @@ _SCORES = ("sirs", "sapsii", "apsiii", "sofa", "lods", "oasis", "meld")
 def severity_steps(view: str) -> list[Step]:
     single = f"""SELECT subject_id, hadm_id, score_no, score FROM (
       SELECT *, row_number() OVER (PARTITION BY subject_id, hadm_id, score_no ORDER BY seq) AS rn FROM {view}) WHERE rn = 1"""
-    joins = " ".join(
-        f"JOIN single s{i} ON s{i}.score_no = {i} AND s{i}.subject_id = s1.subject_id AND s{i}.hadm_id = s1.hadm_id"
-        for i in range(2, 8)
-    )
-    columns = ", ".join(f"CAST(s{i}.score AS BIGINT) AS {n}" for i, n in enumerate(_SCORES, 1))
+    columns = ", ".join(f"CAST(max(CASE WHEN score_no = {i} THEN score END) AS BIGINT) AS {n}" for i, n in enumerate(_SCORES, 1))
     return [
         ("single", single),
-        ("sev", f"SELECT s1.subject_id, s1.hadm_id, {columns} FROM single s1 {joins} WHERE s1.score_no = 1"),
+        ("sev", f"SELECT subject_id, hadm_id, {columns} FROM single GROUP BY subject_id, hadm_id HAVING count(*) = 7"),
     ]
 
 

@@ -24,8 +24,6 @@ from clinspark.operators.sampling import balanced_limits, in_draw
 from clinspark.session import stage_table
 
 FIT_THREADS = 4
-# Points the calibrator may see: it pools them on the driver.
-CALIBRATION_POINTS = 1_000_000
 
 _FOREST_PARAMS = {"max_depth", "min_samples_split", "max_features", "n_estimators", "max_bins", "random_state"}
 _BOOSTED_PARAMS = {
@@ -127,20 +125,13 @@ def mean_probability(vectors: DataFrame, members: Sequence[Any], out: str = "raw
 
 
 def fit_calibrator(scored: DataFrame, label: str, score: str = "raw_score") -> IsotonicRegressionModel:
-    """Isotonic regression on distinct scores weighted by their row count, which gives the same fit.
-
-    Above ``CALIBRATION_POINTS`` distinct scores they are grouped to six decimals, still counting every row.
-    """
+    """Isotonic regression on distinct scores weighted by their row count, which gives the same fit."""
     points = stage_table(
         scored.groupBy(F.col(score).alias("score")).agg(
             F.avg(F.col(label).cast("double")).alias("label"), F.count("*").cast("double").alias("weight")
         ),
         "calibration",
     )
-    if points.count() > CALIBRATION_POINTS:
-        points = points.groupBy(F.round("score", 6).alias("score")).agg(
-            (F.sum(F.col("label") * F.col("weight")) / F.sum("weight")).alias("label"), F.sum("weight").alias("weight")
-        )
     return IsotonicRegression(featuresCol="score", labelCol="label", weightCol="weight").fit(points)
 
 
