@@ -233,11 +233,19 @@ _ALIGN = """FROM stat st LEFT JOIN vit v ON st.subject_id = v.subject_id AND st.
   LEFT JOIN itv i ON st.subject_id = i.subject_id AND st.hadm_id = i.hadm_id"""
 
 
-def _extended(final: str, no_death: bool = False) -> str:
+# The same with admissions of two ICU stays, aligned on the ICU stay.
+_SPLIT_VIEWS = ["ev_hosps", "ev_cohort", "static2", "hourly2", "interv2"]
+_SPLIT_STATIC = ("stat", f"""SELECT {_KEYS3}, {_STATIC_FEATURES} FROM static2
+  WHERE subject_id IN (SELECT subject_id FROM chosen)""")
+_SPLIT_ALIGN = " ".join(f"LEFT JOIN {t} {a} ON " + " AND ".join(f"st.{k} = {a}.{k}" for k in ("subject_id", "hadm_id", "icustay_id"))
+                        for t, a in (("vit", "v"), ("itv", "i")))
+
+
+def _extended(final: str, no_death: bool = False, hours_of: str = "") -> str:
     # The exact means ride along for the BMI and its flags.
     means = {"weight_mean": "wm", "height_mean": "hm", "hemoglobin_mean": "gm"}
     exact = ", ".join(f"AVG({c.removesuffix('_mean')}) AS {a}" for c, a in means.items())
-    vit, itv = extract_steps(_MORE_STATS, _IN_CHOSEN)
+    vit, itv = extract_steps(_MORE_STATS, f"{_IN_CHOSEN} {hours_of}")
     vit = (vit[0], vit[1].replace(" FROM hourly", f", {exact} FROM hourly"))
     bmi_flags = _BMI_FLAGS
     for column, alias in means.items():
@@ -421,6 +429,17 @@ WHERE h.subject_id IN (SELECT subject_id FROM chosen)""")
         _STATIC_STEP, ("vit", f"SELECT * FROM hourly WHERE hours_in <= 42 {_IN_CHOSEN}"), ("itv", f"SELECT * FROM interv WHERE hours_in <= 42 {_IN_CHOSEN}")], f"""
 SELECT st.subject_id, st.hadm_id, {_STATIC_NAMES}, {big('v.hours_in', 'hours_in')}, {', '.join(num('v.' + c, c) for c in _HOURLY_NAMES)},
   {big('i.vent', 'vent')}, {big('i.vaso', 'vaso')} {_ALIGN} AND v.hours_in = i.hours_in""")
+    split_stats = [(n, q.replace("FROM hourly", "FROM hourly2").replace("FROM interv", "FROM interv2"))
+                   for n, q in extract_steps(_STATS, _IN_CHOSEN)]
+    sql["features_extract_two_stays"] = with_views(_SPLIT_VIEWS, _EV_CHOSEN + [_SPLIT_STATIC] + split_stats, f"""
+SELECT st.subject_id, st.hadm_id, {_STATIC_NAMES}, {stay_names(_STATS, 'v')}, i.vent, i.vaso FROM stat st {_SPLIT_ALIGN}""")
+    sql["features_extract_hourly_two_stays"] = with_views(_SPLIT_VIEWS, _EV_CHOSEN + [
+        _SPLIT_STATIC, ("vit", f"SELECT * FROM hourly2 WHERE hours_in <= 42 {_IN_CHOSEN}"),
+        ("itv", f"SELECT * FROM interv2 WHERE hours_in <= 42 {_IN_CHOSEN}")], f"""
+SELECT st.subject_id, st.hadm_id, {_STATIC_NAMES}, {big('v.hours_in', 'hours_in')}, {', '.join(num('v.' + c, c) for c in _HOURLY_NAMES)},
+  {big('i.vent', 'vent')}, {big('i.vaso', 'vaso')} FROM stat st {_SPLIT_ALIGN} AND v.hours_in = i.hours_in""")
+    # The first ICU stay of an admission is the one before hour 30.
+    sql["features_extract_extended_two_stays"] = _extended("SELECT * FROM extended", hours_of="AND NOT (hadm_id % 3 = 0 AND hours_in >= 30)")
     sql["features_extract_extended"] = _extended("SELECT * FROM extended")
     sql["features_extract_selected"] = _extended("""SELECT subject_id, hadm_id, gender, age, "insurance_Self Pay",
       emergency_or_urgent_admission, sirs, sapsii, apsiii, sofa, lods, oasis, meld, dnr FROM extended""", no_death=True)

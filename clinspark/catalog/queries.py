@@ -196,8 +196,8 @@ def hourly_to_stay_extended(spark, d):
 
 @query
 def hourly_to_stay_long_form(spark, d):
-    """The form used for many features, forced on the same columns."""
-    return m.hourly_to_stay(m.within_hours(s.hourly(spark, d)), s.HOURLY_NAMES, extended=True, wide_limit=0)
+    """The form with a row per cell, on the same columns."""
+    return m.unpivoted_to_stay(m.within_hours(s.hourly(spark, d)), s.HOURLY_NAMES, extended=True)
 
 
 @query
@@ -300,6 +300,27 @@ def features_extract_extended(spark, d):
     return _extract(spark, d, FeatureOptions(extended=True))
 
 
+def _extract_split(spark, d, options):
+    """From an extract in which some admissions have two ICU stays."""
+    study = s.study(spark, d)
+    return plans.extract_features(s.split_bundle(spark, d), study.hosps, s.event_cohort(spark, d), options, study.clinical)
+
+
+@query
+def features_extract_two_stays(spark, d):
+    return _extract_split(spark, d, FeatureOptions())
+
+
+@query
+def features_extract_hourly_two_stays(spark, d):
+    return _extract_split(spark, d, FeatureOptions(aggregate=False))
+
+
+@query
+def features_extract_extended_two_stays(spark, d):
+    return _extract_split(spark, d, FeatureOptions(extended=True))
+
+
 @query
 def features_extract_selected(spark, d):
     options = FeatureOptions(CohortOptions(drop_in_hospital_death=True), extended=True, select=READMISSION_FEATURES)

@@ -131,6 +131,17 @@ SELECT subject_id, hadm_id, icustay_id, CAST(20 + subject_id % 65 AS BIGINT) AS
 FROM adm_ev a JOIN (SELECT icustay_id, intime FROM stay) s USING (icustay_id)
 """)
 
+_view("static2", ("ext_static",), """
+SELECT * FROM ext_static
+UNION ALL SELECT * REPLACE (icustay_id + 1000000 AS icustay_id) FROM ext_static WHERE hadm_id % 3 = 0
+""")
+
+for _hours in ("hourly", "interv"):
+    _view(f"{_hours}2", (_hours,), f"""
+SELECT * REPLACE (CASE WHEN hadm_id % 3 = 0 AND hours_in >= 30 THEN hadm_id + 1000000 ELSE icustay_id END AS icustay_id)
+FROM {_hours}
+""")
+
 _view("ev_patients", ("ext_static",), """
 SELECT subject_id, gender, TIMESTAMP '2000-01-01 00:00:00' - age * INTERVAL '365' DAY AS dob,
   CASE WHEN subject_id % 7 = 0 THEN leave + (subject_id % 60) * INTERVAL '1' DAY END AS dod

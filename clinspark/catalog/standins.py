@@ -275,6 +275,20 @@ def bundle(spark: SparkSession, sf_dir: str) -> ExtractBundle:
     return ExtractBundle(static_extract(spark, sf_dir), hourly(spark, sf_dir), interventions(spark, sf_dir))
 
 
+SECOND_STAY = 1_000_000
+
+
+def split_bundle(spark: SparkSession, sf_dir: str) -> ExtractBundle:
+    """Views ``static2``, ``hourly2`` and ``interv2``: every third admission has a second ICU stay from hour 30 on."""
+    base, twice, second = bundle(spark, sf_dir), F.col("hadm_id") % 3 == 0, F.col("hadm_id") + SECOND_STAY
+
+    def moved(hours: DataFrame) -> DataFrame:
+        return hours.withColumn("icustay_id", F.when(twice & (F.col("hours_in") >= 30), second).otherwise(F.col("icustay_id")))
+
+    static = base.static.unionByName(base.static.where(twice).withColumn("icustay_id", second))
+    return ExtractBundle(static, moved(base.hourly), moved(base.interventions))
+
+
 def clinical(spark: SparkSession, sf_dir: str) -> ClinicalTables:
     keys = event_stays(spark, sf_dir)
     scores = _score_tables(keys.select("subject_id", "hadm_id"))

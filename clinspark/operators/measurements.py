@@ -109,24 +109,27 @@ def _stay_stats(extended: bool) -> dict[str, object]:
 
 
 def hourly_to_stay(
-    hourly: DataFrame,
-    features: Sequence[str],
-    extended: bool = False,
-    keys: Sequence[str] = ICU_KEYS,
-    wide_limit: int | None = None,
+    hourly: DataFrame, features: Sequence[str], extended: bool = False, keys: Sequence[str] = ICU_KEYS
 ) -> DataFrame:
     """Hourly values to ``{feature}_{stat}`` per stay: mean, min, max, and with ``extended`` std and spread.
 
-    Few columns are aggregated side by side.  Beyond the code-generation width (``wide_limit`` buffers) the
-    rows are unpivoted and aggregated per (stay, feature), then pivoted back over the given feature list.
+    All columns are aggregated side by side as doubles: an hour stays one row up to the map-side combine, and the types
+    of the result depend neither on the number of features nor on a session setting.
+    """
+    return hourly.groupBy(*keys).agg(*[
+        f(F.col(f"`{c}`").cast("double")).alias(f"{c}_{stat}")
+        for c in features for stat, f in _stay_stats(extended).items()
+    ])
+
+
+def unpivoted_to_stay(
+    hourly: DataFrame, features: Sequence[str], extended: bool = False, keys: Sequence[str] = ICU_KEYS
+) -> DataFrame:
+    """The rows of ``hourly_to_stay``, aggregated per (stay, feature) and pivoted back.
+
+    Its buffers stay narrow at the cost of a row per cell; a caller chooses it, nothing switches to it.
     """
     stats = _stay_stats(extended)
-    if wide_limit is None:
-        wide_limit = int(hourly.sparkSession.conf.get("spark.sql.codegen.maxFields"))
-    if len(features) * len(stats) <= wide_limit:
-        return hourly.groupBy(*keys).agg(
-            *[f(F.col(f"`{c}`")).alias(f"{c}_{stat}") for c in features for stat, f in stats.items()]
-        )
     # Rows that only hold missing values keep their stay in the result, as in the side-by-side form.
     cells = F.array(*[F.struct(F.lit(c).alias("_f"), F.col(f"`{c}`").cast("double").alias("_v")) for c in features])
     long = hourly.select(*keys, F.inline(cells))
@@ -141,12 +144,18 @@ def interventions_to_stay(hourly: DataFrame, columns: Sequence[str], keys: Seque
 
 
 def align_features(
-    static: DataFrame, vitals: DataFrame, interventions: DataFrame, hourly: bool = False
+    static: DataFrame, vitals: DataFrame, interventions: DataFrame, hourly: bool = False, first_only: bool = False
 ) -> DataFrame:
-    """Left joins on the stay after dropping the ICU stay id; hourly interventions also match the hour."""
-    static, vitals, interventions = (t.drop("icustay_id") for t in (static, vitals, interventions))
-    keys = list(STAY_KEYS)
-    return static.join(vitals, keys, "left").join(interventions, keys + (["hours_in"] if hourly else []), "left")
+    """Left joins on the ICU stay, whose id is dropped afterwards; hourly interventions also match the hour.
+
+    An admission with several ICU stays keeps the rows of each, so nothing is lost and no stay meets the values of
+    another; with ``first_only`` it keeps those of its lowest ICU stay id.
+    """
+    keys = list(ICU_KEYS)
+    if first_only:
+        static = one_per_key(static, STAY_KEYS, ["icustay_id"])
+    aligned = static.join(vitals, keys, "left").join(interventions, keys + (["hours_in"] if hourly else []), "left")
+    return aligned.drop("icustay_id")
 
 
 def one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:

@@ -12,7 +12,7 @@ from clinspark.functions.encoding import encode_admission, encode_demographics,
 from clinspark.operators.cohort import bundle_in_cohort, in_cohort, select_cohort
 from clinspark.operators.measurements import (
     FAHRENHEIT_TO_CELSIUS, UnitRule, align_features, clean_measurements, hourly_to_stay, interventions_to_stay,
-    known_stays, one_per_key, pivot_measurements, window_events, within_hours, without_errors,
+    known_stays, pivot_measurements, window_events, within_hours, without_errors,
 )
 from clinspark.operators.scores import ClinicalTables, extend_features
 from clinspark.schemas import STAY_KEYS, select_features
@@ -31,7 +31,7 @@ def extract_features(
     options: FeatureOptions = FeatureOptions(),
     clinical: ClinicalTables | None = None,
 ) -> DataFrame:
-    """Features of the selected cohort from the hourly extract.
+    """Features of the selected cohort from the hourly extract: a row per ICU stay, the first of an admission if extended.
 
     Hour and column filters reach the scan.  Hourly rows are aggregated per stay before they meet the cohort:
     the shuffle then carries stays instead of hours, and a stay with very many rows is combined where it is
@@ -45,10 +45,7 @@ def extract_features(
         vitals = hourly_to_stay(vitals, bundle.measured, options.extended)
         treated = interventions_to_stay(treated, bundle.treated)
     static, vitals, treated = bundle_in_cohort((bundle.static, vitals, treated), cohort)
-    if options.aggregate:
-        # One row per stay: the first ICU stay of each table, so that the joins below build no product.
-        static, vitals, treated = (one_per_key(t, STAY_KEYS, ["icustay_id"]) for t in (static, vitals, treated))
-    features = align_features(static, vitals, treated, hourly=not options.aggregate)
+    features = align_features(static, vitals, treated, not options.aggregate, first_only=options.extended)
     if not options.minimal:
         features = encode_static(features)
     if options.extended:

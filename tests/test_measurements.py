@@ -54,8 +54,8 @@ def test_hour_boundaries(spark):
 
 def test_single_hour_has_no_deviation_but_zero_spread(spark):
     row = spark.createDataFrame([(1, 1, 1, 0, 5.0)], "subject_id int, hadm_id int, icustay_id int, hours_in int, hr double")
-    for limit in (100, 0):
-        got = m.hourly_to_stay(row, ["hr"], extended=True, wide_limit=limit).first()
+    for form in (m.hourly_to_stay, m.unpivoted_to_stay):
+        got = form(row, ["hr"], extended=True).first()
         assert (got.hr_std, got.hr_spread, got.hr_mean) == (None, 0.0, 5.0)
 
 
@@ -64,10 +64,25 @@ def test_wide_and_long_forms_agree_on_empty_stays(spark):
         [(1, 1, 1, 0, None, 2.0), (1, 1, 1, 1, None, 4.0), (2, 2, 2, 0, None, None)],
         "subject_id int, hadm_id int, icustay_id int, hours_in int, a double, b double",
     )
-    wide, long = (m.hourly_to_stay(df, ["a", "b"], True, wide_limit=w) for w in (100, 0))
+    wide, long = (form(df, ["a", "b"], True) for form in (m.hourly_to_stay, m.unpivoted_to_stay))
     assert sorted(map(tuple, wide.collect())) == sorted(map(tuple, long.select(wide.columns).collect()))
 
 
+def test_one_schema_at_any_width_and_input_type(spark):
+    """104 features of three types give doubles, whatever the width that code generation is limited to."""
+    names = {f"f{i}": ("int", "float", "double")[i % 3] for i in range(104)}
+    row = spark.range(3).select(
+        *[F.lit(1).alias(k) for k in ("subject_id", "hadm_id", "icustay_id")], F.col("id").cast("int").alias("hours_in"),
+        *[(F.col("id") + i).cast(t).alias(n) for i, (n, t) in enumerate(names.items())],
+    )
+    wide = m.hourly_to_stay(row, list(names), extended=True)
+    assert {t for c, t in wide.dtypes if c.startswith("f")} == {"double"} and len(wide.columns) == 3 + 5 * 104
+    got = wide.first()
+    assert all((got[f"f{i}_min"], got[f"f{i}_mean"], got[f"f{i}_max"], got[f"f{i}_std"]) == (i, i + 1, i + 2, 1.0) for i in range(104))
+    few = m.hourly_to_stay(row, ["f0", "f1", "f2"], extended=True)
+    assert few.schema.fields[3:] == wide.schema.fields[3:18]
+
+
 def test_aki_without_stages(spark):
     icu = spark.createDataFrame([(1, ts(ADM)), (2, ts(ADM))], "icustay_id bigint, intime timestamp_ntz")
     kdigo = spark.createDataFrame(

@@ -87,16 +87,28 @@ def test_one_row_per_stay_and_only_numbers(spark, small_dir, study):
     assert {t for c, t in features.dtypes} <= {"int", "bigint", "double"}
 
 
-@pytest.mark.parametrize("extended", [True, False])
-def test_second_icu_stay_adds_no_row(spark, small_dir, study, extended):
-    """An admission with two ICU stays still gives one row, from its first ICU stay."""
+def test_each_icu_stay_keeps_its_own_values(spark, small_dir, study):
+    """Two ICU stays of an admission give two rows, each with its own values; the extended form keeps the first."""
     bundle = study.bundle
-    later = lambda t: t.unionByName(t.withColumn("icustay_id", F.col("icustay_id") + 1_000_000))
-    doubled = type(bundle)(later(bundle.static), later(bundle.hourly), later(bundle.interventions))
-    allowed, options = s.event_cohort(spark, small_dir), FeatureOptions(extended=extended)
-    one = extract_features(bundle, study.hosps, allowed, options, study.clinical)
-    two = extract_features(doubled, study.hosps, allowed, options, study.clinical)
-    assert sorted(map(tuple, one.collect()), key=str) == sorted(map(tuple, two.collect()), key=str)
+    moved = lambda t: t.withColumn("icustay_id", F.col("icustay_id") + 1_000_000)
+    warmer = moved(bundle.hourly).withColumn("heart_rate", F.col("heart_rate") + 1000)
+    doubled = type(bundle)(
+        bundle.static.unionByName(moved(bundle.static)), bundle.hourly.unionByName(warmer),
+        bundle.interventions.unionByName(moved(bundle.interventions)),
+    )
+    allowed = s.event_cohort(spark, small_dir)
+
+    def rows(of, **options):
+        return sorted(map(tuple, extract_features(of, study.hosps, allowed, FeatureOptions(**options), study.clinical).collect()), key=str)
+
+    assert rows(bundle, extended=True) == rows(doubled, extended=True)
+    one, two = rows(bundle), extract_features(doubled, study.hosps, allowed, FeatureOptions()).collect()
+    assert len(two) == 2 * len(one)
+    first = [r for r in two if r.heart_rate_mean is not None and r.heart_rate_mean < 1000]
+    second = [r for r in two if r.heart_rate_mean is not None and r.heart_rate_mean >= 1000]
+    shifted = {(r.hadm_id, round(r.heart_rate_mean + 1000, 6)) for r in first}
+    assert shifted and shifted == {(r.hadm_id, round(r.heart_rate_mean, 6)) for r in second}
+    assert len(rows(doubled, aggregate=False)) == 2 * len(rows(bundle, aggregate=False))
 
 
 def test_options_and_missing_names(spark, small_dir, study):
