@@ -227,7 +227,9 @@ class _Join:
         self.options, self.nodes = options, nodes
         keys = keyed(nodes, options)
         shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
-        self.index = stage_table(keys.join(shared.select("key", "leader"), "key"), "index")
+        # Written before the join on the same key: a join straight above its aggregate could not split a hot key.
+        shared = stage_table(shared.select("key", "leader"), "shared")
+        self.index = stage_table(keys.join(shared, "key"), "index")
         # Full sets of the classes that share any key, once for all rounds.
         wanted = self.index.select(F.col("node").alias("doc_id")).distinct()
         self.sets = stage_table(self._full_sets(documents.join(wanted, "doc_id", "left_semi")), "sets")
@@ -294,7 +296,7 @@ class _Join:
             placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
             .where("low < high").select("key")
         )
-        return placed.join(mixed, "key", "left_semi")
+        return placed.join(stage_table(mixed, "mixed"), "key", "left_semi")
 
     def common_shingles(self, index: DataFrame) -> DataFrame:
         """(node, common): how many shingles of each open node a node of another component has too.
@@ -384,7 +386,8 @@ def near_duplicates(documents: DataFrame, options: NearDuplicates = NearDuplicat
     further columns, whatever their names, are not read.
     """
     base = stage_table(describe(documents, options), "sets")
-    classes = base.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("node"))
+    # Written before the join on the same column, so that a class of very many copies can be split there.
+    classes = stage_table(base.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("node")), "classes")
     members = stage_table(
         base.join(classes, "class", "left").select(
             "doc_id", "n_shingles", "node", F.when(F.col("doc_id") == F.col("node"), F.col("signature")).alias("signature")),
