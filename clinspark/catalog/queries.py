@@ -6,17 +6,21 @@ import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ByteType, DoubleType, FloatType, IntegerType, ShortType
 
 from clinspark.catalog import standins as s
-from clinspark.config import FINAL_MODELS, READMISSION_FEATURES, CohortOptions, FeatureOptions, Learner, Outcome
+from clinspark.catalog.standin_sql import LINEAR_SCORE
+from clinspark.config import (
+    FINAL_MODELS, READMISSION_FEATURES, SEVERITY_SCORES, CohortOptions, FeatureOptions, Learner, Outcome,
+)
 from clinspark.functions.encoding import encode_admission, encode_demographics
 from clinspark.functions.flags import age_group
 from clinspark.operators import attribution, labels, measurements as m, metrics, preparation as prep, sampling
 from clinspark.operators.cohort import cohort_funnel, first_stay, in_cohort, select_cohort
-from clinspark.operators.ensembles import RiskModel, mean_probability
-from clinspark.operators.scores import aki_by_icustay, aki_by_stay, bmi_flags, first_score, merge_severity
+from clinspark.operators.ensembles import RiskModel, calibrate, fit_calibrator, mean_probability
+from clinspark.operators.scores import aki_by_icustay, aki_by_stay, bmi_flags, merge_severity
 from clinspark.plans import features as plans
 from clinspark.plans.scoring import outer_join_predictions, score_unseen_subjects
 from clinspark.plans.training import load_models, train_all, train_model
@@ -253,8 +257,7 @@ def features_with_target(spark, d):
 
 @query
 def severity_merge(spark, d):
-    tables = load_score_tables(s.severity(spark, d), "seq")
-    return merge_severity(tables, "seq").join(first_score(tables["meld"], "meld", "seq"), list(STAY_KEYS))
+    return merge_severity(load_score_tables(s.severity(spark, d), "seq"), "seq", (*SEVERITY_SCORES, "meld"))
 
 
 @query
@@ -488,6 +491,64 @@ def forest_importance(spark, d):
     return attribution.forest_importance(_train(spark, d, Learner.FOREST, FOREST))
 
 
+# --- models whose answer is known -------------------------------------------------------------
+
+
+def _exact_rows(spark, d, label):
+    """Columns of few values and a label that follows from them, so that SQL knows what a model must return."""
+    return s.feature_rows(spark, d).select("row_id", "age", "gender", "vent", F.expr(label).alias("y"))
+
+
+def _train_exact(spark, d, learner, params, label, bags=10) -> RiskModel:
+    return train_model(
+        _exact_rows(spark, d, label), learner, params, label="y", key="row_id", exclude=("row_id", "y"), bags=bags
+    )
+
+
+@query
+def train_score_forest_exact(spark, d):
+    """Train at the configured size, save, load and score."""
+    path = f"{shared_folder(spark)}/models-{uuid.uuid4().hex}"
+    _train_exact(spark, d, Learner.FOREST, FINAL_MODELS[Outcome.PROLONGED_STAY].params, "gender * vent").save(path)
+    rows = _exact_rows(spark, d, "gender * vent")
+    return RiskModel.load(path, spark).score(rows, ["row_id", "y"]).drop("raw_score")
+
+
+@query
+def train_score_boosted_exact(spark, d):
+    path = f"{shared_folder(spark)}/models-{uuid.uuid4().hex}"
+    _train_exact(spark, d, Learner.BOOSTED, BOOSTED, "gender * vent", bags=2).save(path)
+    rows = _exact_rows(spark, d, "gender * vent")
+    return RiskModel.load(path, spark).score(rows, ["row_id", "y"]).drop("raw_score")
+
+
+@query
+def forest_importance_exact(spark, d):
+    return attribution.forest_importance(
+        _train_exact(spark, d, Learner.FOREST, FINAL_MODELS[Outcome.PROLONGED_STAY].params, "vent")
+    )
+
+
+@query
+def isotonic_calibration(spark, d):
+    rows = s.scored(spark, d)
+    return calibrate(rows.select("row_id", "score"), fit_calibrator(rows, "y", "score"), "score")
+
+
+@query
+def attributions_linear(spark, d):
+    """Attributions of a weighted sum."""
+    weights = F.array(*[F.lit(float(w)) for w, _ in LINEAR_SCORE.values()])
+
+    def score(df):
+        parts = F.zip_with(vector_to_array("features"), weights, lambda x, w: x * w)
+        return df.withColumn("raw_score", F.aggregate(parts, F.lit(0.0), lambda total, part: total + part))
+
+    return attribution.shapley_attributions(
+        s.feature_rows(spark, d), "row_id", tuple(LINEAR_SCORE), score, {c: b for c, (_, b) in LINEAR_SCORE.items()}
+    )
+
+
 def _attributions(spark, d):
     rows = s.feature_rows(spark, d)
     model = _train(spark, d, Learner.FOREST, FOREST)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
+# Columns of the view ``feat`` with weight and baseline of a linear score.
+LINEAR_SCORE = {"age": (2.0, 50.0), "qty": (0.5, 100.0), "price": (0.25, 1000.0), "gender": (-3.0, 0.0), "vent": (4.0, 1.0)}
 
 
 def _view(name: str, needs: tuple[str, ...], sql: str) -> None:

@@ -56,10 +56,12 @@ def shapley_attributions(
         *[F.struct(hash_order(key, seed, F.col("_perm"), F.lit(j)).alias("h"), F.lit(j).alias("j")) for j in range(n)]
     )
     ordered = base.withColumn("_order", F.transform(F.array_sort(hashes), lambda s: s["j"]))
-    stepped = ordered.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(n))))
-    entered = F.slice("_order", F.lit(1), F.col("_step"))
+    # Ranks are found once per row and permutation, so that a probe costs one comparison per feature.
+    positions = F.array(*[F.lit(j) for j in range(n)])
+    ranked = ordered.withColumn("_rank", F.transform(positions, lambda j: F.array_position("_order", j)))
+    stepped = ranked.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(n))))
     mixed = F.transform(
-        F.col("_x"), lambda v, j: F.when(F.array_contains(entered, j), v).otherwise(F.get(start, j))
+        F.col("_x"), lambda v, j: F.when(F.get("_rank", j) <= F.col("_step"), v).otherwise(F.get(start, j))
     )
     # Out of range before the first step and after the last one, which gives NULL.
     entered_now = F.get(F.col("_order"), F.col("_step") - 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -17,22 +17,30 @@ from clinspark.schemas import STAY_KEYS, require_columns
 _PRE_ADMISSION_HOURS = -6
 
 
-def merge_severity(tables: Mapping[str, DataFrame], order: str) -> DataFrame:
-    """One row per stay present in all six score tables.
+def merge_severity(tables: Mapping[str, DataFrame], order: str, scores: Sequence[str] = SEVERITY_SCORES) -> DataFrame:
+    """One row per stay present in the tables of all ``scores``, with the first value of each by ``order``.
 
-    Each table is reduced to its first row per stay (by ``order``) before joining: the same result as the
-    first row of the product of all repeats, without building the product.
+    The stacked tables are aggregated once, so all scores share one exchange and no product of repeats is built: the
+    same result as the first row of that product.
     """
-    missing = [s for s in SEVERITY_SCORES if s not in tables]
+    missing = [s for s in scores if s not in tables]
     if missing:
         raise ValueError(f"missing severity tables {missing}")
-    singles = [first_score(tables[s], s, order) for s in SEVERITY_SCORES]
-    return reduce(lambda left, right: left.join(right, list(STAY_KEYS)), singles)
-
-
-def first_score(table: DataFrame, name: str, order: str) -> DataFrame:
-    require_columns(table, [*STAY_KEYS, name], name)
-    return one_per_key(table.select(*STAY_KEYS, name, order), STAY_KEYS, [order, name]).drop(order)
+    for name in scores:
+        require_columns(tables[name], [*STAY_KEYS, name], name)
+    stacked = reduce(
+        lambda up, down: up.unionByName(down, allowMissingColumns=True),
+        [tables[s].select(*STAY_KEYS, F.col(order).alias("_order"), F.lit(s).alias("_score"), s) for s in scores],
+    )
+    # A struct also marks a stay whose first value is missing; a stay without rows in a table gets no struct.
+    first = [
+        F.min_by(F.struct(s), F.when(F.col("_score") == s, F.struct("_order", s))).alias(s) for s in scores
+    ]
+    complete = stacked.groupBy(*STAY_KEYS).agg(*first).where(reduce(lambda x, y: x & y, [F.col(s).isNotNull() for s in scores]))
+    # A missing key matches no other table's rows.
+    return complete.where(F.col(STAY_KEYS[0]).isNotNull() & F.col(STAY_KEYS[1]).isNotNull()).select(
+        *STAY_KEYS, *[F.col(f"{s}.{s}").alias(s) for s in scores]
+    )
 
 
 def aki_by_icustay(icustays: DataFrame, kdigo: DataFrame, hours: int = WINDOW_HOURS) -> DataFrame:
@@ -103,9 +111,8 @@ def bmi_flags(df: DataFrame) -> DataFrame:
 def extend_features(df: DataFrame, tables: ClinicalTables) -> DataFrame:
     """Severity scores, BMI, MELD, clinical flags and AKI; stays without scores are left out."""
     keys = list(STAY_KEYS)
-    scored = df.join(merge_severity(tables.severity, tables.order), keys).join(
-        first_score(tables.meld, "meld", tables.order), keys
-    )
+    scores = merge_severity({**tables.severity, "meld": tables.meld}, tables.order, (*SEVERITY_SCORES, "meld"))
+    scored = df.join(scores, keys)
     urgent = (F.col("admission_type_EMERGENCY") == 1) | (F.col("admission_type_URGENT") == 1)
     flagged = bmi_flags(scored).withColumn("emergency_or_urgent_admission", flag(urgent))
     return flagged.join(aki_by_stay(tables.icustays, tables.kdigo, tables.stay_map), keys, "left")

@@ -55,7 +55,7 @@ def test_readmission_limits_each_group_before_the_shuffle(spark, small_dir):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - {
     "train_score_forest", "train_score_boosted", "calibrated_scores", "score_all_targets", "grid_search_scores",
-    "forest_importance", "attributions"}))
+    "forest_importance", "attributions", "train_score_forest_exact", "train_score_boosted_exact", "forest_importance_exact"}))
 def test_no_cartesian_product_and_no_python(spark, small_dir, name):
     text = plan(QUERIES[name](spark, small_dir))
     assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin|BatchEvalPython|ArrowEvalPython|MapInPandas", text)
@@ -86,6 +86,11 @@ def skewed(spark):
     return hosps, events
 
 
+def test_scores_share_one_exchange(spark, small_dir):
+    text = plan(QUERIES["severity_merge"](spark, small_dir))
+    assert "min_by" in text and "Join" not in text.split("Union")[0]
+
+
 def test_hot_subject(spark, skewed, no_broadcast):
     hosps, _ = skewed
     rows = hosps.collect()
