@@ -21,6 +21,7 @@ from clinspark.llm.minhash import STEP, mix
 from clinspark.llm.text import batches, crc_fold, starts_of
 
 UNKNOWN = "und"
+SLICE_ROWS = 512  # texts whose n-grams are held at once
 
 
 @dataclass(frozen=True)
@@ -41,6 +42,13 @@ def letters() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
+def slices(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, which bound the n-grams held at once; every row is in one piece."""
+    for b in batches(parts):
+        for begin in range(0, b.num_rows, SLICE_ROWS):
+            yield b.slice(begin, SLICE_ROWS)
+
+
 def ngrams(texts: pa.Array, options: LanguageOptions) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket, text) of every n-gram of lower-cased words with their borders, and the letters of each text."""
     if isinstance(texts, pa.ChunkedArray):
@@ -130,7 +138,7 @@ def fit_languages(documents: DataFrame, options: LanguageOptions = LanguageOptio
 
     def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(languages) * size, dtype=np.int64)
-        for b in batches(parts):
+        for b in slices(parts):
             bucket, doc, _ = ngrams(b["text"], options)
             own = np.array([number[lang] for lang in b["lang"].to_pylist()], dtype=np.int64)
             total += np.bincount(own[doc] * size + bucket, minlength=len(total))
@@ -168,7 +176,7 @@ def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
     whatever their names, are not read.
     """
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(parts):
+        for b in slices(parts):
             best, score, ambiguous = model.predict(b["text"])
             yield pa.RecordBatch.from_arrays(
                 [b["doc_id"], b["held_out"], pa.array(best, pa.string()), pa.array(score), pa.array(ambiguous)],
