@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -35,9 +34,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 FEATURES = ("gender", "age", "qty", "disc", "price", "empty_col", "const_col", "vent")
 NUMERICAL = ("age", "qty", "disc", "price", "empty_col", "const_col", "gender")
-# Sizes of the registered training runs; the full ones are in the final configurations.
-FOREST = {"max_depth": 5, "min_samples_split": 4, "max_features": 4, "n_estimators": 10}
-BOOSTED = {"learning_rate": 0.1, "max_leaf_nodes": 8, "max_iter": 5}
+# The registered training runs have the configured sizes.
+FOREST = FINAL_MODELS[Outcome.PROLONGED_STAY].params
+BOOSTED = FINAL_MODELS[Outcome.MORTALITY].params
 
 
 def comparable(df: DataFrame) -> DataFrame:
@@ -425,10 +424,8 @@ def bootstrap_bands(spark, d):
 # --- models -----------------------------------------------------------------------------------
 
 
-def _train(spark, d, learner, params, bags=2) -> RiskModel:
-    return train_model(
-        s.feature_rows(spark, d), learner, params, label="y", key="row_id", exclude=("row_id", "y"), bags=bags
-    )
+def _train(spark, d, learner, params) -> RiskModel:
+    return train_model(s.feature_rows(spark, d), learner, params, label="y", key="row_id", exclude=("row_id", "y"))
 
 
 @query
@@ -455,14 +452,10 @@ def calibrated_scores(spark, d):
 def score_all_targets(spark, d):
     """Train the three outcomes on the cohort, save and load them, then score the other subjects."""
     study, cohort = s.study(spark, d), s.event_cohort(spark, d)
-    sizes = {Learner.FOREST: {"n_estimators": 10}, Learner.BOOSTED: {"max_iter": 3}}
-    configs = {
-        o: replace(c, params={**c.params, **sizes[c.learner]}, bags=2) for o, c in FINAL_MODELS.items()
-    }
     root = f"{shared_folder(spark)}/models-{uuid.uuid4().hex}"
-    train_all(study, cohort, configs, save_to=root)
+    train_all(study, cohort, save_to=root)
     unseen = study.hosps.select("subject_id").distinct().join(cohort, "subject_id", "left_anti")
-    return score_unseen_subjects(study, unseen, load_models(root, configs), configs)
+    return score_unseen_subjects(study, unseen, load_models(root))
 
 
 @query
@@ -480,9 +473,8 @@ def join_predictions(spark, d):
 
 @query
 def grid_search_scores(spark, d):
-    grid = {"max_depth": [2, 4], "max_features": [4], "n_estimators": [4]}
     return grid_search(
-        s.feature_rows(spark, d), Learner.FOREST, grid, label="y", key="row_id", exclude=("row_id", "y"), bags=1
+        s.feature_rows(spark, d), Learner.FOREST, label="y", key="row_id", exclude=("row_id", "y")
     ).scores
 
 
@@ -499,17 +491,17 @@ def _exact_rows(spark, d, label):
     return s.feature_rows(spark, d).select("row_id", "age", "gender", "vent", F.expr(label).alias("y"))
 
 
-def _train_exact(spark, d, learner, params, label, bags=10) -> RiskModel:
+def _train_exact(spark, d, learner, params, label) -> RiskModel:
     return train_model(
-        _exact_rows(spark, d, label), learner, params, label="y", key="row_id", exclude=("row_id", "y"), bags=bags
+        _exact_rows(spark, d, label), learner, params, label="y", key="row_id", exclude=("row_id", "y")
     )
 
 
 @query
 def train_score_forest_exact(spark, d):
-    """Train at the configured size, save, load and score."""
+    """Train, save, load and score."""
     path = f"{shared_folder(spark)}/models-{uuid.uuid4().hex}"
-    _train_exact(spark, d, Learner.FOREST, FINAL_MODELS[Outcome.PROLONGED_STAY].params, "gender * vent").save(path)
+    _train_exact(spark, d, Learner.FOREST, FOREST, "gender * vent").save(path)
     rows = _exact_rows(spark, d, "gender * vent")
     return RiskModel.load(path, spark).score(rows, ["row_id", "y"]).drop("raw_score")
 
@@ -517,7 +509,7 @@ def train_score_forest_exact(spark, d):
 @query
 def train_score_boosted_exact(spark, d):
     path = f"{shared_folder(spark)}/models-{uuid.uuid4().hex}"
-    _train_exact(spark, d, Learner.BOOSTED, BOOSTED, "gender * vent", bags=2).save(path)
+    _train_exact(spark, d, Learner.BOOSTED, BOOSTED, "gender * vent").save(path)
     rows = _exact_rows(spark, d, "gender * vent")
     return RiskModel.load(path, spark).score(rows, ["row_id", "y"]).drop("raw_score")
 
@@ -525,7 +517,7 @@ def train_score_boosted_exact(spark, d):
 @query
 def forest_importance_exact(spark, d):
     return attribution.forest_importance(
-        _train_exact(spark, d, Learner.FOREST, FINAL_MODELS[Outcome.PROLONGED_STAY].params, "vent")
+        _train_exact(spark, d, Learner.FOREST, FOREST, "vent")
     )
 
 
@@ -556,7 +548,7 @@ def _attributions(spark, d):
     # Scaled features are centred, so the baseline is the average row.
     return attribution.shapley_attributions(
         prepared, "row_id", model.features, lambda v: mean_probability(v, model.members),
-        dict.fromkeys(model.features, 0.0), permutations=1,
+        dict.fromkeys(model.features, 0.0),
     )
 
 
@@ -568,7 +560,7 @@ def attributions(spark, d):
 @query
 def top_k_by_attribution(spark, d):
     return attribution.select_by_attribution(
-        _train(spark, d, Learner.FOREST, FOREST), s.feature_rows(spark, d), "row_id", k=3, permutations=1
+        _train(spark, d, Learner.FOREST, FOREST), s.feature_rows(spark, d), "row_id", k=3
     )
 
 

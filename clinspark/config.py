@@ -166,7 +166,7 @@ class ModelConfig:
     learner: Learner
     params: dict[str, Any]
     seed: int = 0
-    bags: int = 10
+    bags: int = 100
 
 
 FINAL_MODELS = {

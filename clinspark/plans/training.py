@@ -36,7 +36,7 @@ def train_model(
     key: str = "hadm_id",
     exclude: tuple[str, ...] = ("subject_id", "hadm_id", "target"),
     seed: int = 0,
-    bags: int = 10,
+    bags: int = 100,
 ) -> RiskModel:
     """Fit one outcome on a table of keys, label and features.
 
