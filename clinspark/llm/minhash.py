@@ -93,6 +93,12 @@ def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return out[fresh], starts_of(np.bincount(owner[fresh], minlength=words.n))
 
 
+def set_names(sets: np.ndarray, starts: np.ndarray) -> list[bytes | None]:
+    """A digest of each set, the name of its class; null for an empty set."""
+    raw, at = memoryview(sets.tobytes()), (starts * 8).tolist()
+    return [hashlib.blake2b(raw[x:y], digest_size=16).digest() if y > x else None for x, y in zip(at, at[1:])]
+
+
 def signatures(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """A row of 64 symbols for each set that is not empty."""
     filled = starts[:-1][np.diff(starts) > 0]
@@ -177,11 +183,8 @@ def describe(documents: DataFrame, options: NearDuplicates) -> DataFrame:
         for b in batches(parts):
             sets, starts = shingle_sets(b["text"], size)
             symbols, n = iter(signatures(sets, starts)), np.diff(starts)
-            raw = memoryview(sets.tobytes())
-            at = (starts * 8).tolist()
-            names = [hashlib.blake2b(raw[x:y], digest_size=16).digest() if y > x else None for x, y in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], pa.array(n), pa.array(names, pa.binary()),
+                [b["doc_id"], pa.array(n), pa.array(set_names(sets, starts), pa.binary()),
                  pa.array([next(symbols).tobytes() if k else None for k in n.tolist()], pa.binary())],
                 ["doc_id", "n_shingles", "class", "signature"],
             )
@@ -223,7 +226,7 @@ def sketched(nodes: DataFrame) -> DataFrame:
 class _Join:
     """One run over the classes of a document table: candidate pairs by shared keys, links confirmed on full sets."""
 
-    def __init__(self, documents: DataFrame, nodes: DataFrame, options: NearDuplicates):
+    def __init__(self, documents: DataFrame, classes: DataFrame, nodes: DataFrame, options: NearDuplicates):
         self.options, self.nodes = options, nodes
         keys = keyed(nodes, options)
         shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
@@ -231,8 +234,13 @@ class _Join:
         shared = stage_table(shared.select("key", "leader"), "shared")
         self.index = stage_table(keys.join(shared, "key"), "index")
         # Full sets of the classes that share any key, once for all rounds.
-        wanted = self.index.select(F.col("node").alias("doc_id")).distinct()
-        self.sets = stage_table(self._full_sets(documents.join(wanted, "doc_id", "left_semi")), "sets")
+        wanted = stage_table(
+            classes.join(self.index.select("node"), "node", "left_semi").select(F.col("lowest").alias("doc_id"), "class", "node"),
+            "wanted",
+        )
+        # A doc_id may stand on rows of several classes: the class picks the text that a node stands for.
+        sets = self._full_sets(documents.join(wanted, "doc_id", "left_semi"))
+        self.sets = stage_table(sets.join(wanted.select("class", "node"), "class").select("node", "shingles"), "sets")
 
     def _full_sets(self, documents: DataFrame) -> DataFrame:
         size = self.options.words
@@ -241,10 +249,10 @@ class _Join:
             for b in batches(parts):
                 sets, starts = shingle_sets(b["text"], size)
                 lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(sets.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b["doc_id"], lists], ["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(set_names(sets, starts), pa.binary()), lists], ["class", "shingles"])
 
-        named = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        return named.mapInArrow(rows, "node long, shingles array<long>").dropDuplicates(["node"])
+        named = documents.select(F.col("text").cast("string"))
+        return named.mapInArrow(rows, "class binary, shingles array<long>").dropDuplicates(["class"])
 
     def _within_distance(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes allow the similarity and whose signatures are within the distance."""
@@ -376,43 +384,71 @@ class _Join:
         return index.join(able, "node", "left_semi")
 
 
-def near_duplicates(documents: DataFrame, options: NearDuplicates = NearDuplicates()) -> DataFrame:
-    """One row per row of ``documents``: doc_id, n_shingles, component_id, kept.
-
-    ``component_id`` is the smallest doc_id reachable over links, the row itself included; ``kept`` marks the row that
-    bears it.  Equal sets are one class and are compared once.  Null texts and texts without words have no shingles and
-    are linked with nothing.  Rows that share a doc_id count as one document and get one component; a null doc_id
-    gets the component of its class, null if the class has no other id, and is not kept.  An empty table gives no rows;
-    further columns, whatever their names, are not read.
-    """
+def _judged(documents: DataFrame, options: NearDuplicates) -> DataFrame:
+    """What ``near_duplicates`` returns, and the ``class`` of each row."""
     base = stage_table(describe(documents, options), "sets")
-    # Written before the join on the same column, so that a class of very many copies can be split there.
-    classes = stage_table(base.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("node")), "classes")
+    # Written before the join on the same column, so that a class of very many copies can be split there.  Nodes are
+    # numbers of their own, since one doc_id may stand on rows of several classes; writing them makes them last.
+    classes = base.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("lowest")).where("lowest IS NOT NULL")
+    classes = stage_table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     members = stage_table(
         base.join(classes, "class", "left").select(
-            "doc_id", "n_shingles", "node", F.when(F.col("doc_id") == F.col("node"), F.col("signature")).alias("signature")),
+            "doc_id", "n_shingles", "class", "node", "lowest",
+            F.when(F.col("doc_id") == F.col("lowest"), F.col("signature")).alias("signature")),
         "members",
     )
     nodes = stage_table(
-        members.where("signature IS NOT NULL").select("node", "n_shingles", "signature").dropDuplicates(["node"]), "nodes"
+        members.where("node IS NOT NULL AND signature IS NOT NULL").select("node", "n_shingles", "signature")
+        .dropDuplicates(["node"]),
+        "nodes",
     )
-    found = _Join(documents, nodes, options).components()
-    named = members.select("doc_id", "n_shingles", "node").join(found, "node", "left")
-    component = F.coalesce("component", "node", "doc_id")
+    found = _Join(documents, classes, nodes, options).components()
+    # A component is named by the smallest doc_id of its classes; of classes with that same doc_id one leads.
+    placed = found.join(classes, "node")
+    leaders = stage_table(placed.groupBy("component").agg(F.min(F.struct("lowest", "class")).alias("led")), "led")
+    placed = placed.join(leaders, "component").select(
+        "node", F.col("led.lowest").alias("led"), (F.col("class") == F.col("led.class")).alias("leads"))
+    named = members.drop("signature").join(stage_table(placed, "placed"), "node", "left")
+    component = F.coalesce("led", "lowest", "doc_id")
     return named.select(
         "doc_id", "n_shingles", component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
+        F.coalesce((F.col("doc_id") == component) & F.coalesce("leads", F.lit(True)), F.lit(False)).alias("kept"), "class",
     )
 
 
+def near_duplicates(documents: DataFrame, options: NearDuplicates = NearDuplicates()) -> DataFrame:
+    """One row per row of ``documents``: doc_id, n_shingles, component_id, kept.
+
+    ``component_id`` is the smallest doc_id reachable over links, the row itself included; ``kept`` marks the row that
+    bears it.  Equal sets are one class and are compared once.  Null texts and texts without words have no shingles and
+    are linked with nothing.  Rows that share a doc_id are one document only if their sets are equal: other texts under
+    that doc_id have links and components of their own, and of such texts in one component one is kept.  A null doc_id
+    gets the component of its class, null if the class has no other id, and is not kept.  An empty table gives no rows;
+    further columns, whatever their names, are not read.
+    """
+    return _judged(documents, options).drop("class")
+
+
 def keep_one(documents: DataFrame, options: NearDuplicates = NearDuplicates()) -> DataFrame:
     """The rows of ``documents``, with all their columns, without the near-duplicates: one document of a group stays.
 
-    Of rows that repeat a doc_id one stays; rows without a doc_id cannot be named as a group's document and stay.
+    Of rows that repeat a doc_id and a set of shingles one stays; different texts under one doc_id are judged each for
+    itself.  Rows without a doc_id cannot be named as a group's document and stay.
     """
-    found = near_duplicates(documents, options).where("doc_id IS NOT NULL")
-    kept = stage_table(found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("copies")), "kept")
-    kept = kept.where("kept")
-    single = documents.join(kept.where("copies = 1").select("doc_id"), "doc_id", "left_semi")
-    repeated = documents.join(kept.where("copies > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    @F.arrow_udf("binary")
+    def class_of(texts: pa.Array) -> pa.Array:
+        return pa.array(set_names(*shingle_sets(texts, options.words)), pa.binary())
+
+    found = _judged(documents, options).where("doc_id IS NOT NULL")
+    rows = found.groupBy("doc_id", "class").agg(F.max("kept").alias("kept"), F.count("*").alias("copies"))
+    rows = stage_table(rows, "judged")
+    ids = stage_table(
+        rows.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.sum("copies").alias("copies")).where("kept"), "kept")
+    single = documents.join(ids.where("copies = 1").select("doc_id"), "doc_id", "left_semi")
+    repeated = documents.join(ids.where("copies > 1").select("doc_id"), "doc_id", "left_semi")
+    repeated = repeated.select(
+        F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), class_of(F.col("text").cast("string")).alias("name"))
+    chosen = rows.where("kept").select(F.col("doc_id").alias("id"), F.col("class").alias("name"))
+    same = (repeated["id"] == chosen["id"]) & repeated["name"].eqNullSafe(chosen["name"])
+    repeated = repeated.join(chosen, same, "left_semi").dropDuplicates(["id", "name"]).select("row.*")
     return single.unionByName(repeated).unionByName(documents.where("doc_id IS NULL"))
