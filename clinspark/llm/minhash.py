@@ -3,7 +3,7 @@
 A signature has 64 symbols of 16 bits.  It is split into 14 chunks; if two signatures differ in at most 27 symbols, then
 some chunk differs in at most one (14 chunks with two errors each would be 28).  So each chunk gives one key per symbol
 left out, 64 keys in all, and every pair within the distance shares a key.  A pair at the linking similarity of 0.8
-differs in 12.8 symbols on average, with a deviation of 3.2; the chance that it differs in more than 27 is about 1e-5.
+differs in 12.8 symbols on average, with a deviation of 3.2; the chance that it differs in more than 27 is 1.4e-5.
 """
 
 from __future__ import annotations
@@ -153,9 +153,9 @@ def long_sketches(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def long_distance_allowed(percent: int) -> int:
-    """Differing bits that a pair at the linking similarity exceeds once in about a million: the mean and 4.75 deviations."""
+    """Differing bits that no pair at the linking similarity exceeds in practice: the mean and 8 deviations."""
     differing = (1 - percent / 100) / 2
-    return int(np.ceil(LONG * differing + 4.75 * np.sqrt(LONG * differing * (1 - differing))))
+    return int(np.ceil(LONG * differing + 8 * np.sqrt(LONG * differing * (1 - differing))))
 
 
 def _first_shared(a: str, b: str, chunks: list[np.ndarray]) -> Column:
