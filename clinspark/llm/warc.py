@@ -2,7 +2,7 @@
 
 Each record is a gzip member of its own, or plain bytes.  The reader checks every member and record; where a check
 fails it searches for the next gzip magic or version line at which a whole record can be read again, goes on there, and
-reports the bytes between as a gap.
+reports the bytes between as a gap.  In a gzip member of several records, the unpacked bytes are searched likewise.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ VERSION = b"WARC/1.1\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n"
 START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 PIECE = 1 << 20
 LONGEST_START = 10
 MANIFEST = "path string, n_records long, n_bytes long"
@@ -161,6 +162,30 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
     }, end + 4
 
 
+def inner_rows(data: bytes) -> list[dict]:
+    """The records of a member's unpacked bytes, and the stretches between them that hold no whole record."""
+    found, k, lost, problem = [], 0, None, ""
+
+    def gap(end: int) -> dict:
+        return {"kind": "gap", "reason": f"{problem} (unpacked bytes {lost} to {end})", "problem": problem}
+
+    while k < len(data):
+        try:
+            one, end = parse_record(data, k)
+        except Damaged as error:
+            if lost is None:
+                lost, problem = k, str(error)
+            hit = VERSION_LINE.search(data, k + 1)
+            k = hit.start() if hit else len(data)
+            continue
+        if lost is not None:
+            found.append(gap(k))
+            lost = None
+        found.append({"kind": "record", **one})
+        k = end
+    return found if lost is None else [*found, gap(len(data))]
+
+
 class Salvage:
     """Reads the records of one file in turn; holds no more than one member, or one plain record, at once."""
 
@@ -170,29 +195,43 @@ class Salvage:
     def at(self, place: int, n: int) -> bytes:
         return self.file.read_at(min(n, self.size - place), place) if place < self.size else b""
 
-    def member(self, place: int) -> tuple[list[dict], int]:
-        """The records that begin at ``place`` (those of a gzip member, or one plain record) and where they end."""
-        if self.at(place, 3) == b"\x1f\x8b\x08":
-            unpack, out, read = zlib.decompressobj(31), [], place
+    def unpacked(self, place: int) -> tuple[bytes, int, str]:
+        """What the gzip member at ``place`` holds, as far as it unpacks, where reading ended, and what was wrong."""
+        unpack, out, read = zlib.decompressobj(31), [], place
+        while not unpack.eof:
+            piece = self.at(read, PIECE)
+            if not piece:
+                return b"".join(out), read, "member is cut short"
+            before = unpack.copy()
             try:
-                while not unpack.eof:
-                    piece = self.at(read, PIECE)
-                    if not piece:
-                        raise Damaged("member is cut short")
-                    out.append(unpack.decompress(piece))
-                    read += len(piece)
+                out.append(unpack.decompress(piece))
             except zlib.error as error:
-                raise Damaged(f"member: {error}") from None
-            data, k, found = b"".join(out), 0, []
-            while k < len(data):
-                one, k = parse_record(data, k)
-                found.append(one)
-            return found, read - len(unpack.unused_data)
+                # A call that fails gives nothing, so this piece is taken again byte by byte up to the damage.
+                for k in range(len(piece)):
+                    try:
+                        out.append(before.decompress(piece[k:k + 1]))
+                    except zlib.error:
+                        break
+                return b"".join(out), read + k, f"member: {error}"
+            read += len(piece)
+        return b"".join(out), read - len(unpack.unused_data), ""
+
+    def member(self, place: int) -> tuple[list[dict], int, str]:
+        """The records and gaps that begin at ``place`` (those of a gzip member, or one plain record), where they end,
+        and what is wrong with a member of which only a part unpacks."""
+        if self.at(place, 3) == b"\x1f\x8b\x08":
+            data, end, problem = self.unpacked(place)
+            found = inner_rows(data)
+            if not any(r["kind"] == "record" for r in found) and (problem or found):
+                raise Damaged(problem or found[0]["problem"])
+            if problem and found[-1]["kind"] == "gap":
+                found.pop()  # told with the rest of the member
+            return found, end, problem
         data = self.at(place, PIECE)
         while True:
             try:
                 one, end = parse_record(data)
-                return [one], place + end
+                return [{"kind": "record", **one}], place + end, ""
             except Damaged:
                 # More bytes help only a record that is not whole yet.
                 head_end = data.find(b"\r\n\r\n")
@@ -215,21 +254,31 @@ class Salvage:
         return self.size
 
     def rows(self) -> Iterator[dict]:
-        place, gap, reason = 0, None, ""
+        """Records and gaps; those inside a gzip member bear the member's place and size, or as much as was unpacked."""
+        place, gap, reason, told, told_end = 0, None, "", [], 0
         while place < self.size:
             try:
-                found, end = self.member(place)
+                found, end, problem = self.member(place)
             except Damaged as error:
                 if gap is None:
                     gap, reason = place, str(error)
                 place = self.next_start(place + 1)
                 continue
+            if place < told_end and found and found[0] in told and self.at(place, 1) == b"W":
+                # The bytes of a damaged member that was not compressed: this record is known from unpacking it.
+                place = self.next_start(end)
+                continue
             if gap is not None:
                 yield {"kind": "gap", "at": gap, "size": place - gap, "reason": reason}
                 gap = None
             for one in found:
-                yield {"kind": "record", "at": place, "size": end - place, **one}
-            place = end
+                yield {"at": place, "size": end - place, **one}
+            if problem:
+                # Where a damaged member ends is not known, so the next start is searched from its beginning.
+                gap, reason, told, told_end = place, problem, found, end
+                place = self.next_start(place + 1)
+            else:
+                place = end
         if gap is not None:
             yield {"kind": "gap", "at": gap, "size": self.size - gap, "reason": reason}
 
