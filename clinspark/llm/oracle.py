@@ -64,9 +64,45 @@ SEARCH_SQL = r"""
     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM score)
     SELECT query_id, rank, doc_id, score FROM ranked WHERE rank <= 10"""
 
+# Whole numbers throughout; sums of gaps are kept wide until the end.
+DIVERGENCE_SQL = r"""
+    WITH own AS MATERIALIZED (
+        SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+        FROM documents),
+    word AS MATERIALIZED (SELECT row_id, lang, source, unnest(words) AS term FROM own),
+    kept AS MATERIALIZED (SELECT lang, term FROM word GROUP BY ALL HAVING count(DISTINCT row_id) >= 3),
+    counted AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM word SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+    groups AS MATERIALIZED (SELECT DISTINCT lang, source FROM own),
+    size AS MATERIALIZED (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+    cell AS MATERIALIZED (
+        SELECT lang, source, term, coalesce(n, 0) AS n, 1 + (1000000000::BIGINT * (coalesce(n, 0) + 1)) // (coalesce(total, 0) + v) AS p
+        FROM groups JOIN kept USING (lang) JOIN size USING (lang)
+        LEFT JOIN (SELECT lang, source, sum(n)::BIGINT AS total FROM counted GROUP BY ALL) USING (lang, source)
+        LEFT JOIN counted USING (lang, source, term)),
+    whole AS MATERIALIZED (
+        SELECT lang, term, 1 + (1000000000::BIGINT * (n + 1)) // (total + v) AS q
+        FROM (SELECT lang, term, sum(n)::BIGINT AS n FROM counted GROUP BY ALL)
+        JOIN (SELECT lang, sum(n)::BIGINT AS total FROM counted GROUP BY ALL) USING (lang) JOIN size USING (lang)),
+    gap AS (
+        SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+        FROM cell a JOIN cell b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    part AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+        FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN gap ON gap.lang = a.lang AND gap.source = a.source AND gap.item = b.source
+        UNION ALL
+        SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT
+        FROM cell JOIN whole USING (lang, term) WHERE n > 0 AND p > q),
+    ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM part)
+    SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op12_divergence": DIVERGENCE_SQL,
         "op4_warc": WARC_SQL,
         "op9_search": SEARCH_SQL,
         "op3_near_dedup": f"WITH RECURSIVE {components_sql(4, 80)} SELECT *, doc_id = component_id AS kept FROM found",

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clinspark.llm import bpe
+from clinspark.llm.divergence import audit_sources
 from clinspark.llm.files import run_folder
 from clinspark.llm.language import fit_languages, identify, training_texts
 from clinspark.llm.minhash import NearDuplicates, near_duplicates
@@ -101,3 +102,8 @@ def op10_bpe(spark, d):
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op12_divergence(spark, d):
+    return audit_sources(table(spark, d, "documents"))
