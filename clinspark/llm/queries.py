@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clinspark.llm import bpe
+from clinspark.llm.alignment import Alignment, align_tokenizers
 from clinspark.llm.divergence import audit_sources
 from clinspark.llm.files import run_folder
 from clinspark.llm.language import fit_languages, identify, training_texts
@@ -25,6 +26,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 END_ID = 2
 
 
@@ -104,6 +106,13 @@ def op10_bpe(spark, d):
     )
 
 
+@query
+def op11_alignment(spark, d):
+    aligned = align_tokenizers(table(spark, d, "documents"), Alignment(BYTE_TOKENIZER, PIECE_TOKENIZER))
+    digest = F.when(F.length("groups") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise(F.lit(""))
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 @query
 def op12_divergence(spark, d):
     return audit_sources(table(spark, d, "documents"))
