@@ -13,6 +13,7 @@ from clinspark.llm.divergence import audit_sources
 from clinspark.llm.files import run_folder
 from clinspark.llm.language import fit_languages, identify, training_texts
 from clinspark.llm.minhash import NearDuplicates, near_duplicates
+from clinspark.llm.neighbours import near_vectors
 from clinspark.llm.packing import Packing, pack
 from clinspark.llm.quality import fit_quality, score_quality
 from clinspark.llm.records import RecordFormat, fetch, read_index, write_records
@@ -116,3 +117,8 @@ def op11_alignment(spark, d):
 @query
 def op12_divergence(spark, d):
     return audit_sources(table(spark, d, "documents"))
+
+
+@query
+def op13_near_vectors(spark, d):
+    return near_vectors(table(spark, d, "embeddings"))
