@@ -13,13 +13,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from clinspark.llm.text import batches, gather, starts_of
+from clinspark.llm.text import batches, starts_of
 from clinspark.session import stage_table
 
 TERMS = 0  # the level under which whole terms are written
-COMBINED = 1_000_000  # terms of texts whose counts are combined before they are written
+COMBINED = 3_000_000  # terms of texts whose counts are combined before they are written
 
 # Bytes of a term: letters A to Z in either case and all bytes beyond ASCII.  Only A to Z are lower-cased.
 _BYTES = np.arange(256, dtype=np.uint8)
@@ -44,8 +45,8 @@ def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), starts_of(np.fromiter(map(len, raw), np.int64, len(raw)))
 
 
-def terms(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(distinct terms as bytes, the code of each occurrence, the text it stands in)."""
+def terms(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the terms of all texts in order, as bytes; the text that each stands in)."""
     data, at = _bytes_of(texts)
     inside = _IN_TERM[data]
     # A term begins where the byte before is no part of one, or belongs to another text.
@@ -57,75 +58,72 @@ def terms(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     first = np.flatnonzero(begins[kept])
     offsets = pa.py_buffer(np.append(first, len(kept)).astype(np.int64))
     words = pa.Array.from_buffers(pa.large_binary(), len(first), [None, offsets, pa.py_buffer(_LOWER[data[kept]])])
-    coded = words.dictionary_encode()
-    doc = np.searchsorted(at, kept[first], side="right") - 1
-    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), doc
+    return words, (np.searchsorted(at, kept[first], side="right") - 1).astype(np.int64)
 
 
 class _Combined:
-    """Occurrences of many texts, told apart by language and source, until they are written as counts."""
+    """Terms of many texts, whose languages and sources are known, until they are written as counts."""
 
     def __init__(self) -> None:
-        self.codes: dict[bytes, int] = {}
         self.groups: dict[tuple[str, str], int] = {}
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.docs = self.size = 0
+        self.words: list[pa.Array] = []
+        self.docs: list[np.ndarray] = []
+        self.group_of: list[int] = []
+        self.size = 0
 
     def add(self, batch: pa.RecordBatch) -> None:
-        words, code, doc = terms(batch["text"])
-        own = np.array([self.codes.setdefault(w, len(self.codes)) for w in words.to_pylist()], dtype=np.int64)
+        words, doc = terms(batch["text"])
+        self.words.append(words)
+        self.docs.append((doc + len(self.group_of)).astype(np.int32))
         names = zip(batch["lang"].to_pylist(), batch["source"].to_pylist())
-        group = np.array([self.groups.setdefault(n, len(self.groups)) for n in names], dtype=np.int64)
-        self.parts.append((own[code], doc + self.docs, group[doc]))
-        self.docs += batch.num_rows
-        self.size += len(code)
+        self.group_of.extend(self.groups.setdefault(n, len(self.groups)) for n in names)
+        self.size += len(words)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         """Counts of whole terms by language and source, and of the documents of each level's prefixes by language.
 
         Every pair of language and source gives at least a row, with an empty term if it has no terms.
         """
-        names, groups = list(self.codes), list(self.groups)
-        langs = list(dict.fromkeys(lang for lang, _ in groups))
-        code, doc, group = (np.concatenate(x) for x in zip(*self.parts))
-        lang_of = np.array([langs.index(lang) for lang, _ in groups], dtype=np.int64)
+        groups = list(self.groups)
+        group_langs, group_sources = pa.array([g for g, _ in groups]), pa.array([g for _, g in groups])
+        langs = group_langs.dictionary_encode()
+        lang_of = langs.indices.to_numpy().astype(np.int64)[np.array(self.group_of)]
+        group_of = np.array(self.group_of, dtype=np.int64)
+        yield self._batch(TERMS, group_langs, group_sources, pa.array([b""] * len(groups), pa.large_binary()),
+                          np.zeros(len(groups)), np.zeros(len(groups)))
+
+        coded = pa.concat_arrays(self.words).dictionary_encode()
+        names, k = coded.dictionary, max(1, len(coded.dictionary))
         # One entry per document and term, with its occurrences.
-        order = np.lexsort((code, doc))
-        code, doc, group = code[order], doc[order], group[order]
-        new = np.ones(len(code), dtype=bool)
-        new[1:] = (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])
-        at = np.flatnonzero(new)
-        n = np.diff(np.append(at, len(code)))
-        code, doc, group = code[at], doc[at], group[at]
-
-        both = group * len(names) + code
-        found, where = np.unique(both, return_inverse=True)
-        occurrences = np.bincount(where, weights=n, minlength=len(found)).astype(np.int64)
-        yield self._batch(
-            TERMS, [langs[lang_of[g]] for g in found // max(len(names), 1)], [groups[g][1] for g in found // max(len(names), 1)],
-            [names[c] for c in found % max(len(names), 1)], occurrences, np.bincount(where, minlength=len(found)))
-        yield self._batch(TERMS, [g[0] for g in groups], [g[1] for g in groups], [b""] * len(groups),
-                          np.zeros(len(groups), np.int64), np.zeros(len(groups), np.int64))
-
-        lengths = np.array([len(w) for w in names], dtype=np.int64)
+        entry, n = np.unique(np.concatenate(self.docs) * np.int64(k) + coded.indices.to_numpy(), return_counts=True)
+        self.words, self.docs, coded = [], [], None
+        doc, code = entry // k, entry % k
+        key = group_of[doc] * k + code
+        order = np.argsort(key, kind="stable")
+        found, at, docs = np.unique(key[order], return_index=True, return_counts=True)
+        group = pa.array(found // k)
+        yield self._batch(TERMS, group_langs.take(group), group_sources.take(group), names.take(pa.array(found % k)),
+                          np.add.reduceat(n[order], at) if len(at) else at, docs)
+
+        lengths = pc.binary_length(names).to_numpy()
         level = 1
         # A level matters to the terms that are longer: the rest are complete.
         while (longer := lengths > level).any():
-            prefixes: dict[bytes, int] = {}
-            prefix_of = np.array([prefixes.setdefault(w[:level], len(prefixes)) if long_ else -1
-                                  for w, long_ in zip(names, longer.tolist())], dtype=np.int64)
-            heads, mine = list(prefixes), longer[code]
-            key = np.unique((doc[mine] * len(langs) + lang_of[group[mine]]) * len(heads) + prefix_of[code[mine]])
-            found, docs = np.unique(key % (len(langs) * len(heads)), return_counts=True)
-            yield self._batch(level, [langs[k] for k in found // len(heads)], [""] * len(found),
-                              [heads[k] for k in found % len(heads)], np.zeros(len(found), np.int64), docs)
+            heads = pc.binary_slice(names.filter(pa.array(longer)), 0, level).dictionary_encode()
+            h, prefix_of = len(heads.dictionary), np.zeros(k, dtype=np.int64)
+            prefix_of[longer] = heads.indices.to_numpy()
+            mine = longer[code]
+            in_doc = np.unique(doc[mine] * np.int64(h) + prefix_of[code[mine]])
+            found, docs = np.unique(lang_of[in_doc // h] * h + in_doc % h, return_counts=True)
+            yield self._batch(level, langs.dictionary.take(pa.array(found // h)), pa.array([""] * len(found), pa.string()),
+                              heads.dictionary.take(pa.array(found % h)), np.zeros(len(found)), docs)
             level *= 2
 
     @staticmethod
-    def _batch(level: int, lang: list, source: list, term: list, n: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
+    def _batch(level: int, lang: pa.Array, source: pa.Array, term: pa.Array, n: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(lang), level, dtype=np.int32)), pa.array(lang, pa.string()), pa.array(source, pa.string()),
-             pa.array(term, pa.binary()), pa.array(n.astype(np.int64)), pa.array(docs.astype(np.int64))],
+            [pa.array(np.full(len(lang), level, dtype=np.int32)), lang.cast(pa.string()), source.cast(pa.string()),
+             term.cast(pa.binary()), pa.array(n.astype(np.int64)), pa.array(docs.astype(np.int64))],
             ["level", "lang", "source", "term", "n", "docs"],
         )
 
@@ -142,7 +140,7 @@ def counted_levels(documents: DataFrame) -> DataFrame:
             if held.size >= COMBINED:
                 yield from held.rows()
                 held = _Combined()
-        if held.parts:
+        if held.group_of:
             yield from held.rows()
 
     named = documents.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")))
@@ -172,7 +170,11 @@ def kept_prefixes(counted: DataFrame, min_docs: int) -> tuple[DataFrame | None,
 
 
 def kept_terms(counted: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
-    """Occurrences (lang, source, term, n) of the kept terms of each language, and the groups (lang, source), both written."""
+    """The kept terms of each language with their occurrences, and the groups (lang, source), both written.
+
+    A row per (lang, term) holds its occurrences ``n`` and the list ``by`` of (source, n), with an entry per source that
+    has it.  Rows are dealt once, by language and term: the sums per source and per term happen where they are.
+    """
     whole = counted.where(F.col("level") == TERMS).select("lang", "source", "term", "n", "docs")
     kept, levels = kept_prefixes(counted, min_docs)
     groups = stage_table(whole.where("length(term) = 0").select("lang", "source").distinct(), "groups")
@@ -184,11 +186,10 @@ def kept_terms(counted: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]
         headed = whole.withColumn("level", level).withColumn("prefix", _head("term", F.col("level")))
         longer = headed.where("level > 0").join(kept, ["level", "lang", "prefix"], "left_semi")
         whole = headed.where("level = 0").select(whole.columns).unionByName(longer.select(whole.columns))
-    summed = whole.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    summed = stage_table(summed, "terms")
-    enough = summed.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
-    enough = stage_table(enough.select("lang", "term"), "kept")
-    return stage_table(summed.join(enough, ["lang", "term"], "left_semi").drop("docs"), "counts"), groups
+    by_source = whole.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    by_term = by_source.groupBy("lang", "term").agg(
+        F.sum("docs").alias("docs"), F.sum("n").alias("n"), F.collect_list(F.struct("source", "n")).alias("by"))
+    return stage_table(by_term.where(F.col("docs") >= min_docs).drop("docs"), "kept"), groups
 
 
 def _probability(n: Column, total: Column, options: Divergence, vocabulary: Column) -> Column:
@@ -206,31 +207,28 @@ def audit_sources(documents: DataFrame, options: Divergence = Divergence()) -> D
 
     ``pair`` rows sum the gaps over all kept terms, also those that neither source has; the work for them follows the
     terms that occur: absent terms have one probability per source, so terms of one source only are counted by their
-    number of occurrences, and only terms of both are joined.  ``term`` rows name the terms a source has more of than
-    its language.  Rows without text, language or source count with empty ones; every row is a document, repeated ones
-    too; an empty table gives no rows; columns beside text, lang and source are not read.
+    number of occurrences, and only the sources of one term are paired.  ``term`` rows name the terms a source has more of
+    than its language.  Rows without text, language or source count with empty ones; every row is a document, repeated
+    ones too; an empty table gives no rows; columns beside text, lang and source are not read.
     """
     counted = stage_table(counted_levels(documents), "levels")
-    counts, groups = kept_terms(counted, options.min_docs)
+    kept, groups = kept_terms(counted, options.min_docs)
     # A row per language and per source from here on: joined as Spark's size check decides.
-    vocabulary = counts.groupBy("lang").agg(F.count_distinct("term").alias("v"))
-    totals = groups.join(vocabulary, "lang", "left").join(
-        counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("own")), ["lang", "source"], "left")
-    totals = totals.na.fill(0, ["v", "total", "own"])
+    whole = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n").alias("lang_total"))
+    sources = kept.select("lang", F.inline("by")).groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("own"))
+    totals = groups.join(whole, "lang", "left").join(sources, ["lang", "source"], "left")
+    totals = totals.na.fill(0, ["v", "lang_total", "total", "own"])
     absent = _probability(F.lit(0).cast("long"), F.col("total"), options, F.col("v"))
     # Without kept terms there is nothing to divide by.
     totals = stage_table(totals.withColumn("absent", F.when(F.col("v") > 0, absent).otherwise(F.lit(1).cast("long"))), "totals")
 
-    placed = counts.join(totals, ["lang", "source"])
-    placed = stage_table(
-        placed.select("lang", "source", "term", "n", _probability(F.col("n"), F.col("total"), options, F.col("v")).alias("p")), "p")
-    pairs = _pair_values(placed, totals)
-
-    language = counts.groupBy("lang", "term").agg(F.sum("n").alias("n")).join(
-        counts.groupBy("lang").agg(F.sum("n").alias("total")), "lang").join(vocabulary, "lang")
-    language = language.select("lang", "term", _probability(F.col("n"), F.col("total"), options, F.col("v")).alias("q"))
-    over = placed.where("n > 0").join(stage_table(language, "q"), ["lang", "term"]).where("p > q")
-    over = over.select("lang", "source", F.col("term").cast("string").alias("item"), _gap(F.col("p"), F.col("q")).alias("value"))
+    placed = kept.select("lang", "term", F.col("n").alias("lang_n"), F.inline("by")).join(totals, ["lang", "source"])
+    p = _probability(F.col("n"), F.col("total"), options, F.col("v"))
+    q = _probability(F.col("lang_n"), F.col("lang_total"), options, F.col("v"))
+    over = placed.select("lang", "source", F.col("term").cast("string").alias("item"), p.alias("p"), q.alias("q")).where("p > q")
+    over = over.select("lang", "source", "item", _gap(F.col("p"), F.col("q")).alias("value"))
+    alike = stage_table(placed.groupBy("lang", "source", p.alias("p")).agg(F.count("*").alias("terms")), "alike")
+    pairs = _pair_values(kept, totals, alike, options)
 
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = over.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= options.top)
@@ -240,34 +238,34 @@ def audit_sources(documents: DataFrame, options: Divergence = Divergence()) -> D
         ranked.withColumn("part", F.lit("term")).select(columns))
 
 
-def _pair_values(placed: DataFrame, totals: DataFrame) -> DataFrame:
+def _pair_values(kept: DataFrame, totals: DataFrame, alike: DataFrame, options: Divergence) -> DataFrame:
     """(lang, source, item, value): the summed gaps of each ordered pair of sources of a language.
 
     Over terms of both: the gap itself, less the gaps that the sums over one side's terms count for them.
     """
-    left = totals.select("lang", "source", "v", F.col("own").alias("own_p"), F.col("absent").alias("absent_p"))
-    right = totals.select("lang", F.col("source").alias("item"), F.col("own").alias("own_q"), F.col("absent").alias("absent_q"))
+    left = totals.select("lang", "v", "source", F.col("own").alias("own_p"), F.col("absent").alias("absent_p"), F.col("total").alias("total_p"))
+    right = totals.select(
+        "lang", F.col("source").alias("item"), F.col("own").alias("own_q"), F.col("absent").alias("absent_q"), F.col("total").alias("total_q"))
     sides = stage_table(left.join(right, "lang").where(F.col("source") != F.col("item")), "sides")
     # Terms of one side, by number of occurrences, against the other side's probability of an absent term.
-    alike = stage_table(placed.groupBy("lang", "source", "p").agg(F.count("*").alias("terms")), "alike")
     by_left = sides.join(alike, ["lang", "source"]).select(
         "lang", "source", "item", (F.col("terms") * _gap(F.col("p"), F.col("absent_q"))).alias("value"))
     by_right = sides.join(alike.select("lang", F.col("source").alias("item"), F.col("p").alias("q"), "terms"), ["lang", "item"]).select(
         "lang", "source", "item", (F.col("terms") * _gap(F.col("absent_p"), F.col("q"))).alias("value"))
-    # Terms of both sides.
-    mine = placed.select("lang", "source", "term", "p")
-    other = placed.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"))
-    shared = mine.join(other, ["lang", "term"]).where(F.col("source") != F.col("item"))
-    absents = totals.select("lang", "source", F.col("absent").alias("absent_p"))
-    shared = shared.join(absents, ["lang", "source"]).join(
-        absents.select("lang", F.col("source").alias("item"), F.col("absent_p").alias("absent_q")), ["lang", "item"])
-    p, q, absent_p, absent_q = (F.col(c) for c in ("p", "q", "absent_p", "absent_q"))
+    # Terms of both sides: how often each pair of numbers of occurrences comes with each pair of sources.
+    mine = kept.where(F.size("by") > 1).select("lang", "by", F.inline("by"))
+    shared = mine.select("lang", "source", F.col("n").alias("n_p"), F.inline(F.col("by"))).toDF("lang", "source", "n_p", "item", "n_q")
+    shared = shared.where(F.col("source") != F.col("item")).groupBy("lang", "source", "item", "n_p", "n_q").agg(F.count("*").alias("terms"))
+    shared = shared.join(sides, ["lang", "source", "item"])
+    p, q = (_probability(F.col(f"n_{x}"), F.col(f"total_{x}"), options, F.col("v")) for x in "pq")
+    absent_p, absent_q = F.col("absent_p"), F.col("absent_q")
     shared = shared.groupBy("lang", "source", "item").agg(
-        F.sum(_gap(p, q) - _gap(p, absent_q) - _gap(absent_p, q)).alias("value"), F.count("*").alias("both"))
+        F.sum(F.col("terms") * (_gap(p, q) - _gap(p, absent_q) - _gap(absent_p, q))).alias("value"), F.sum("terms").alias("both"))
+    shared = stage_table(shared, "shared")
     # Terms of neither side, by their number.
     rest = sides.join(shared.select("lang", "source", "item", "both"), ["lang", "source", "item"], "left").select(
         "lang", "source", "item",
         ((F.col("v") - F.col("own_p") - F.col("own_q") + F.coalesce("both", F.lit(0)))
-         * _gap(F.col("absent_p"), F.col("absent_q"))).alias("value"))
+         * _gap(absent_p, absent_q)).alias("value"))
     parts = rest.unionByName(by_left).unionByName(by_right).unionByName(shared.drop("both"))
     return parts.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
