@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ByteType, DoubleType, FloatType, IntegerType, ShortType
 
@@ -533,7 +532,7 @@ def attributions_linear(spark, d):
     weights = F.array(*[F.lit(float(w)) for w, _ in LINEAR_SCORE.values()])
 
     def score(df):
-        parts = F.zip_with(vector_to_array("features"), weights, lambda x, w: x * w)
+        parts = F.zip_with("features", weights, lambda x, w: x * w)
         return df.withColumn("raw_score", F.aggregate(parts, F.lit(0.0), lambda total, part: total + part))
 
     return attribution.shapley_attributions(

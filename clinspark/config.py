@@ -182,13 +182,12 @@ FINAL_MODELS = {
         Learner.FOREST,
         {"max_depth": 10, "min_samples_split": 4, "max_features": 15, "n_estimators": 100},
     ),
-    # The boosted trees of MLlib have no L2 penalty, so this configuration waives it explicitly.
     Outcome.READMISSION: ModelConfig(
         Outcome.READMISSION,
         FeatureOptions(
             cohort=CohortOptions(drop_in_hospital_death=True), extended=True, select=READMISSION_FEATURES
         ),
         Learner.BOOSTED,
-        {"learning_rate": 0.1, "max_depth": 2, "l2_regularization": 0.25, "ignore_l2": True},
+        {"learning_rate": 0.1, "max_depth": 2, "l2_regularization": 0.25},
     ),
 }

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from clinspark.config import Learner
 from clinspark.operators.ensembles import RiskModel, mean_probability
 from clinspark.operators.sampling import hash_order
+from clinspark.session import stage_table
 
 ALWAYS_KEPT = ("gender", "age")
 
@@ -18,10 +18,7 @@ def forest_importance(model: RiskModel) -> DataFrame:
     """Mean and population deviation of the impurity importance over all trees, largest first."""
     if model.learner is not Learner.FOREST:
         raise ValueError("importances over trees are defined for forests")
-    trees = [tree for member in model.members for tree in member.trees]
-    names = model.features
-    rows = [(t, names[j], float(tree.featureImportances[j])) for t, tree in enumerate(trees) for j in range(len(names))]
-    return SparkSession.getActiveSession().createDataFrame(rows, "tree int, feature string, importance double").groupBy("feature").agg(
+    return model.members.importances(model.features).groupBy("feature").agg(
         F.avg("importance").alias("importance"), F.stddev_pop("importance").alias("deviation")
     ).orderBy(F.desc("importance"), "feature")
 
@@ -38,7 +35,7 @@ def shapley_attributions(
     """Sampled Shapley values of every row, ``(key, feature, attribution)``, for any scorer.
 
     Each row is repeated once per permutation and step; step s takes its first s features from the row and the
-    others from the baseline.  ``score`` adds ``raw_score`` to a frame with a ``features`` vector.  A feature's
+    others from the baseline.  ``score`` adds ``raw_score`` to a frame with a list ``features``.  A feature's
     value is the mean score difference when it enters, so the values of a row add up to f(row) - f(baseline).
 
     A score counts for the feature that entered at its step and against the one that enters next.  These signed
@@ -67,7 +64,7 @@ def shapley_attributions(
     entered_now = F.get(F.col("_order"), F.col("_step") - 1)
     enters_next = F.get(F.col("_order"), F.col("_step"))
     probes = stepped.select(
-        key, entered_now.alias("_now"), enters_next.alias("_next"), array_to_vector(mixed).alias("features")
+        key, entered_now.alias("_now"), enters_next.alias("_next"), mixed.alias("features")
     )
     signed = F.array(
         F.struct(F.col("_now").alias("_j"), F.col("raw_score").alias("_s")),
@@ -89,7 +86,8 @@ def top_features(
     """
     spark = attributions.sparkSession
     forced = spark.createDataFrame([(name, i) for i, name in enumerate(always, 1)], "feature string, forced int")
-    means = attributions.groupBy("feature").agg(F.avg(F.abs(F.col(value))).alias("importance"))
+    # Written: a row per feature, from scoring all probes.
+    means = stage_table(attributions.groupBy("feature").agg(F.avg(F.abs(F.col(value))).alias("importance")), "importances")
     # From here on there are as many rows as features.
     ranked = means.join(forced, "feature", "full_outer").withColumn(
         "rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("importance"), "feature"))

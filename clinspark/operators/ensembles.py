@@ -4,47 +4,30 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
-from typing import Any, TypeVar
-
-from pyspark import inheritable_thread_target
-from pyspark.ml.classification import (
-    GBTClassificationModel, GBTClassifier, RandomForestClassificationModel, RandomForestClassifier,
-)
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from typing import Any
+
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clinspark.config import Learner
 from clinspark.operators.preparation import Preparation
-from clinspark.operators.sampling import balanced_limits, in_draw
+from clinspark.operators.sampling import balanced_limits, bags_of_row
+from clinspark.operators.trees import Ensemble, Growth, fit_trees
 from clinspark.session import stage_table
 
-FIT_THREADS = 4
+# Rows of one class-balanced draw that a bag learns from, at most; the draw is the same share of each class.
+FIT_ROWS = 50_000
 
 _FOREST_PARAMS = {"max_depth", "min_samples_split", "max_features", "n_estimators", "max_bins", "random_state"}
 _BOOSTED_PARAMS = {
-    "learning_rate", "max_leaf_nodes", "max_iter", "max_depth", "min_samples_leaf", "l2_regularization", "ignore_l2",
-    "max_bins", "random_state",
+    "learning_rate", "max_leaf_nodes", "max_iter", "max_depth", "min_samples_leaf", "l2_regularization", "max_bins", "random_state",
 }
 # Defaults of the histogram boosting this learner stands for.
 _BOOSTED_DEFAULTS = {"learning_rate": 0.1, "max_iter": 100, "max_leaf_nodes": 31, "min_samples_leaf": 20}
 _FOREST_DEFAULTS = {"max_depth": 30, "min_samples_split": 2, "n_estimators": 100}
-_MAX_BINS = 64
-
-T = TypeVar("T")
-
-
-def run_parallel(jobs: Sequence[Callable[[], T]], threads: int = FIT_THREADS) -> list[T]:
-    """Submit independent Spark jobs from a bounded number of driver threads, results in order."""
-    if len(jobs) <= 1 or threads <= 1:
-        return [job() for job in jobs]
-    with ThreadPool(min(threads, len(jobs))) as pool:
-        inherit = inheritable_thread_target(SparkSession.getActiveSession())
-        return [r.get() for r in [pool.apply_async(inherit(job)) for job in jobs]]
+_MAX_BINS = 255
 
 
 def check_params(learner: Learner, params: Mapping[str, Any]) -> None:
@@ -54,74 +37,56 @@ def check_params(learner: Learner, params: Mapping[str, Any]) -> None:
     unknown = set(params) - known
     if unknown:
         raise ValueError(f"unknown parameters {sorted(unknown)} for {learner.name}")
-    if params.get("l2_regularization") and not params.get("ignore_l2"):
-        raise ValueError("boosted trees here have no L2 penalty; pass ignore_l2=True to train without it")
 
 
-def make_classifier(
-    learner: Learner, params: Mapping[str, Any], n_features: int, seed: int, bags: int
-) -> RandomForestClassifier | GBTClassifier:
-    """The MLlib estimator of one bag.
-
-    ``min_samples_split`` bounds a parent, so each child gets at least half of it; ``max_leaf_nodes`` becomes
-    the depth that has room for that many leaves.
-    """
+def growth_of(learner: Learner, params: Mapping[str, Any], n_features: int, bags: int) -> Growth:
+    """How the trees of one bag grow; the trees of a forest are dealt over the bags."""
     check_params(learner, params)
     if learner is Learner.FOREST:
         p = {**_FOREST_DEFAULTS, **params}
-        subset = "sqrt" if p.get("max_features") is None else str(min(int(p["max_features"]), n_features))
-        return RandomForestClassifier(
-            labelCol="label", featuresCol="features", seed=seed,
-            numTrees=max(1, math.ceil(p["n_estimators"] / bags)),
-            maxDepth=min(30, p["max_depth"] or 30),
-            minInstancesPerNode=max(1, math.ceil(p["min_samples_split"] / 2)),
-            featureSubsetStrategy=subset, maxBins=p.get("max_bins", _MAX_BINS),
-        )
+        tried = math.isqrt(n_features) if p.get("max_features") is None else int(p["max_features"])
+        return Growth(
+            max(1, math.ceil(p["n_estimators"] / bags)), None, p["max_depth"] or 30, None, p["min_samples_split"], 1,
+            min(max(1, tried), n_features), bins=p.get("max_bins", _MAX_BINS))
     p = {**_BOOSTED_DEFAULTS, **params}
-    depth_for_leaves = math.ceil(math.log2(p["max_leaf_nodes"])) if p["max_leaf_nodes"] else 30
-    return GBTClassifier(
-        labelCol="label", featuresCol="features", seed=seed, maxIter=p["max_iter"], stepSize=float(p["learning_rate"]),
-        maxDepth=min(30, depth_for_leaves, p.get("max_depth") or 30),
-        minInstancesPerNode=p["min_samples_leaf"], maxBins=p.get("max_bins", _MAX_BINS),
-    )
+    return Growth(
+        p["max_iter"], float(p["learning_rate"]), p.get("max_depth") or 30, p["max_leaf_nodes"], 2, p["min_samples_leaf"],
+        None, float(p.get("l2_regularization") or 0.0), p.get("max_bins", _MAX_BINS))
 
 
 def to_vectors(df: DataFrame, features: Sequence[str], keep: Iterable[str]) -> DataFrame:
-    """Kept columns and one ``features`` vector.  Missing values of columns that were passed through become 0."""
-    named = [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(f"_f{i}") for i, c in enumerate(features)]
-    assembler = VectorAssembler(inputCols=[f"_f{i}" for i in range(len(features))], outputCol="features")
-    kept = [k for k in keep]
-    return assembler.transform(df.select(*[F.col(f"`{k}`") for k in kept], *named)).select(*kept, "features")
+    """Kept columns and one list ``features``.  Missing values of columns that were passed through become 0."""
+    named = [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in features]
+    return df.select(*[F.col(f"`{k}`") for k in keep], F.array(*named).alias("features"))
 
 
-def fit_members(
-    vectors: DataFrame, n_features: int, label: str, key: str, learner: Learner, params: Mapping[str, Any], bags: int,
-    seed: int, threads: int = FIT_THREADS,
-) -> list[Any]:
-    """One fitted model per class-balanced draw of ``(key, label, features)``.
+def drawn(vectors: DataFrame, label: str, key: str, bags: int, seed: int, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(member, key, label, features): a row per class-balanced draw that a row is in.
 
-    ``vectors`` should be a staged table: the draws are filters over it, so no copy per bag is made.
+    A draw takes as many rows of each class as the smallest has, together ``fit_rows`` at most.
     """
-    limits = balanced_limits(vectors, label, key, seed, range(bags))
-    data = vectors.withColumn("label", F.col(label).cast("double"))
+    limits = balanced_limits(vectors, label, key, seed, range(bags), most=fit_rows)
+    member = F.explode(bags_of_row(label, key, seed, bags, limits)).alias("member")
+    return vectors.select(member, key, F.col(label).cast("double").alias("label"), "features")
 
-    def job(bag: int) -> Callable[[], Any]:
-        rows = data.where(in_draw(label, key, seed, bag, limits)).select("label", "features")
-        return lambda: make_classifier(learner, params, n_features, seed + bag, bags).fit(rows)
 
-    return run_parallel([job(b) for b in range(bags)], threads)
+def fit_members(
+    vectors: DataFrame, n_features: int, label: str, key: str, learner: Learner, params: Mapping[str, Any], bags: int,
+    seed: int, fit_rows: int = FIT_ROWS,
+) -> Ensemble:
+    """The trees of all class-balanced draws of ``(key, label, features)``, fitted by one job and written.
+
+    ``vectors`` should be a staged table: the draws are filters over it.
+    """
+    growth = growth_of(learner, params, n_features, bags)
+    rows = drawn(vectors, label, key, bags, seed, fit_rows)
+    trees = fit_trees(rows, [growth], n_features, seed, key, bags).drop("candidate")
+    return Ensemble(stage_table(trees, "trees"), learner is Learner.BOOSTED)
 
 
-def mean_probability(vectors: DataFrame, members: Sequence[Any], out: str = "raw_score") -> DataFrame:
+def mean_probability(vectors: DataFrame, members: Ensemble, out: str = "raw_score") -> DataFrame:
     """Average P(class 1) over the members; adds only the column ``out``."""
-    columns = vectors.columns
-    scored = vectors
-    for i, member in enumerate(members):
-        model = member.copy()
-        model.setPredictionCol("").setRawPredictionCol("_raw").setProbabilityCol("_prob")
-        scored = model.transform(scored).withColumn(f"_p{i}", vector_to_array("_prob")[1]).drop("_raw", "_prob")
-    total = sum((F.col(f"_p{i}") for i in range(len(members))), F.lit(0.0))
-    return scored.select(*columns, (total / len(members)).alias(out))
+    return vectors.withColumn(out, members.probability(F.col("features")))
 
 
 def fit_calibrator(scored: DataFrame, label: str, score: str = "raw_score") -> IsotonicRegressionModel:
@@ -143,11 +108,11 @@ def calibrate(df: DataFrame, calibrator: IsotonicRegressionModel, score: str, ou
 
 @dataclass(frozen=True)
 class RiskModel:
-    """Preparation, bagged classifiers and calibrator of one outcome."""
+    """Preparation, bagged trees and calibrator of one outcome."""
 
     learner: Learner
     preparation: Preparation
-    members: tuple[Any, ...]
+    members: Ensemble
     calibrator: IsotonicRegressionModel
 
     @property
@@ -164,11 +129,11 @@ class RiskModel:
         return calibrated.withColumn("predicted", (F.col("probability") > 0.5).cast("int"))
 
     def save(self, path: str) -> None:
-        spark = SparkSession.getActiveSession()
-        for i, member in enumerate(self.members):
-            member.write().overwrite().save(f"{path}/members/{i}")
+        """The trees as one table, the calibrator, and last the description, without which nothing is loaded."""
+        spark = self.members.table.sparkSession
+        self.members.table.write.mode("overwrite").parquet(f"{path}/trees")
         self.calibrator.write().overwrite().save(f"{path}/calibrator")
-        meta = {"learner": self.learner.value, "members": len(self.members), "preparation": self.preparation.to_json()}
+        meta = {"learner": self.learner.value, "preparation": self.preparation.to_json()}
         spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
     @classmethod
@@ -176,9 +141,8 @@ class RiskModel:
         spark = spark or SparkSession.getActiveSession()
         meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
         learner = Learner(meta["learner"])
-        kind = RandomForestClassificationModel if learner is Learner.FOREST else GBTClassificationModel
         return cls(
             learner, Preparation.from_json(meta["preparation"]),
-            tuple(kind.load(f"{path}/members/{i}") for i in range(meta["members"])),
+            Ensemble(spark.read.parquet(f"{path}/trees"), learner is Learner.BOOSTED),
             IsotonicRegressionModel.load(f"{path}/calibrator"),
         )

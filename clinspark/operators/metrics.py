@@ -30,10 +30,10 @@ def confusion(scored: DataFrame, y: str = "y", score: str = "score") -> DataFram
     return counts.select(F.inline(F.array(*rows)))
 
 
-def _class_metrics(counts: DataFrame) -> DataFrame:
+def _class_metrics(counts: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     called = F.col("score") > DECISION_LIMIT
     total = lambda column, condition: F.coalesce(F.sum(F.when(condition, F.col(column))), F.lit(0)).cast("double")
-    cells = counts.agg(
+    cells = counts.groupBy(*groups).agg(
         total("pos", called).alias("tp"), total("neg", called).alias("fp"),
         total("pos", ~called).alias("fn"), total("neg", ~called).alias("tn"),
     )
@@ -43,7 +43,7 @@ def _class_metrics(counts: DataFrame) -> DataFrame:
     known = sum((F.when(r.isNotNull(), 1).otherwise(0) for r in recalls), F.lit(0))
     summed = sum((F.coalesce(r, F.lit(0.0)) for r in recalls), F.lit(0.0))
     return cells.select(
-        F.try_divide(tp + tn, tp + fp + fn + tn).alias("acc"),
+        *groups, F.try_divide(tp + tn, tp + fp + fn + tn).alias("acc"),
         F.try_divide(summed, known).alias("balanced_acc"),
         F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), F.lit(0.0)).alias("f1_score"),
     )
@@ -109,14 +109,14 @@ def roc_points(scored: DataFrame, y: str = "y", score: str = "score", piece_rows
     return points.unionByName(_end_point(points, threshold=None, fpr=0.0, tpr=0.0))
 
 
-def _ranking_metrics(counts: DataFrame, piece_rows: int, floor: float = 0.8) -> DataFrame:
+def _ranking_metrics(counts: DataFrame, piece_rows: int, floor: float = 0.8, groups: Sequence[str] = ()) -> DataFrame:
     """Average precision and the recall at a precision floor in one aggregate.
 
     The recall gained at a score is its own positives over all positives, so the step sum needs no ``lag``.
     """
-    counted = curve_counts(counts, piece_rows=piece_rows)
+    counted = curve_counts(counts, groups, piece_rows)
     gain = F.coalesce(F.try_divide(F.col("pos"), F.col("n_pos")), F.lit(0.0))
-    return counted.agg(
+    return counted.groupBy(*groups).agg(
         F.coalesce(F.max(F.when(_precision() >= floor, _recall())), F.lit(0.0)).alias("PR80"),
         F.coalesce(F.sum(gain * _precision()), F.lit(0.0)).alias("ap"),
     )
@@ -137,14 +137,15 @@ def recall_at_precision(
 
 
 def metric_report(
-    scored: DataFrame, subset: str = "test", y: str = "y", score: str = "score", piece_rows: int = PIECE_ROWS
+    scored: DataFrame, subset: str = "test", y: str = "y", score: str = "score", piece_rows: int = PIECE_ROWS,
+    groups: Sequence[str] = (),
 ) -> DataFrame:
-    """Five rows ``(metric, subset, value)``: acc, balanced_acc, f1_score, PR80, ap."""
-    counts = score_counts(scored, y, score)
-    classes, ranking = _class_metrics(counts), _ranking_metrics(counts, piece_rows)
+    """Five rows ``(metric, subset, value)``: acc, balanced_acc, f1_score, PR80, ap; as many for each of ``groups``."""
+    counts = score_counts(scored, y, score, groups)
+    classes, ranking = _class_metrics(counts, groups), _ranking_metrics(counts, piece_rows, groups=groups)
     parts = [(classes, ("acc", "balanced_acc", "f1_score")), (ranking, ("PR80", "ap"))]
     rows = [
-        df.select(F.inline(F.array(*[
+        df.select(*groups, F.inline(F.array(*[
             F.struct(F.lit(n).alias("metric"), F.lit(subset).alias("subset"), F.col(n).alias("value")) for n in names
         ])))
         for df, names in parts

@@ -92,14 +92,18 @@ def stratified_folds(
 
 
 def balanced_limits(
-    df: DataFrame, label: str, key: str, seed: int = 0, bags: Sequence[int] = (0,), piece_rows: int = PIECE_ROWS
+    df: DataFrame, label: str, key: str, seed: int = 0, bags: Sequence[int] = (0,), piece_rows: int = PIECE_ROWS,
+    most: int | None = None,
 ) -> dict[tuple, str]:
     """The largest hash admitted per (bag, class): every class keeps as many rows as the smallest one has.
 
-    All bags are served by the same passes; only (key, label) is read and nothing but thresholds comes back.
+    ``most`` bounds the rows of a bag.  All bags are served by the same passes; only (key, label) is read and nothing
+    but thresholds comes back.
     """
     sizes = group_sizes(df, [label])
     quota = min(sizes.values(), default=0)
+    if most is not None and sizes:
+        quota = min(quota, max(1, most // len(sizes)))
     per_bag = df.select(key, label).withColumn("bag", F.explode(F.array(*[F.lit(b) for b in bags])))
     hashed = per_bag.select("bag", label, hash_order(key, seed, F.col("bag")).alias("_h"))
     groups = {(b, *c): n for b in bags for c, n in sizes.items()}
@@ -116,6 +120,11 @@ def in_draw(label: str, key: str, seed: int, bag: int, limits: dict[tuple, str])
     return F.coalesce(hash_order(key, seed, bag) <= _by_class(label, own), F.lit(False))
 
 
+def bags_of_row(label: str, key: str, seed: int, bags: int, limits: dict[tuple, str]) -> Column:
+    """The numbers of the bags that a row is in."""
+    return F.array_compact(F.array(*[F.when(in_draw(label, key, seed, b, limits), F.lit(b)) for b in range(bags)]))
+
+
 def balanced_draw(
     df: DataFrame, label: str, key: str, seed: int = 0, bag: int = 0, piece_rows: int = PIECE_ROWS
 ) -> DataFrame:
@@ -129,7 +138,4 @@ def balanced_draws(
 ) -> DataFrame:
     """Several draws side by side, told apart by ``bag``: one filter per bag over a single scan."""
     limits = balanced_limits(df, label, key, seed, range(bags), piece_rows)
-    member_of = F.array_compact(
-        F.array(*[F.when(in_draw(label, key, seed, b, limits), F.lit(b)) for b in range(bags)])
-    )
-    return df.withColumn("bag", F.explode(member_of))
+    return df.withColumn("bag", F.explode(bags_of_row(label, key, seed, bags, limits)))

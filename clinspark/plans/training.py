@@ -44,16 +44,16 @@ def train_model(
     and the calibration read those files instead of rebuilding the features.
     """
     check_params(learner, params)
-    split = stratified_split(stage_table(data, "features", spread=True), label, key, seed, CALIBRATION_SHARE)
+    split = stratified_split(stage_table(data, "features"), label, key, seed, CALIBRATION_SHARE)
     training = split.where("is_holdout = 0").drop("is_holdout")
     preparation = fit_preparation(training, exclude)
     keep = [key, label, "is_holdout"]
-    vectors = stage_table(to_vectors(preparation.transform(split), preparation.features, keep), "vectors", spread=True)
+    vectors = stage_table(to_vectors(preparation.transform(split), preparation.features, keep), "vectors")
     members = fit_members(
         vectors.where("is_holdout = 0"), len(preparation.features), label, key, learner, params, bags, seed
     )
     held_out = mean_probability(vectors.where("is_holdout = 1"), members)
-    return RiskModel(learner, preparation, tuple(members), fit_calibrator(held_out, label))
+    return RiskModel(learner, preparation, members, fit_calibrator(held_out, label))
 
 
 @dataclass(frozen=True)

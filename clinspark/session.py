@@ -52,22 +52,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stage_table(df: DataFrame, name: str, spread: bool = False) -> DataFrame:
+def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the written table.
 
-    Cuts the lineage before work that scans the same rows many times (tree fits, folds, bags, curves).  The
-    table outlives lost executors, and reading it back keeps column pruning and filter pushdown.  With
-    ``spread`` a table that would be read in fewer splits than there are cores is written again in as many
-    files, which pays where each row costs much work.
+    Cuts the lineage before work that scans the same rows many times (folds, bags, curves).  The table outlives lost
+    executors, and reading it back keeps column pruning and filter pushdown.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/staged/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    staged = spark.read.schema(df.schema).parquet(path)
-    if not spread:
-        return staged
-    cores = spark.sparkContext.defaultParallelism
-    if staged.rdd.getNumPartitions() >= cores:
-        return staged
-    staged.repartition(cores).write.parquet(f"{path}-spread")
-    return spark.read.schema(df.schema).parquet(f"{path}-spread")
+    return spark.read.schema(df.schema).parquet(path)

@@ -61,15 +61,12 @@ def test_calibrator_pools_and_interpolates(spark):
 def test_parameters_are_checked():
     with pytest.raises(ValueError, match="unknown"):
         ensembles.check_params(Learner.FOREST, {"depth": 3})
-    with pytest.raises(ValueError, match="L2"):
-        ensembles.check_params(Learner.BOOSTED, {"l2_regularization": 0.25})
     with pytest.raises(ValueError, match="learner"):
         ensembles.check_params("svm", {})
-    ensembles.check_params(Learner.BOOSTED, {"l2_regularization": 0.25, "ignore_l2": True})
-    model = ensembles.make_classifier(Learner.BOOSTED, {"max_leaf_nodes": 50}, 5, 0, 1)
-    assert model.getMaxDepth() == 6
-    tree = ensembles.make_classifier(Learner.FOREST, {"min_samples_split": 4, "max_features": 15, "n_estimators": 100}, 5, 0, 10)
-    assert (tree.getMinInstancesPerNode(), tree.getFeatureSubsetStrategy(), tree.getNumTrees()) == (2, "5", 10)
+    boosted = ensembles.growth_of(Learner.BOOSTED, {"max_leaf_nodes": 50, "l2_regularization": 0.25}, 5, 100)
+    assert (boosted.leaves, boosted.l2, boosted.rounds, boosted.rate, boosted.min_leaf) == (50, 0.25, 100, 0.1, 20)
+    tree = ensembles.growth_of(Learner.FOREST, {"min_samples_split": 4, "max_features": 15, "n_estimators": 100}, 5, 10)
+    assert (tree.min_split, tree.tried, tree.rounds, tree.rate) == (4, 5, 10, None)
 
 
 def test_options_that_contradict():
@@ -114,6 +111,19 @@ def test_outer_join_of_predictions(spark):
     assert [tuple(r) for r in got] == [(1, 0.5, None, None), (2, 0.5, 0.5, 0.5), (3, None, None, 0.5)]
 
 
+def test_grid_search_shares_trees(data):
+    """Candidates that differ in depth or number of trees have the scores of their own fits."""
+    grid = {"max_depth": [2, 5], "n_estimators": [2, 4], "max_features": [2]}
+    together = {(r.params, r.fold): r.score for r in grid_search(data, Learner.FOREST, grid, bags=2, folds=3, **ARGS).scores.collect()}
+    assert len(together) == 12
+    for one in expand_grid(grid)[1:3]:
+        alone = grid_search(data, Learner.FOREST, {k: [v] for k, v in one.items()}, bags=2, folds=3, **ARGS).scores.collect()
+        assert {(r.params, r.fold): r.score for r in alone}.items() <= together.items()
+    stages = {"max_iter": [2, 6], "max_leaf_nodes": [4], "learning_rate": [0.1, 1.0]}
+    result = grid_search(data, Learner.BOOSTED, stages, scoring="average_precision", bags=2, folds=3, **ARGS)
+    assert result.scores.count() == 12 and all(0.3 < r.score <= 1 for r in result.scores.collect())
+
+
 def test_grid_search(data):
     grid = {"max_depth": [1, 4], "n_estimators": [4]}
     result = grid_search(data, Learner.FOREST, grid, bags=1, folds=3, **ARGS)
