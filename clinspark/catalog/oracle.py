@@ -494,9 +494,23 @@ SELECT row_id, {num('s.score', 'score')}, {num('i.probability', 'probability')}
     sql["attributions_linear"] = with_views(["feat"], [], " UNION ALL ".join(
         f"SELECT row_id, '{c}' AS feature, {num(f'{w} * (COALESCE({c}, 0) - {b})', 'attribution')} FROM feat"
         for c, (w, b) in LINEAR_SCORE.items()))
+    # Subjects outside the cohort that have the features of each outcome; extended features need a row of scores.
+    others = ("others", "SELECT DISTINCT subject_id FROM ev_hosps WHERE subject_id NOT IN (SELECT subject_id FROM ev_cohort)")
+    cohorts = cohort_steps("ev_hosps", "others", name="c0") + cohort_steps("ev_hosps", "others", name="c2", no_death=True)
+    with_scores = "FROM ext_static JOIN sev USING (subject_id, hadm_id)"
+    sql["unseen_coverage"] = with_views(_EXTRACT_VIEWS + ["ev_severity"], [others, *cohorts, *severity_steps("ev_severity")], f"""
+SELECT subject_id, CAST(1 AS BIGINT) AS mortality_proba,
+  CASE WHEN subject_id IN (SELECT subject_id {with_scores}) THEN CAST(1 AS BIGINT) END AS "prolonged_LOS_proba",
+  CASE WHEN subject_id IN (SELECT subject_id {with_scores} WHERE subject_id IN (SELECT subject_id FROM c2)) THEN CAST(1 AS BIGINT) END AS readmission_proba
+FROM (SELECT DISTINCT subject_id FROM ext_static WHERE subject_id IN (SELECT subject_id FROM c0))""")
     # Labels that follow from the columns are learnt exactly.
     exact = f"SELECT row_id, {big('gender * vent', 'y')}, {num('gender * vent', 'probability')}, {big('gender * vent', 'predicted')} FROM feat"
     sql["train_score_forest_exact"] = sql["train_score_boosted_exact"] = with_views(["feat"], [], exact)
+    sql["grid_search_exact"] = """
+SELECT '{"max_depth": ' || d || ', "max_features": ' || f || ', "min_samples_split": ' || s || ', "n_estimators": 100}' AS params,
+  CAST(fold AS BIGINT) AS fold, CAST(1 AS DOUBLE) AS score
+FROM (SELECT unnest([6, 8, 10, 12]) AS d) CROSS JOIN (SELECT unnest([7, 15]) AS f) CROSS JOIN (SELECT unnest([2, 4]) AS s)
+CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS fold)"""
     sql["forest_importance_exact"] = with_views(["feat"], [], """
 SELECT feature, CAST(feature = 'vent' AS DOUBLE) AS importance, 0.0::DOUBLE AS deviation
 FROM (SELECT unnest(['age', 'gender', 'vent']) AS feature) WHERE EXISTS (SELECT 1 FROM feat WHERE vent = 1)""")

@@ -20,7 +20,7 @@ from clinspark.operators.cohort import cohort_funnel, first_stay, in_cohort, sel
 from clinspark.operators.ensembles import RiskModel, calibrate, fit_calibrator, mean_probability
 from clinspark.operators.scores import aki_by_icustay, aki_by_stay, bmi_flags, merge_severity
 from clinspark.plans import features as plans
-from clinspark.plans.scoring import outer_join_predictions, score_unseen_subjects
+from clinspark.plans.scoring import outcome_coverage, outer_join_predictions, score_unseen_subjects
 from clinspark.plans.training import load_models, train_all, train_model
 from clinspark.plans.tuning import grid_search
 from clinspark.schemas import STAY_KEYS
@@ -457,6 +457,14 @@ def score_all_targets(spark, d):
     return score_unseen_subjects(study, unseen, load_models(root))
 
 
+@query
+def unseen_coverage(spark, d):
+    """Which outcomes each subject outside the cohort gets a score for."""
+    study = s.study(spark, d)
+    unseen = study.hosps.select("subject_id").distinct().join(s.event_cohort(spark, d), "subject_id", "left_anti")
+    return outcome_coverage(study, unseen)
+
+
 @query
 def join_predictions(spark, d):
     """Three prediction tables over different cohorts, with a number made from the subject as probability."""
@@ -513,6 +521,14 @@ def train_score_boosted_exact(spark, d):
     return RiskModel.load(path, spark).score(rows, ["row_id", "y"]).drop("raw_score")
 
 
+@query
+def grid_search_exact(spark, d):
+    """The default grid on a label that every candidate learns."""
+    return grid_search(
+        _exact_rows(spark, d, "gender * vent"), Learner.FOREST, label="y", key="row_id", exclude=("row_id", "y")
+    ).scores
+
+
 @query
 def forest_importance_exact(spark, d):
     return attribution.forest_importance(

@@ -108,6 +108,11 @@ def _stay_stats(extended: bool) -> dict[str, object]:
     return stats
 
 
+def stay_columns(features: Sequence[str], extended: bool = False) -> list[str]:
+    """The columns that ``hourly_to_stay`` makes of the features."""
+    return [f"{c}_{stat}" for c in features for stat in _stay_stats(extended)]
+
+
 def hourly_to_stay(
     hourly: DataFrame, features: Sequence[str], extended: bool = False, keys: Sequence[str] = ICU_KEYS
 ) -> DataFrame:

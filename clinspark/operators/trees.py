@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 LEAF = -1
 SCORE_CELLS = 1_000_000  # row and tree pairs that a task walks at once
 TREES = (
-    "candidate int, member int, tree int, feature array<int>, threshold array<double>, left array<int>, right array<int>, "
+    "candidate int, member int, tree int, feature array<int>, threshold array<double>, left array<int>, "
     "value array<double>, gain array<double>"
 )
 
@@ -68,7 +68,7 @@ class _Tree:
 
     def __init__(self, data: Binned, g: np.ndarray, h: np.ndarray, growth: Growth, seed: tuple[int, ...]):
         self.data, self.g, self.h, self.growth, self.seed = data, g, h, growth, seed
-        self.nodes: list[list] = []  # feature, threshold, left, right, value, gain
+        self.nodes: list[list] = []  # feature, threshold, left child (the right one stands behind it), value, gain
         self.rows_of: dict[int, np.ndarray] = {}
         order = itertools.count()
         queue: list[tuple] = []
@@ -76,7 +76,7 @@ class _Tree:
         def opened(rows: np.ndarray, depth: int, path: int) -> int:
             total, weight = g[rows].sum(), h[rows].sum()
             node = len(self.nodes)
-            self.nodes.append([LEAF, 0.0, node, node, total / (weight + growth.l2) if weight + growth.l2 > 0 else 0.0, 0.0])
+            self.nodes.append([LEAF, 0.0, node, total / (weight + growth.l2) if weight + growth.l2 > 0 else 0.0, 0.0])
             self.rows_of[node] = rows
             if depth < growth.depth and len(rows) >= max(growth.min_split, 2 * growth.min_leaf):
                 found = self.best_split(rows, total, weight, path)
@@ -92,8 +92,9 @@ class _Tree:
             _, _, node, depth, path, (gain, feature, code) = heapq.heappop(queue)
             rows = self.rows_of.pop(node)
             under = data.codes[rows, feature] <= code
-            left, right = opened(rows[under], depth + 1, 2 * path), opened(rows[~under], depth + 1, 2 * path + 1)
-            self.nodes[node] = [feature, float(data.cuts[feature][code]), left, right, self.nodes[node][4], gain]
+            left = opened(rows[under], depth + 1, 2 * path)
+            opened(rows[~under], depth + 1, 2 * path + 1)
+            self.nodes[node] = [feature, float(data.cuts[feature][code]), left, self.nodes[node][3], gain]
             leaves += 1
 
     def best_split(self, rows: np.ndarray, total: float, weight: float, path: int) -> tuple[float, int, int] | None:
@@ -147,9 +148,9 @@ def grown(x: np.ndarray, y: np.ndarray, growth: Growth, seed: tuple[int, ...]) -
         p = 1 / (1 + np.exp(-score))
         tree = _Tree(data, y - p, p * (1 - p), growth, (*seed, t))
         for node in tree.nodes:
-            node[4] *= growth.rate
+            node[3] *= growth.rate
         for node, rows in tree.rows_of.items():
-            score[rows] += tree.nodes[node][4]
+            score[rows] += tree.nodes[node][3]
         yield t, tree.nodes
 
 
@@ -176,9 +177,9 @@ def fit_trees(
         out = []
         for candidate, growth in enumerate(growths):
             for tree, nodes in grown(x, y, growth, (seed, given["member"])):
-                feature, threshold, left, right, value, gain = (list(c) for c in zip(*nodes))
+                feature, threshold, left, value, gain = (list(c) for c in zip(*nodes))
                 out.append({"candidate": candidate, "tree": tree, "feature": feature, "threshold": threshold, "left": left,
-                            "right": right, "value": value, "gain": gain, **given})
+                            "value": value, "gain": gain, **given})
         return pa.Table.from_pylist(out, schema=shape)
 
     schema = TREES + "".join(f", {c} {kinds[c]}" for c in extra)
@@ -207,7 +208,7 @@ class Ensemble:
 
     @cached_property
     def flat(self) -> Flat:
-        columns = ("member", "tree", "feature", "threshold", "left", "right", "value")
+        columns = ("member", "tree", "feature", "threshold", "left", "value")
         return Flat.of(self.table.select(*columns).orderBy("member", "tree").toArrow(), self.boosted)
 
     def probability(self, features: Column) -> Column:
@@ -234,12 +235,12 @@ class Ensemble:
 
 @dataclass(frozen=True)
 class Flat:
-    """Node arrays of all trees end to end; a leaf leads to itself."""
+    """Node arrays of all trees end to end; ``left`` is the place of the left child."""
 
+    inner: np.ndarray
     feature: np.ndarray
     threshold: np.ndarray
     left: np.ndarray
-    right: np.ndarray
     value: np.ndarray
     roots: np.ndarray
     member_at: np.ndarray
@@ -247,31 +248,34 @@ class Flat:
 
     @classmethod
     def of(cls, trees: pa.Table, boosted: bool) -> Flat:
-        lists = {c: trees[c].combine_chunks() for c in ("feature", "threshold", "left", "right", "value")}
+        lists = {c: trees[c].combine_chunks() for c in ("feature", "threshold", "left", "value")}
         sizes = np.diff(lists["feature"].offsets.to_numpy()) if trees.num_rows else np.zeros(0, np.int64)
         roots = np.concatenate(([0], np.cumsum(sizes)))[:-1].astype(np.int64)
         flat = {c: v.flatten().to_numpy(zero_copy_only=False) for c, v in lists.items()}
         shift = np.repeat(roots, sizes)
         members = trees["member"].to_numpy()
         at = np.flatnonzero(np.append(True, members[1:] != members[:-1])) if len(members) else np.zeros(0, np.int64)
-        inner = flat["feature"] != LEAF
         return cls(
-            np.where(inner, flat["feature"], 0).astype(np.int32), np.where(inner, flat["threshold"], np.inf),
-            (flat["left"] + shift).astype(np.int32), (flat["right"] + shift).astype(np.int32), flat["value"], roots, at, boosted)
+            flat["feature"] != LEAF, flat["feature"].astype(np.int32), flat["threshold"], (flat["left"] + shift).astype(np.int32),
+            flat["value"], roots, at, boosted)
 
     def values(self, x: np.ndarray, depth: int | None = None, until: int | None = None) -> np.ndarray:
         """Of each row and tree: the value of the node it ends in, at most ``depth`` levels down; the first ``until`` trees
-        of each member if that is given."""
-        roots = self.roots if until is None else self.roots[self._first(until)]
-        at = np.tile(roots.astype(np.int32), (len(x), 1))
-        row, level = np.arange(len(x))[:, None], 0
-        while depth is None or level < depth:
-            down = np.where(x[row, self.feature[at]] <= self.threshold[at], self.left[at], self.right[at])
+        of each member if that is given.  Only pairs that have not reached a leaf go on to the next level."""
+        roots = (self.roots if until is None else self.roots[self._first(until)]).astype(np.int32)
+        ends = np.tile(roots, len(x))
+        open_ = np.flatnonzero(self.inner[ends])
+        cells, width = x.ravel(), x.shape[1]
+        at, first = ends[open_], (open_ // max(1, len(roots))) * width
+        level = 0
+        while len(open_) and (depth is None or level < depth):
+            # The right child stands behind the left one.
+            at = self.left[at] + (cells[first + self.feature[at]] > self.threshold[at])
+            ends[open_] = at
+            on = np.flatnonzero(self.inner[at])
+            open_, at, first = open_[on], at[on], first[on]
             level += 1
-            if (down == at).all():
-                break
-            at = down
-        return self.value[at]
+        return self.value[ends].reshape(len(x), len(roots))
 
     def _first(self, until: int) -> np.ndarray:
         ends = np.append(self.member_at[1:], len(self.roots))

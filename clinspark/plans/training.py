@@ -16,7 +16,7 @@ from clinspark.operators.labels import build_target, features_with_target
 from clinspark.operators.preparation import Preparation, column_groups
 from clinspark.operators.sampling import stratified_split
 from clinspark.operators.scores import ClinicalTables
-from clinspark.plans.features import extract_features
+from clinspark.plans.features import StayTables, aggregate_stays, extract_features
 from clinspark.session import stage_table
 from clinspark.sources.extract import ExtractBundle
 
@@ -65,8 +65,15 @@ class StudyData:
     clinical: ClinicalTables
 
 
-def outcome_features(study: StudyData, allowed: DataFrame, config: ModelConfig) -> DataFrame:
-    return extract_features(study.bundle, study.hosps, allowed, config.features, study.clinical)
+def shared_stays(study: StudyData, allowed: DataFrame, configs: Mapping[Outcome, ModelConfig]) -> dict[int, StayTables]:
+    """What the outcomes share of their features: the hourly tables aggregated once."""
+    return aggregate_stays(study.bundle, allowed, [c.features for c in configs.values()])
+
+
+def outcome_features(
+    study: StudyData, allowed: DataFrame, config: ModelConfig, stays: Mapping[int, StayTables] | None = None
+) -> DataFrame:
+    return extract_features(study.bundle, study.hosps, allowed, config.features, study.clinical, stays)
 
 
 def training_table(
@@ -74,9 +81,10 @@ def training_table(
     allowed: DataFrame,
     config: ModelConfig,
     excluded_subjects: tuple[int, ...] = OVERLAPPING_STAY_SUBJECTS,
+    stays: Mapping[int, StayTables] | None = None,
 ) -> DataFrame:
     target = build_target(study.hosps, allowed, config.outcome, config.features.cohort, excluded_subjects)
-    return features_with_target(outcome_features(study, allowed, config), target)
+    return features_with_target(outcome_features(study, allowed, config, stays), target)
 
 
 def model_path(root: str, outcome: Outcome) -> str:
@@ -91,13 +99,15 @@ def train_all(
 ) -> dict[Outcome, RiskModel]:
     """One model per configured outcome, each saved under its own path if ``save_to`` is given.
 
-    The base admissions are staged once; every outcome reads them for its cohort and its target.
+    The base admissions are staged once; every outcome reads them for its cohort and its target.  The hourly tables are
+    aggregated once for all outcomes.
     """
     study = replace(study, hosps=stage_table(study.hosps, "hosps"))
+    stays = shared_stays(study, allowed, configs)
     models = {}
     for outcome, config in configs.items():
         # Readmission is unknown on later stays, which the raw-event form keeps.
-        data = training_table(study, allowed, config).where(F.col("target").isNotNull())
+        data = training_table(study, allowed, config, stays=stays).where(F.col("target").isNotNull())
         models[outcome] = train_model(data, config.learner, config.params, seed=config.seed, bags=config.bags)
         if save_to is not None:
             models[outcome].save(model_path(save_to, outcome))

@@ -16,8 +16,8 @@ RNG = np.random.default_rng(5)
 def table_of(trees, member=0):
     rows = []
     for t, nodes in trees:
-        feature, threshold, left, right, value, gain = (list(c) for c in zip(*nodes))
-        rows.append({"member": member, "tree": t, "feature": feature, "threshold": threshold, "left": left, "right": right,
+        feature, threshold, left, value, gain = (list(c) for c in zip(*nodes))
+        rows.append({"member": member, "tree": t, "feature": feature, "threshold": threshold, "left": left,
                      "value": value, "gain": gain})
     return pa.Table.from_pylist(rows)
 
@@ -25,9 +25,9 @@ def table_of(trees, member=0):
 def walked(nodes, x, depth=None):
     at, level = 0, 0
     while nodes[at][0] != LEAF and (depth is None or level < depth):
-        at = nodes[at][2] if x[nodes[at][0]] <= nodes[at][1] else nodes[at][3]
+        at = nodes[at][2] + int(x[nodes[at][0]] > nodes[at][1])
         level += 1
-    return nodes[at][4]
+    return nodes[at][3]
 
 
 def best_by_loops(x, y, l2=0.0, min_leaf=1):
@@ -50,9 +50,9 @@ def test_first_split_is_the_best_one(l2, min_leaf):
     y = (x[:, 2] + 0.5 * RNG.standard_normal(120) > 0).astype(float)
     (_, nodes), = grown(x, y, Growth(1, depth=1, l2=l2, min_leaf=min_leaf), (0,))
     gain, feature, cut = best_by_loops(x, y, l2, min_leaf)
-    assert nodes[0][0] == feature and math.isclose(nodes[0][1], cut) and math.isclose(nodes[0][5], gain)
-    for child, side in ((nodes[0][2], x[:, feature] <= cut), (nodes[0][3], x[:, feature] > cut)):
-        assert math.isclose(nodes[child][4], y[side].sum() / (side.sum() + l2))
+    assert nodes[0][0] == feature and math.isclose(nodes[0][1], cut) and math.isclose(nodes[0][4], gain)
+    for child, side in ((nodes[0][2], x[:, feature] <= cut), (nodes[0][2] + 1, x[:, feature] > cut)):
+        assert math.isclose(nodes[child][3], y[side].sum() / (side.sum() + l2))
 
 
 def test_bounds_of_a_tree():
@@ -64,7 +64,7 @@ def test_bounds_of_a_tree():
     found = flat.values(x)[:, 0]
     assert min(np.unique(found, return_counts=True)[1]) >= 30
     (_, nodes), = grown(x, np.zeros(400), Growth(1), (0,))
-    assert len(nodes) == 1 and nodes[0][4] == 0
+    assert len(nodes) == 1 and nodes[0][3] == 0
 
 
 def test_a_shallow_tree_is_the_top_of_a_deep_one():
