@@ -9,12 +9,12 @@ the texts again and looks counts up in files of the shared folder, of which a wo
 
 from __future__ import annotations
 
-import hashlib
 import os
 from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,9 @@ from clinspark.session import stage_table
 SHARD_KEYS = 32_768  # pairs of a shard, about
 LEAVES, FAN = 16, 4  # count vectors of a shard before they are summed, and how many each step of the tree sums
 HELD_BYTES = 128_000_000  # shards that a worker holds for look-ups
-MEMO_PIECES, MEMO_LENGTH = 60_000, 64  # pieces that a worker remembers, and their longest
+MEMO_PIECES, MEMO_LENGTH = 150_000, 64  # pieces that a worker remembers, and their longest
 KEYS_A_BUCKET = 3
+TOGETHER = 2048  # pieces that are encoded as one text
 
 MIX_1, MIX_2, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -100,17 +101,22 @@ class PerfectHash:
 # --- aligned pieces ------------------------------------------------------------------------------
 
 
-@dataclass(frozen=True)
-class Piece:
-    """The alignment of one piece: numbers of tokens, groups and links, distinct pairs with their links, groups as text."""
+class Piece(NamedTuple):
+    """The alignment of one piece: numbers of tokens and groups, the pair of each link as 64-bit numbers, groups as text."""
 
     n_a: int
     n_b: int
     n_groups: int
-    pairs: np.ndarray
-    links: np.ndarray
+    pairs: bytes
     text: str
 
+    @property
+    def n_links(self) -> int:
+        return len(self.pairs) // 8
+
+
+NOTHING = Piece(0, 0, 0, b"", "")
+
 
 class Aligner:
     """Ids of a byte-level tokenizers file (A) and of a sentencepiece model (B) over ``space + text``."""
@@ -135,23 +141,68 @@ class Aligner:
         ]
         # A vocabulary with a space inside a piece could join words, so its texts are not cut.
         self.cuts = not any("▁" in p.lstrip("▁") for p in names)
+        self.size_a = np.zeros(max(self.bytes_a) + 1, dtype=np.int64)
+        self.size_a[list(self.bytes_a)] = [len(v) for v in self.bytes_a.values()]
+        self.size_b = np.array([len(v) for v in self.bytes_b], dtype=np.int64)
+        # An id as text, with what follows it inside a group and at the end of its side of one.
+        self.named_a = [np.array([f"{i}{end}" for i in range(len(self.size_a))], dtype=object) for end in ",|"]
+        self.named_b = [np.array([f"{i}{end}" for i in range(len(names))], dtype=object) for end in ",;"]
         self.memo: dict[bytes, Piece | None] = {}
 
-    def align(self, a: list[int], b: list[int]) -> Piece:
-        """From the places where tokens end: each is the end of one link, and those of both sides end a group."""
-        end_a = np.cumsum([len(self.bytes_a[i]) for i in a])
-        end_b = np.cumsum([len(self.bytes_b[i]) for i in b])
-        ends = np.union1d(end_a, end_b)
-        ids_a, ids_b = np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64)
-        linked = (ids_a[np.searchsorted(end_a, ends)] << np.uint64(32)) | ids_b[np.searchsorted(end_b, ends)]
-        pairs, links = np.unique(linked, return_counts=True)
-        both = np.intersect1d(end_a, end_b)
-        cut_a, cut_b = (np.searchsorted(e, both).tolist() for e in (end_a, end_b))
-        text, i, j = [], 0, 0
-        for x, y in zip(cut_a, cut_b):
-            text.append(f"{','.join(map(str, a[i:x + 1]))}|{','.join(map(str, b[j:y + 1]))}")
-            i, j = x + 1, y + 1
-        return Piece(len(a), len(b), len(both), pairs.view(np.int64), links.astype(np.int64), ";".join(text))
+    def together(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of both sides of many pieces, encoded as one text; None unless ids give the bytes of all pieces back.
+
+        Only for pieces that end in no white space: the cut before the next one then is one between any two of them.
+        """
+        whole = b"".join(words)
+        text = whole.decode("utf-8")
+        a = self.a.encode(text, add_special_tokens=False).ids
+        b = self.b.encode(text[1:])  # the model puts the space before
+        if b"".join([self.bytes_a.get(i, b"") for i in a]) != whole or b"".join([self.bytes_b[i] for i in b]) != whole:
+            return None
+        ids = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        cuts = np.cumsum([len(w) for w in words])
+        if all(np.isin(cuts, np.cumsum(size[x])).all() for x, size in zip(ids, (self.size_a, self.size_b))):
+            return ids
+        return None
+
+    def one_by_one(self, words: list[bytes]) -> dict[bytes, Piece | None]:
+        texts = [w.decode("utf-8") for w in words]
+        coded_a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        coded_b = self.b.encode([t[1:] for t in texts], num_threads=1)
+        found: dict[bytes, Piece | None] = {}
+        for w, a, b in zip(words, coded_a, coded_b):
+            same = b"".join([self.bytes_a.get(i, b"") for i in a]) == w == b"".join([self.bytes_b[i] for i in b])
+            found[w] = self.aligned([w], np.array(a, dtype=np.int64), np.array(b, dtype=np.int64))[0] if same else None
+        return found
+
+    def aligned(self, words: list[bytes], ids_a: np.ndarray, ids_b: np.ndarray) -> list[Piece]:
+        """Of many pieces at once, whose ids give their bytes back.
+
+        The places where tokens end, counted through all pieces, are the ends of links; those of both sides end groups.
+        """
+        end_a, end_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
+        word_end = np.cumsum([len(w) for w in words])
+        in_a, in_b = np.zeros((2, int(word_end[-1]) + 1), dtype=bool)
+        in_a[end_a] = in_b[end_b] = True
+        in_both = in_a & in_b
+        upto_a, upto_b, upto_both = np.cumsum(in_a), np.cumsum(in_b), np.cumsum(in_both)
+        n_a, n_b, n_groups = (np.diff(upto[word_end], prepend=0) for upto in (upto_a, upto_b, upto_both))
+        # The tokens that end a link or first thereafter are the ones it is between.
+        ends = np.flatnonzero(in_a | in_b)
+        linked = (ids_a[upto_a[ends] - in_a[ends]] << 32) | ids_b[upto_b[ends] - in_b[ends]]
+        raw, links = linked.astype("<i8").tobytes(), np.searchsorted(ends, word_end, side="right")
+        # Ids as text in the order of groups, in each those of A before those of B.
+        texts = np.concatenate([
+            np.where(in_both[end], named[1][ids], named[0][ids])
+            for ids, end, named in ((ids_a, end_a, self.named_a), (ids_b, end_b, self.named_b))])
+        place = np.concatenate([2 * (upto_both - in_both)[end_a], 2 * (upto_both - in_both)[end_b] + 1])
+        texts = texts[np.argsort(place, kind="stable")].tolist()
+        at, link_at = starts_of(n_a + n_b).tolist(), [0, *links.tolist()]
+        return [
+            Piece(x, y, g, raw[8 * i:8 * j], "".join(texts[k:m])[:-1])
+            for x, y, g, i, j, k, m in zip(n_a.tolist(), n_b.tolist(), n_groups.tolist(), link_at, link_at[1:], at, at[1:])
+        ]
 
     def pieces(self, raw: list[bytes]) -> list[Piece | None]:
         """The alignment of each distinct piece, which begins with a space; None if ids don't give its bytes back."""
@@ -160,15 +211,15 @@ class Aligner:
             self.memo.clear()
             missing = raw
         fresh: dict[bytes, Piece | None] = {}
-        for i in range(0, len(missing), 1024):
-            block = missing[i:i + 1024]
-            texts = [w.decode("utf-8") for w in block]
-            coded_a = self.a.encode_batch_fast(texts, add_special_tokens=False)
-            coded_b = self.b.encode([t[1:] for t in texts], num_threads=1)  # the model puts the space before
-            for w, x, b in zip(block, coded_a, coded_b):
-                a = x.ids
-                same = b"".join(self.bytes_a.get(k, b"") for k in a) == w == b"".join(self.bytes_b[k] for k in b)
-                fresh[w] = self.align(a, b) if same else None
+        for i in range(0, len(missing), TOGETHER):
+            block = missing[i:i + TOGETHER]
+            open_ = _ends_white_space(np.frombuffer(b"".join(block), np.uint8))[np.cumsum([len(w) for w in block]) - 1].tolist()
+            closed = [w for w, o in zip(block, open_) if not o]
+            if closed and (ids := self.together(closed)) is not None:
+                fresh.update(zip(closed, self.aligned(closed, *ids)))
+            rest = [w for w in block if w not in fresh]
+            if rest:
+                fresh.update(self.one_by_one(rest))
         self.memo.update((w, p) for w, p in fresh.items() if len(w) <= MEMO_LENGTH)
         return [fresh[w] if w in fresh else self.memo[w] for w in raw]
 
@@ -224,15 +275,20 @@ class _Batch:
         total = np.concatenate(([0], np.cumsum(np.where(self.used, each, 0))))
         return total[self.at[1:]] - total[self.at[:-1]]
 
+    def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(piece, pair, times) of the links of the distinct pieces that texts with tokens hold; ``times`` they occur."""
+        times = np.bincount(self.codes[self.used], minlength=len(self.pieces))
+        filled = np.flatnonzero(times)
+        size = np.array([self.pieces[k].n_links for k in filled.tolist()], dtype=np.int64)
+        pairs = np.frombuffer(b"".join([self.pieces[k].pairs for k in filled.tolist()]), "<i8")
+        return np.repeat(filled, size), pairs, np.repeat(times[filled], size)
+
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """(distinct pairs of the batch, their links)."""
-        times = np.bincount(self.codes[self.used], minlength=len(self.pieces))
-        filled = [(p, n) for p, n in zip(self.pieces, times.tolist()) if n]
-        if not filled:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pairs, where = np.unique(np.concatenate([p.pairs for p, _ in filled]), return_inverse=True)
+        _, linked, times = self.links()
+        pairs, where = np.unique(linked, return_inverse=True)
         links = np.zeros(len(pairs), dtype=np.int64)
-        np.add.at(links, where, np.concatenate([p.links * n for p, n in filled]))
+        np.add.at(links, where.ravel(), times)
         return pairs, links
 
 
@@ -422,20 +478,17 @@ def align_tokenizers(documents: DataFrame, options: Alignment) -> DataFrame:
         own, known = aligner(options.byte_tokenizer, options.piece_tokenizer), _counts(final, shards)
         for b in batches(parts):
             held = _Batch(own, b["text"])
-            pieces = [p or Piece(0, 0, 0, np.zeros(0, np.int64), np.zeros(0, np.int64), "") for p in held.pieces]
-            pairs = np.unique(held.pairs()[0])
+            pieces = [p or NOTHING for p in held.pieces]
+            piece, linked, _ = held.links()
+            pairs, where = np.unique(linked, return_inverse=True)
             count, mark = known.look_up(pairs)
-            # Links of the pieces in order, with what the index says of their pairs.
-            used = np.zeros(len(pieces), dtype=bool)
-            used[held.codes[held.used]] = True
+            # What the index says of the links of each piece.
             sums, best = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
-            for k in np.flatnonzero(used).tolist():
-                p = pieces[k]
-                at = np.searchsorted(pairs, p.pairs)
-                sums[k], best[k] = (p.links * count[at]).sum(), (p.links * mark[at]).sum()
+            np.add.at(sums, piece, count[where.ravel()])
+            np.add.at(best, piece, mark[where.ravel()])
             numbers = [held.per_text(x) for x in (
                 [p.n_a for p in pieces], [p.n_b for p in pieces], [p.n_groups for p in pieces],
-                [int(p.links.sum()) for p in pieces], best, sums)]
+                [p.n_links for p in pieces], best, sums)]
             names = np.array([p.text for p in pieces], dtype=object)
             texts = [";".join(names[held.codes[i:j]]) if good else ""
                      for i, j, good in zip(held.at[:-1].tolist(), held.at[1:].tolist(), held.valid.tolist())]
