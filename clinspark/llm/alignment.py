@@ -9,6 +9,7 @@ the texts again and looks counts up in files of the shared folder, of which a wo
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from clinspark.session import stage_table
 SHARD_KEYS = 32_768  # pairs of a shard, about
 LEAVES, FAN = 16, 4  # count vectors of a shard before they are summed, and how many each step of the tree sums
 HELD_BYTES = 128_000_000  # shards that a worker holds for look-ups
-MEMO_PIECES, MEMO_LENGTH = 150_000, 64  # pieces that a worker remembers, and their longest
+MEMO_PIECES, MEMO_LENGTH = 60_000, 64  # pieces that a worker remembers, and their longest
 KEYS_A_BUCKET = 3
 TOGETHER = 2048  # pieces that are encoded as one text
 
@@ -121,7 +122,9 @@ NOTHING = Piece(0, 0, 0, b"", "")
 class Aligner:
     """Ids of a byte-level tokenizers file (A) and of a sentencepiece model (B) over ``space + text``."""
 
-    def __init__(self, byte_path: str, piece_path: str):
+    def __init__(self, byte_path: str, piece_path: str, named: bool):
+        """``named`` gives the groups as text, which only the second pass needs."""
+        self.named = named
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
@@ -143,6 +146,7 @@ class Aligner:
         self.cuts = not any("▁" in p.lstrip("▁") for p in names)
         self.size_a = np.zeros(max(self.bytes_a) + 1, dtype=np.int64)
         self.size_a[list(self.bytes_a)] = [len(v) for v in self.bytes_a.values()]
+        self.list_a = [self.bytes_a.get(i, b"") for i in range(len(self.size_a))]
         self.size_b = np.array([len(v) for v in self.bytes_b], dtype=np.int64)
         # An id as text, with what follows it inside a group and at the end of its side of one.
         self.named_a = [np.array([f"{i}{end}" for i in range(len(self.size_a))], dtype=object) for end in ",|"]
@@ -158,7 +162,7 @@ class Aligner:
         text = whole.decode("utf-8")
         a = self.a.encode(text, add_special_tokens=False).ids
         b = self.b.encode(text[1:])  # the model puts the space before
-        if b"".join([self.bytes_a.get(i, b"") for i in a]) != whole or b"".join([self.bytes_b[i] for i in b]) != whole:
+        if b"".join(map(self.list_a.__getitem__, a)) != whole or b"".join(map(self.bytes_b.__getitem__, b)) != whole:
             return None
         ids = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
         cuts = np.cumsum([len(w) for w in words])
@@ -192,24 +196,21 @@ class Aligner:
         ends = np.flatnonzero(in_a | in_b)
         linked = (ids_a[upto_a[ends] - in_a[ends]] << 32) | ids_b[upto_b[ends] - in_b[ends]]
         raw, links = linked.astype("<i8").tobytes(), np.searchsorted(ends, word_end, side="right")
+        at, link_at = starts_of(n_a + n_b).tolist(), [0, *links.tolist()]
+        numbers = zip(n_a.tolist(), n_b.tolist(), n_groups.tolist(), link_at, link_at[1:], at, at[1:])
+        if not self.named:
+            return [Piece(x, y, g, raw[8 * i:8 * j], "") for x, y, g, i, j, _, _ in numbers]
         # Ids as text in the order of groups, in each those of A before those of B.
         texts = np.concatenate([
             np.where(in_both[end], named[1][ids], named[0][ids])
             for ids, end, named in ((ids_a, end_a, self.named_a), (ids_b, end_b, self.named_b))])
         place = np.concatenate([2 * (upto_both - in_both)[end_a], 2 * (upto_both - in_both)[end_b] + 1])
         texts = texts[np.argsort(place, kind="stable")].tolist()
-        at, link_at = starts_of(n_a + n_b).tolist(), [0, *links.tolist()]
-        return [
-            Piece(x, y, g, raw[8 * i:8 * j], "".join(texts[k:m])[:-1])
-            for x, y, g, i, j, k, m in zip(n_a.tolist(), n_b.tolist(), n_groups.tolist(), link_at, link_at[1:], at, at[1:])
-        ]
+        return [Piece(x, y, g, raw[8 * i:8 * j], "".join(texts[k:m])[:-1]) for x, y, g, i, j, k, m in numbers]
 
     def pieces(self, raw: list[bytes]) -> list[Piece | None]:
         """The alignment of each distinct piece, which begins with a space; None if ids don't give its bytes back."""
         missing = [w for w in raw if w not in self.memo]
-        if len(self.memo) + len(missing) > MEMO_PIECES:
-            self.memo.clear()
-            missing = raw
         fresh: dict[bytes, Piece | None] = {}
         for i in range(0, len(missing), TOGETHER):
             block = missing[i:i + TOGETHER]
@@ -220,7 +221,9 @@ class Aligner:
             rest = [w for w in block if w not in fresh]
             if rest:
                 fresh.update(self.one_by_one(rest))
-        self.memo.update((w, p) for w, p in fresh.items() if len(w) <= MEMO_LENGTH)
+        # The pieces seen first stay: frequent ones are among them, and a batch may hold more than there is room for.
+        if (room := MEMO_PIECES - len(self.memo)) > 0:
+            self.memo.update(itertools.islice(((w, p) for w, p in fresh.items() if len(w) <= MEMO_LENGTH), room))
         return [fresh[w] if w in fresh else self.memo[w] for w in raw]
 
     def split(self, texts: pa.Array) -> tuple[list[Piece | None], np.ndarray, np.ndarray]:
@@ -255,8 +258,8 @@ def _ends_white_space(data: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def aligner(byte_path: str, piece_path: str) -> Aligner:
-    return Aligner(byte_path, piece_path)
+def aligner(byte_path: str, piece_path: str, named: bool) -> Aligner:
+    return Aligner(byte_path, piece_path, named)
 
 
 class _Batch:
@@ -310,7 +313,7 @@ def _named(documents: DataFrame) -> DataFrame:
 def counted_pairs(documents: DataFrame, options: Alignment) -> DataFrame:
     """(pair, links) of each batch of texts; ``pair`` is the id of A in the upper and that of B in the lower half."""
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = aligner(options.byte_tokenizer, options.piece_tokenizer)
+        own = aligner(options.byte_tokenizer, options.piece_tokenizer, False)
         for b in batches(parts):
             pairs, links = _Batch(own, b["text"]).pairs()
             yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(links)], ["pair", "links"])
@@ -472,10 +475,10 @@ def align_tokenizers(documents: DataFrame, options: Alignment) -> DataFrame:
     shards = max(1, -(-distinct // SHARD_KEYS))
     _, folder = write_index(partial, shards)
     counts = stage_table(dense_counts(partial, shards, folder), "pair-counts")
-    final = finish_index(counts, folder, len(aligner(options.byte_tokenizer, options.piece_tokenizer).bytes_b))
+    final = finish_index(counts, folder, len(aligner(options.byte_tokenizer, options.piece_tokenizer, False).bytes_b))
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = aligner(options.byte_tokenizer, options.piece_tokenizer), _counts(final, shards)
+        own, known = aligner(options.byte_tokenizer, options.piece_tokenizer, True), _counts(final, shards)
         for b in batches(parts):
             held = _Batch(own, b["text"])
             pieces = [p or NOTHING for p in held.pieces]
