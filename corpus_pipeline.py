@@ -18,7 +18,7 @@ from clinspark.llm.text import table, tuned
 from clinspark.llm.toxicity import fit_toxicity, keep_clean, training_labels
 from clinspark.session import stage_table
 
-# Held-out accuracy and brute force test this pipeline: SQL cannot express the fitted stages.
+# SQL cannot express the fitted stages.  Their operators have tests of their own; run() as a whole has none yet.
 ORACLE_SQL = None
 
 
