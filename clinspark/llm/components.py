@@ -18,12 +18,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Each node hangs its larger neighbours under the smallest node it sees."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("low", "u").alias("low"))
+    # Written before the join on the same column, so that a node with very many neighbours can be split there.
+    low = stage_table(low, "low")
     return both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node hangs itself and its smaller neighbours under the smallest of them."""
-    low = edges.groupBy("u").agg(F.min("v").alias("low"))
+    low = stage_table(edges.groupBy("u").agg(F.min("v").alias("low")), "low")
     hung = edges.join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
     return hung.unionByName(low.select("u", F.col("low").alias("v")))
 
@@ -41,7 +43,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     now, mark = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).dropna())
     while mark[0]:
-        after, new = written(_small_star(_pairs(_large_star(now))))
+        after, new = written(_small_star(stage_table(_pairs(_large_star(now)), "stars")))
         done = new == mark
         now, mark = after, new
         if done:

@@ -27,13 +27,13 @@ MIX_1, MIX_2, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB
 _SEEDS = np.random.default_rng(20240229)
 FACTORS = _SEEDS.integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _SEEDS.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
-LONG = 1024  # bits of the long sketch
-LONG_FACTORS = _SEEDS.integers(0, 2**63, LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+# Bits of the map of a set: eight for each shingle, between these bounds.
+FEWEST_BITS, MOST_BITS = 1024, 32768
 
 
 @dataclass(frozen=True)
 class NearDuplicates:
-    """``words`` of a shingle, linking similarity in percent, signature distance allowed, rounds of leaders.
+    """``words`` of a shingle, linking similarity in percent, signature distance allowed.
 
     The number of chunks follows from the distance: the smallest whose single-error keys cover it.
     """
@@ -41,7 +41,6 @@ class NearDuplicates:
     words: int = 5
     percent: int = 80
     distance: int = 27
-    leader_rounds: int = 1
 
     @property
     def chunks(self) -> list[np.ndarray]:
@@ -143,19 +142,34 @@ def _sketch_distance(a: str, b: str) -> Column:
     return differing("s0") + differing("s1")
 
 
-def long_sketches(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """1,024 one-bit MinHashes of each (filled) set, in sixteen 64-bit values."""
-    bits = np.zeros((len(starts) - 1, LONG), dtype=np.uint8)
-    if len(bits):
-        for i in range(LONG):
-            bits[:, i] = mix(np.minimum.reduceat(sets * LONG_FACTORS[i], starts[:-1])) & np.uint64(1)
-    return np.packbits(bits, axis=1).view(np.int64)
+def bit_maps(sets: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """A map of hashed bits for each set, in 64-bit values; its width is a power of two, at least eight bits a shingle.
 
+    Each bit that one map has and another lacks stands for at least one shingle that the other set lacks.  The halves of
+    a map, joined by OR, are the map of half the width.
+    """
+    place, maps = mix(sets + STEP), []
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        width = min(max(FEWEST_BITS, 1 << (8 * (b - a) - 1).bit_length()), MOST_BITS) if b > a else FEWEST_BITS
+        bits = np.zeros(width, dtype=np.uint8)
+        bits[(place[a:b] & np.uint64(width - 1)).astype(np.int64)] = 1
+        maps.append(np.packbits(bits, bitorder="little").view("<i8"))
+    return maps
+
+
+def _bits_missing(a: str, b: str) -> Column:
+    """How many bits the map ``a`` has that the map ``b`` lacks, at the smaller of their widths.
+
+    Sets whose sizes allow a link differ in width by a factor of two at most.
+    """
+    width = F.least(F.size(a), F.size(b))
+
+    def folded(name: str) -> Column:
+        halves = F.zip_with(F.slice(name, F.lit(1), width), F.slice(name, width + 1, width), lambda x, y: x.bitwiseOR(y))
+        return F.when(F.size(name) > width, halves).otherwise(F.col(name))
 
-def long_distance_allowed(percent: int) -> int:
-    """Differing bits that no pair at the linking similarity exceeds in practice: the mean and 8 deviations."""
-    differing = (1 - percent / 100) / 2
-    return int(np.ceil(LONG * differing + 8 * np.sqrt(LONG * differing * (1 - differing))))
+    missing = F.zip_with(folded(a), folded(b), lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
+    return F.aggregate(missing, F.lit(0), lambda total, n: total + n)
 
 
 def _first_shared(a: str, b: str, chunks: list[np.ndarray]) -> Column:
@@ -284,14 +298,6 @@ class _Join:
         """Each entry of the index with the smallest node of its key."""
         return self._ordered(self.index.where(F.col("node") != F.col("leader")), "node", "leader")
 
-    def scrambled_pairs(self, index: DataFrame, components: DataFrame) -> DataFrame:
-        """Each entry of the open index with one node of another component, chosen anew for each key."""
-        leaders = index.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("least"))
-        leaders = leaders.select("key", F.col("least").bitwiseXOR(F.col("key")).alias("leader"))
-        placed = components.select(F.col("node").alias("leader"), F.col("component").alias("led"))
-        leaders = leaders.join(placed, "leader", "left").withColumn("led", F.coalesce("led", "leader"))
-        return self._ordered(index.join(leaders, "key").where(F.col("component") != F.col("led")), "node", "leader")
-
     @staticmethod
     def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
         return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
@@ -326,53 +332,54 @@ class _Join:
         total = F.col(f"{prefix_a}n_shingles") + F.col(f"{prefix_b}n_shingles")
         return F.least(f"{prefix_a}common", f"{prefix_b}common") * (100 + p) >= total * p
 
-    def long_sketched(self, index: DataFrame) -> DataFrame:
-        """(node, bits): the long sketch of each node of the index, from its full set."""
+    def mapped(self, index: DataFrame) -> DataFrame:
+        """(node, bits): the bit map of the full set of each node of the index."""
         def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches(parts):
                 lists = b["shingles"]
                 sets = lists.flatten().to_numpy().view(np.uint64)
                 starts = starts_of(pc.list_value_length(lists).to_numpy())
-                yield pa.RecordBatch.from_arrays(
-                    [b["node"], pa.array(list(long_sketches(sets, starts)), pa.list_(pa.int64()))], ["node", "bits"]
-                )
+                maps = pa.array(bit_maps(sets, starts), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b["node"], maps], ["node", "bits"])
 
-        filled = self.sets.join(index.select("node").distinct(), "node", "left_semi").where(F.size("shingles") > 0)
-        return filled.mapInArrow(rows, "node long, bits array<long>")
+        return self.sets.join(index.select("node").distinct(), "node", "left_semi").mapInArrow(rows, "node long, bits array<long>")
 
     def cross_pairs(self, index: DataFrame, common: DataFrame) -> DataFrame:
         """All pairs of different components that share a key, each at the first key it shares, as far as sizes, common
-        shingles, sketches and long sketches allow a link."""
+        shingles, signatures and bit maps allow a link.
+
+        The bit maps decide most pairs of a large group of similar texts that do not link.  Their bound is exact: with d
+        bits of a missing in b, the sets have at most |a| - d shingles in common.
+        """
         able = stage_table(self._linkable(index, common), "able")
-        full = able.join(common, "node").join(sketched(self.nodes), "node").join(self.long_sketched(able), "node")
+        full = able.join(common, "node").join(sketched(self.nodes), "node").join(self.mapped(able), "node")
         columns = ("node", "component", "n_shingles", "common", "s0", "s1", "symbols", "bits")
         left, right = (full.select("key", *(F.col(c).alias(f"{p}{c}") for c in columns)) for p in ("a_", "b_"))
         low, high = F.least("a_n_shingles", "b_n_shingles"), F.greatest("a_n_shingles", "b_n_shingles")
+        p = self.options.percent
+
+        def enough_shared(a: str, b: str) -> Column:
+            shared = F.col(f"{a}n_shingles") - _bits_missing(f"{a}bits", f"{b}bits")
+            return shared * (100 + p) >= (F.col("a_n_shingles") + F.col("b_n_shingles")) * p
+
         near = (
-            (F.col("a_component") < F.col("b_component")) & (low * 100 >= high * self.options.percent)
+            (F.col("a_component") < F.col("b_component")) & (low * 100 >= high * p)
             & self._can_link("a_", "b_") & (_sketch_distance("a_", "b_") <= self.options.distance)
-            & (F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n)
-               <= long_distance_allowed(self.options.percent))
             & (_first_shared("a_symbols", "b_symbols", self.options.chunks) == left["key"].bitwiseAND(F.lit(SYMBOLS - 1)))
+            & enough_shared("a_", "b_") & enough_shared("b_", "a_")
         )
         return self._ordered(left.join(right, (left["key"] == right["key"]) & near), "a_node", "b_node")
 
     def components(self) -> DataFrame:
         """(node, component) of linked classes.
 
-        Rounds of leaders first: each entry of a key is compared with one leader, which joins large groups at the cost
-        of a row per entry.  Then every pair that shares a key and lies in different components is compared, so no
+        Leaders first: each entry of a key is compared with one leader, which joins large groups at the cost of a row
+        per entry.  Then every pair that shares a key and lies in different components is compared, so no
         link between components is missed; links inside a component change nothing and are not looked for.
         """
         links = self.confirmed(self._within_distance(self.leader_pairs()))
         placed = stage_table(connected_components(links, "a", "b"), "components")
         rest = stage_table(self.open_index(placed), "open")
-        for _ in range(self.options.leader_rounds - 1):
-            common = stage_table(self.common_shingles(rest), "common")
-            links = links.unionByName(self.confirmed(
-                self._within_distance(self.scrambled_pairs(self._linkable(rest, common), placed))))
-            placed = stage_table(connected_components(links, "a", "b"), "components")
-            rest = stage_table(self.open_index(placed), "open")
         common = stage_table(self.common_shingles(rest), "common")
         links = links.unionByName(self.confirmed(self.cross_pairs(rest, common)))
         return stage_table(connected_components(links, "a", "b"), "components")
