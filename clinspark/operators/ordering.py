@@ -1,24 +1,26 @@
 """Global order without a one-task window: exact order statistics and running totals.
 
 ``Window.orderBy`` without a partition, or partitioned by a class that holds half of the rows, sorts
-everything in one task.  Both operators here first cut the value range into pieces of bounded size.
+everything in one task.  Order statistics narrow brackets by counting, running totals are added up in two levels:
+inside pieces of the value range, and over the totals of the pieces.  Both take the same way at every size.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, replace
+from functools import reduce
 from typing import Any
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
-# Distinct values that one task may sort; a window of this size spills comfortably.
+# Rows that the last step of a selection orders, and rows that a piece of a running total aims at.
 PIECE_ROWS = 2_000_000
 _SKETCH_ACCURACY = 10_000
-# Rows from which checking a proposed bracket is cheaper than ordering all of them.
-_GUESS_FROM = 2_000
-_MAX_PIECES = 10_000
+# Finest share of the rows that cuts between pieces are placed by; a larger piece is sorted with spilling.
+_CUT_ACCURACY = 1e-4
 
 
 def group_sizes(df: DataFrame, groups: Sequence[str]) -> dict[tuple, int]:
@@ -27,171 +29,242 @@ def group_sizes(df: DataFrame, groups: Sequence[str]) -> dict[tuple, int]:
     return {tuple(r[g] for g in groups): r["n"] for r in counted.collect()}
 
 
-Bracket = dict[str, Any]
 Guess = Callable[[int, int], tuple[float, float]]
 
 
+@dataclass(frozen=True)
+class Bracket:
+    """Proxy values ``low`` to ``high`` that hold the wanted ranks, with the exact rows below and inside."""
+
+    ranks: tuple[int, ...]
+    inside: int
+    below: int = 0
+    low: float = -math.inf
+    high: float = math.inf
+
+    @property
+    def open(self) -> bool:
+        return self.low < self.high
+
+    def holds(self) -> bool:
+        return self.below < self.ranks[0] and self.ranks[-1] <= self.below + self.inside
+
+
+def _neighbours(ranks: Sequence[int]) -> list[tuple[int, ...]]:
+    """Sorted ranks in runs of consecutive ones, as the two middle ranks of an even count."""
+    runs: list[tuple[int, ...]] = []
+    for rank in sorted(set(ranks)):
+        if runs and rank - runs[-1][-1] == 1:
+            runs[-1] += (rank,)
+        else:
+            runs.append((rank,))
+    return runs
+
+
+def rank_values(
+    df: DataFrame,
+    groups: Sequence[str],
+    series: Mapping[Any, Column],
+    ranks: Mapping[tuple[Any, tuple], Sequence[int]],
+    sizes: Mapping[tuple[Any, tuple], int],
+    proxy: Callable[[Column], Column] | None = None,
+    guess: Guess | None = None,
+    piece_rows: int = PIECE_ROWS,
+) -> dict[tuple[Any, tuple], list[Any]]:
+    """Exact values of several series at 1-based ranks within each group, as ``{(series, group): [value, …]}``.
+
+    A series is an expression with one value a row (a column, the hash of a bag); ``sizes`` counts its values per
+    group.  ``proxy`` gives a number that never decreases with the value (the value itself by default).  Around the
+    wanted ranks a bracket of proxy values is kept.  ``guess(rank, size)`` may propose the first one, quantile
+    sketches propose narrower ones while more than ``piece_rows`` values are inside all brackets together.  Each proposal
+    is confirmed by conditional counts, so a wrong one is noticed and dropped; sketches and counts of all series
+    are one aggregate each over rows that are neither copied nor moved.  Only the values inside the last brackets are
+    shuffled, counted per distinct value.  Bounds and counts per rank reach the driver.
+    """
+    number = {name: i for i, name in enumerate(series)}
+    as_number = proxy or (lambda value: value)
+    brackets = {}
+    for (name, group), wanted in ranks.items():
+        size = sizes[name, group]
+        for turn, run in enumerate(_neighbours([r for r in wanted if 1 <= r <= size])):
+            brackets[(number[name], turn), group] = Bracket(run, size)
+    found: dict[tuple, Any] = {}
+    if brackets:
+        values = df.select(*groups, *[value.alias(f"_v{i}") for i, value in enumerate(series.values())])
+        search = _BracketSearch(
+            values.select("*", *[as_number(F.col(f"_v{i}")).cast("double").alias(f"_p{i}") for i in range(len(series))]),
+            list(groups),
+        )
+        if guess is not None:
+            brackets.update(search.confirmed({
+                key: replace(b, low=guess(b.ranks[0], b.inside)[0], high=guess(b.ranks[-1], b.inside)[1])
+                for key, b in brackets.items()
+            }, brackets))
+        while sum(b.inside for b in brackets.values() if b.open) > piece_rows:
+            narrowed = search.confirmed(search.sketched({k: b for k, b in brackets.items() if b.open}), brackets)
+            if not narrowed:
+                break
+            brackets.update(narrowed)
+        found = search.values(brackets)
+    return {
+        (name, group): [found.get((number[name], group, rank)) for rank in wanted] for (name, group), wanted in ranks.items()
+    }
+
+
 def order_statistics(
     df: DataFrame,
     groups: Sequence[str],
     value: str,
     ranks: Mapping[tuple, Sequence[int]],
     sizes: Mapping[tuple, int],
-    proxy: Column | None = None,
+    proxy: Callable[[Column], Column] | None = None,
     guess: Guess | None = None,
     piece_rows: int = PIECE_ROWS,
 ) -> dict[tuple, list[Any]]:
-    """Exact values at the given 1-based ranks of each group, as ``{group: [value, …]}``.
+    """``rank_values`` of a single column, as ``{group: [value, …]}``."""
+    found = rank_values(
+        df, groups, {value: F.col(value)}, {(value, g): r for g, r in ranks.items()},
+        {(value, g): n for g, n in sizes.items()}, proxy, guess, piece_rows,
+    )
+    return {group: values for (_, group), values in found.items()}
 
-    ``proxy`` is a numeric expression that never decreases with ``value`` (the value itself by default).  Around
-    every wanted rank a bracket of proxy values is kept.  ``guess(rank, size)`` may propose a first one; while
-    more than ``piece_rows`` rows are inside, a quantile sketch narrows it.  A counting pass then fixes how many
-    rows lie below, so a wrong proposal is noticed and dropped.  Only rows inside the last brackets are
-    shuffled, counted per distinct value; two bounds and a count per rank reach the driver.
-    """
-    proxy = F.col(value) if proxy is None else proxy
-    rows = df.select(*groups, F.col(value).alias("_v"), proxy.cast("double").alias("_p")).where("_v IS NOT NULL")
-    brackets: dict[tuple, Bracket] = {
-        (group, rank): {"low": -math.inf, "high": math.inf, "below": 0, "inside": sizes[group]}
-        for group, wanted in ranks.items()
-        for rank in wanted
-        if 1 <= rank <= sizes[group]
-    }
-    if not brackets:
-        return {group: [None] * len(wanted) for group, wanted in ranks.items()}
-
-    search = _BracketSearch(rows, list(groups))
-    if guess is not None:
-        proposed = {
-            key: {**b, **dict(zip(("low", "high"), guess(key[1], sizes[key[0]])))}
-            for key, b in brackets.items() if b["inside"] > min(piece_rows, _GUESS_FROM)
-        }
-        brackets.update(search.confirmed(proposed, brackets))
-    while wide := {k: b for k, b in brackets.items() if b["inside"] > piece_rows and b["low"] < b["high"]}:
-        narrowed = search.confirmed(search.sketched(wide), brackets)
-        if not narrowed:
-            break
-        brackets.update(narrowed)
-    found = search.values(brackets)
-    return {group: [found.get((group, rank)) for rank in wanted] for group, wanted in ranks.items()}
+
+Probe = tuple[int, int]
+Brackets = Mapping[tuple[Probe, tuple], Bracket]
 
 
 class _BracketSearch:
-    """Passes over ``(groups, _v, _p)`` for brackets keyed by ``(group, rank)``."""
+    """Passes over ``(groups, _v0, _p0, _v1, …)`` for brackets by probe, which is ``(series, turn)``, and group."""
 
     def __init__(self, rows: DataFrame, groups: list[str]) -> None:
         self.rows, self.groups = rows, groups
-        self.group_types = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*groups).schema]
-
-    def _key(self, row: Row) -> tuple:
-        return tuple(row[g] for g in self.groups), row["_k"]
-
-    def _upto(self, brackets: Mapping[tuple, Bracket]) -> DataFrame:
-        """Rows at or under the upper bound of each bracket, one copy per bracket."""
-        table = self.rows.sparkSession.createDataFrame(
-            [(*group, rank, b["low"], b["high"], b["below"]) for (group, rank), b in brackets.items()],
-            ", ".join([*self.group_types, "_k bigint", "_lo double", "_hi double", "_below bigint"]),
-        )
-        # As many rows as wanted ranks, which the caller bounds.
-        return self.rows.join(F.broadcast(table), self.groups).where("_p <= _hi")
 
-    def sketched(self, brackets: Mapping[tuple, Bracket]) -> dict[tuple, Bracket]:
+    def _group(self, row: Row) -> tuple:
+        return tuple(row[g] for g in self.groups)
+
+    def _per_group(self, values: Mapping[tuple, float]) -> Column:
+        """The value of each row's group; the caller bounds the groups."""
+        if not self.groups:
+            return F.lit(values[()])
+        hits = [
+            (reduce(Column.__and__, [F.col(g) == F.lit(v) for g, v in zip(self.groups, group)]), F.lit(value))
+            for group, value in values.items()
+        ]
+        return reduce(lambda chain, hit: chain.when(*hit), hits[1:], F.when(*hits[0]))
+
+    def _probes(self, brackets: Brackets) -> dict[str, tuple[Probe, Column, Column]]:
+        """By a short name: the probe, whether the row lies below its bracket, and whether inside."""
+        probes = {}
+        for i, probe in enumerate(sorted({probe for probe, _ in brackets})):
+            own = {group: b for (p, group), b in brackets.items() if p == probe}
+            low = self._per_group({g: b.low for g, b in own.items()})
+            high = self._per_group({g: b.high for g, b in own.items()})
+            at = F.col(f"_p{probe[0]}")
+            probes[str(i)] = probe, at < low, (at >= low) & (at <= high)
+        return probes
+
+    def sketched(self, brackets: Brackets) -> dict[tuple[Probe, tuple], Bracket]:
         """Tighter brackets from quantile sketches of the rows inside."""
         slack, shares = 2.0 / _SKETCH_ACCURACY, {}
-        for (group, rank), b in brackets.items():
-            p = (rank - b["below"]) / b["inside"]
-            shares[group, rank] = (max(0.0, p - slack), min(1.0, p + slack))
-        grid = sorted({s for pair in shares.values() for s in pair})
-        sketches = (
-            self._upto(brackets).where("_p >= _lo").groupBy(*self.groups, "_k")
-            .agg(F.percentile_approx("_p", grid, _SKETCH_ACCURACY).alias("_q")).collect()
-        )
+        for key, b in brackets.items():
+            first, last = ((rank - b.below) / b.inside for rank in (b.ranks[0], b.ranks[-1]))
+            shares[key] = max(0.0, first - slack), min(1.0, last + slack)
+        probes = self._probes(brackets)
+        grids = {
+            name: sorted({s for (p, _), pair in shares.items() if p == probe for s in pair})
+            for name, (probe, _, _) in probes.items()
+        }
+        sketches = self.rows.groupBy(*self.groups).agg(*[
+            F.percentile_approx(F.when(inside, F.col(f"_p{probe[0]}")), grids[name], _SKETCH_ACCURACY).alias(f"_q{name}")
+            for name, (probe, _, inside) in probes.items()
+        ]).collect()
         tighter = {}
         for row in sketches:
-            key = self._key(row)
-            low, high = (row["_q"][grid.index(s)] for s in shares[key])
-            tighter[key] = {**brackets[key], "low": low, "high": high}
+            for name, (probe, _, _) in probes.items():
+                key = probe, self._group(row)
+                if key in brackets and row[f"_q{name}"]:
+                    low, high = (row[f"_q{name}"][grids[name].index(s)] for s in shares[key])
+                    tighter[key] = replace(brackets[key], low=low, high=high)
         return tighter
 
-    def confirmed(self, proposed: Mapping[tuple, Bracket], current: Mapping[tuple, Bracket]) -> dict[tuple, Bracket]:
-        """Proposed brackets that hold their rank and fewer rows than now, with their exact counts."""
+    def confirmed(self, proposed: Brackets, current: Brackets) -> dict[tuple[Probe, tuple], Bracket]:
+        """Proposed brackets that hold their ranks and fewer rows than now, with their exact counts."""
         if not proposed:
             return {}
-        under = F.col("_p") < F.col("_lo")
-        counts = (
-            self._upto(proposed).groupBy(*self.groups, "_k")
-            .agg(F.count(F.when(under, 1)).alias("below"), F.count(F.when(~under, 1)).alias("inside")).collect()
-        )
+        probes = self._probes(proposed)
+        counts = self.rows.groupBy(*self.groups).agg(*[
+            F.count(F.when(condition, 1)).alias(f"{side}{name}")
+            for name, (_, below, inside) in probes.items() for side, condition in (("_b", below), ("_i", inside))
+        ]).collect()
         kept = {}
         for row in counts:
-            key = self._key(row)
-            below, inside = row["below"], row["inside"]
-            if below < key[1] <= below + inside and inside < current[key]["inside"]:
-                kept[key] = {**proposed[key], "below": below, "inside": inside}
+            for name, (probe, _, _) in probes.items():
+                key = probe, self._group(row)
+                if key not in proposed:
+                    continue
+                counted = replace(proposed[key], below=row[f"_b{name}"], inside=row[f"_i{name}"])
+                if counted.holds() and counted.inside < current[key].inside:
+                    kept[key] = counted
         return kept
 
-    def values(self, brackets: Mapping[tuple, Bracket]) -> dict[tuple, Any]:
-        """The value at each rank, from the distinct values inside its bracket."""
+    def values(self, brackets: Brackets) -> dict[tuple[int, tuple, int], Any]:
+        """The value at each rank, by (series, group, rank), from the distinct values inside the brackets."""
+        probes = self._probes(brackets)
+        cells = F.array_compact(F.array(*[
+            F.when(inside, F.struct(F.lit(name).alias("_k"), F.col(f"_v{probe[0]}").alias("_v")))
+            for name, (probe, _, inside) in probes.items()
+        ]))
         by = [*self.groups, "_k"]
-        distinct = self._upto(brackets).where("_p >= _lo").groupBy(*by, "_below", "_v").agg(F.count("*").alias("_n"))
+        distinct = self.rows.select(*self.groups, F.inline(cells)).groupBy(*by, "_v").agg(F.count("*").alias("_n"))
         upto = F.sum("_n").over(Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-        rank = F.col("_k") - F.col("_below")
-        hits = distinct.withColumn("_upto", upto).where((F.col("_upto") >= rank) & (F.col("_upto") - F.col("_n") < rank))
-        return {self._key(r): r["_v"] for r in hits.collect()}
-
+        names = {probe: name for name, (probe, _, _) in probes.items()}
+        types = [f"`{f.name}` {f.dataType.simpleString()}" for f in self.rows.select(*self.groups).schema]
+        # As many rows as wanted ranks, which the caller bounds.
+        wanted = self.rows.sparkSession.createDataFrame(
+            [(*group, names[probe], rank, rank - b.below) for (probe, group), b in brackets.items() for rank in b.ranks],
+            ", ".join([*types, "_k string", "_rank bigint", "_place bigint"]),
+        )
+        hits = distinct.withColumn("_upto", upto).join(F.broadcast(wanted), by).where(
+            (F.col("_upto") >= F.col("_place")) & (F.col("_upto") - F.col("_n") < F.col("_place"))
+        )
+        return {(probes[r["_k"]][0][0], self._group(r), r["_rank"]): r["_v"] for r in hits.collect()}
 
-def exact_medians(
-    df: DataFrame, columns: Sequence[str], piece_rows: int = PIECE_ROWS, rows: int | None = None
-) -> dict[str, float]:
-    """Exact median of each column, 0 where a column has no value.
 
-    Spark's ``median`` keeps every distinct value of its columns in one buffer, so it is used only if all columns
-    together have at most ``piece_rows`` values; otherwise the medians are selected by ``order_statistics``.
-    ``rows``, if known, is the row count of ``df`` and saves the counting pass for short tables.
-    """
+def exact_medians(df: DataFrame, columns: Sequence[str], piece_rows: int = PIECE_ROWS) -> dict[str, float]:
+    """Exact median of each column, 0 where a column has no value.  All columns share each pass."""
     medians = dict.fromkeys(columns, 0.0)
-    if rows is not None and rows * len(columns) <= piece_rows:
-        sizes = dict.fromkeys(columns, rows)
-    else:
-        sizes = dict(zip(columns, df.agg(*[F.count(F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(columns)]).first()))
-    columns = [c for c in columns if sizes[c] > 0]
-    if not columns:
+    if not medians:
         return medians
-    if sum(sizes[c] for c in columns) <= piece_rows:
-        short, long_ = columns, []
-    else:
-        short, long_ = [], columns
-    if short:
-        values = df.agg(*[F.median(F.col(f"`{c}`").cast("double")).alias(f"_{i}") for i, c in enumerate(short)]).first()
-        medians.update({c: v for c, v in zip(short, values) if v is not None})
-    if long_:
-        cells = F.array(*[F.struct(F.lit(c).alias("_f"), F.col(f"`{c}`").cast("double").alias("_x")) for c in long_])
-        middle = {(c,): [(sizes[c] + 1) // 2, sizes[c] // 2 + 1] for c in long_}
-        by_group = {(c,): sizes[c] for c in long_}
-        found = order_statistics(
-            df.select(F.inline(cells)), ["_f"], "_x",
-            {g: sorted(set(r)) for g, r in middle.items()}, by_group, piece_rows=piece_rows,
-        )
-        medians.update({group[0]: sum(v) / len(v) for group, v in found.items()})
+    series = {c: F.col(f"`{c}`").cast("double") for c in medians}
+    counts = df.agg(*[F.count(v).alias(f"_{i}") for i, v in enumerate(series.values())]).first()
+    sizes = {(c, ()): n for c, n in zip(series, counts) if n > 0}
+    middle = {key: [(n + 1) // 2, n // 2 + 1] for key, n in sizes.items()}
+    filled = {c: v for c, v in series.items() if (c, ()) in sizes}
+    found = rank_values(df, [], filled, middle, sizes, piece_rows=piece_rows)
+    medians.update({c: sum(v) / 2 for (c, _), v in found.items()})
     return medians
 
 
 def cut_points(df: DataFrame, order: str, piece_rows: int = PIECE_ROWS, rows: int | None = None) -> list[float]:
-    """Values that cut ``df`` along ``order`` into pieces of about ``piece_rows`` rows; none if one piece will do.
+    """Values that cut ``df`` along ``order`` into a piece per shuffle partition, or more if these exceed ``piece_rows``.
 
     They come from a quantile sketch and are fixed numbers in every plan that uses them.
     """
     rows = df.count() if rows is None else rows
-    pieces = min(_MAX_PIECES, math.ceil(rows / piece_rows))
-    if pieces <= 1:
-        return []
-    return sorted(set(df.approxQuantile(order, [i / pieces for i in range(1, pieces)], 0.5 / pieces)))
+    pieces = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / piece_rows))
+    shares = [i / pieces for i in range(1, pieces)]
+    return sorted(set(df.approxQuantile(order, shares, max(0.5 / pieces, _CUT_ACCURACY))))
 
 
 def with_piece(df: DataFrame, order: str, cuts: Sequence[float]) -> DataFrame:
-    """Add ``_piece``, the number of the piece; it never decreases with ``order``."""
-    splitter = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol=order, outputCol="_cut")
-    return splitter.transform(df).withColumn("_piece", F.col("_cut").cast("int")).drop("_cut")
+    """Add ``_piece``, the number of the piece; it never decreases with ``order``, in Spark's order of null and NaN."""
+    # Any inner cut will do where no finite value is to be cut.
+    splits = [-math.inf, *([c for c in cuts if math.isfinite(c)] or [0.0]), math.inf]
+    splitter = Bucketizer(splits=splits, inputCol="_at", outputCol="_cut", handleInvalid="keep")
+    # NaN gets a bucket of its own above the others, null one below them.
+    at = F.coalesce(F.col(order).cast("double"), F.lit(-math.inf))
+    piece = F.when(F.col(order).isNull(), -1).otherwise(F.col("_cut").cast("int"))
+    return splitter.transform(df.withColumn("_at", at)).withColumn("_piece", piece).drop("_at", "_cut")
 
 
 def running_totals(
@@ -204,40 +277,32 @@ def running_totals(
 ) -> DataFrame:
     """Running sums over a total order, ``sums`` mapping a column to the name of its total.
 
-    ``df`` holds one row per (groups, order).  The window runs inside each piece; the totals of the earlier
-    pieces, at most 10,000 rows per group, are added by a broadcast join.
+    ``df`` holds one row per (groups, order).  The window runs inside each piece; the totals of the earlier pieces
+    are joined by the key that the rows are dealt by already.
     """
     direction = F.desc if descending else F.asc
-    cuts = cut_points(df, order, piece_rows)
-    if not cuts:
-        upto = Window.partitionBy(*groups).orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({total: F.sum(c).over(upto) for c, total in sums.items()})
-
-    cut = with_piece(df, order, cuts)
+    cut = with_piece(df, order, cut_points(df, order, piece_rows))
     upto = Window.partitionBy(*groups, "_piece").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
     local = cut.withColumns({total: F.sum(c).over(upto) for c, total in sums.items()})
+    # One row per piece and group.
     earlier = Window.partitionBy(*groups).orderBy(direction("_piece")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         cut.groupBy(*groups, "_piece").agg(*[F.sum(c).alias(f"_s_{c}") for c in sums])
         .select(*groups, "_piece", *[F.coalesce(F.sum(f"_s_{c}").over(earlier), F.lit(0)).alias(f"_o_{c}") for c in sums])
     )
-    joined = local.join(F.broadcast(offsets), [*groups, "_piece"])
-    return joined.withColumns({total: F.col(total) + F.col(f"_o_{c}") for c, total in sums.items()}).select(
-        *df.columns, *sums.values()
-    )
+    return local.join(offsets, [*groups, "_piece"]).withColumns(
+        {total: F.col(total) + F.col(f"_o_{c}") for c, total in sums.items()}
+    ).select(*df.columns, *sums.values())
 
 
 def numbered(df: DataFrame, key: str, rows: int | None = None, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Add ``row_no``, 0-based in the order of a unique numeric key."""
-    cuts = cut_points(df, key, piece_rows, rows)
-    if not cuts:
-        return df.withColumn("row_no", (F.row_number().over(Window.orderBy(key)) - 1).cast("bigint"))
-    cut = with_piece(df, key, cuts)
-    earlier = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    cut = with_piece(df, key, cut_points(df, key, piece_rows, rows))
     # One row per piece.
+    earlier = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cut.groupBy("_piece").agg(F.count("*").alias("_c")).select(
         "_piece", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before")
     )
     local = F.row_number().over(Window.partitionBy("_piece").orderBy(key)) - 1
-    placed = cut.withColumn("row_no", local).join(F.broadcast(offsets), "_piece")
+    placed = cut.withColumn("row_no", local).join(offsets, "_piece")
     return placed.withColumn("row_no", F.col("row_no") + F.col("_before")).select(*df.columns, "row_no")

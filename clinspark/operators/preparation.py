@@ -41,16 +41,15 @@ class GroupMeans:
 
     columns: tuple[str, ...]
     rows: tuple[tuple, ...]
-    fitted_on: int = 0
 
     @classmethod
     def fit(cls, df: DataFrame, columns: Sequence[str]) -> GroupMeans:
         require_columns(df, ["age", "gender"], "imputer input")
         filled = tuple(c for c in columns if c not in ("age", "gender"))
         # Seven age groups and none, by the values of gender and none.
-        found = group_means(df, filled, count="_n").collect()
+        found = group_means(df, filled).collect()
         known = [r for r in found if r["age_group"] is not None and r["gender"] is not None]
-        return cls(filled, tuple(tuple(r)[:-1] for r in known), sum(r["_n"] for r in found))
+        return cls(filled, tuple(tuple(r) for r in known))
 
     def attach(self, df: DataFrame) -> DataFrame:
         """Add the means of each row's group as ``_m0``, ``_m1``, …; all NULL without a group."""
@@ -82,10 +81,8 @@ class Medians:
     values: dict[str, float]
 
     @classmethod
-    def fit(
-        cls, df: DataFrame, columns: Sequence[str], piece_rows: int = PIECE_ROWS, rows: int | None = None
-    ) -> Medians:
-        return cls(exact_medians(df, columns, piece_rows, rows))
+    def fit(cls, df: DataFrame, columns: Sequence[str], piece_rows: int = PIECE_ROWS) -> Medians:
+        return cls(exact_medians(df, columns, piece_rows))
 
     def fill(self, name: str, value: Column) -> Column:
         return F.coalesce(value.cast("double"), F.lit(float(self.values[name]))) if name in self.values else value
@@ -139,7 +136,7 @@ class Preparation:
         data = nan_to_null(df.select(*[_col(c) for c in columns]))
         means = GroupMeans.fit(data, columns)
         filled = means.transform(data)
-        medians = Medians.fit(filled, columns, rows=means.fitted_on)
+        medians = Medians.fit(filled, columns)
         return cls(tuple(columns), through, means, medians, Scaling.fit(medians.transform(filled), columns))
 
     @property
@@ -171,6 +168,6 @@ class Preparation:
         means = d["group_means"]
         return cls(
             tuple(d["numerical"]), tuple(d["passthrough"]),
-            GroupMeans(tuple(means["columns"]), tuple(tuple(r) for r in means["rows"]), means["fitted_on"]),
+            GroupMeans(tuple(means["columns"]), tuple(tuple(r) for r in means["rows"])),
             Medians(d["medians"]["values"]), Scaling(**d["scaling"]),
         )

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from clinspark.operators.ordering import PIECE_ROWS, group_sizes, order_statistics
+from clinspark.operators.ordering import PIECE_ROWS, group_sizes, order_statistics, rank_values
 
 HASH_RANGE = float(16**15)
 
@@ -51,7 +51,7 @@ def _quota_filter(
     hashed = df.select(label, digest.alias("_h"))
     limits = order_statistics(
         hashed, [label], "_h", {c: [q] for c, q in quota.items() if q > 0}, sizes,
-        proxy=hash_number(F.col("_h")), guess=expected_bracket, piece_rows=piece_rows,
+        proxy=hash_number, guess=expected_bracket, piece_rows=piece_rows,
     )
     return F.coalesce(digest <= _by_class(label, {c: v[0] for c, v in limits.items()}), F.lit(False))
 
@@ -97,21 +97,19 @@ def balanced_limits(
 ) -> dict[tuple, str]:
     """The largest hash admitted per (bag, class): every class keeps as many rows as the smallest one has.
 
-    ``most`` bounds the rows of a bag.  All bags are served by the same passes; only (key, label) is read and nothing
-    but thresholds comes back.
+    ``most`` bounds the rows of a bag.  All bags are served by the same passes: a row holds its hash for each bag side by
+    side, is never copied by bag, and nothing but thresholds comes back.
     """
     sizes = group_sizes(df, [label])
     quota = min(sizes.values(), default=0)
     if most is not None and sizes:
         quota = min(quota, max(1, most // len(sizes)))
-    per_bag = df.select(key, label).withColumn("bag", F.explode(F.array(*[F.lit(b) for b in bags])))
-    hashed = per_bag.select("bag", label, hash_order(key, seed, F.col("bag")).alias("_h"))
-    groups = {(b, *c): n for b in bags for c, n in sizes.items()}
-    limits = order_statistics(
-        hashed, ["bag", label], "_h", {g: [quota] for g in groups}, groups,
-        proxy=hash_number(F.col("_h")), guess=expected_bracket, piece_rows=piece_rows,
+    wanted = {(b, c): [quota] for b in bags for c in sizes}
+    limits = rank_values(
+        df, [label], {b: hash_order(key, seed, b) for b in bags}, wanted, {(b, c): sizes[c] for b, c in wanted},
+        proxy=hash_number, guess=expected_bracket, piece_rows=piece_rows,
     )
-    return {g: v[0] for g, v in limits.items()}
+    return {(b, *c): v[0] for (b, c), v in limits.items()}
 
 
 def in_draw(label: str, key: str, seed: int, bag: int, limits: dict[tuple, str]) -> Column:
