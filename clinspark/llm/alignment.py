@@ -12,10 +12,9 @@ from __future__ import annotations
 import itertools
 import os
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from clinspark.session import stage_table
 SHARD_KEYS = 32_768  # pairs of a shard, about
 LEAVES, FAN = 16, 4  # count vectors of a shard before they are summed, and how many each step of the tree sums
 HELD_BYTES = 128_000_000  # shards that a worker holds for look-ups
-MEMO_PIECES, MEMO_LENGTH = 60_000, 64  # pieces that a worker remembers, and their longest
+MEMO_PIECES, MEMO_LENGTH = 300_000, 64  # pieces that a worker remembers, and their longest
 KEYS_A_BUCKET = 3
 TOGETHER = 2048  # pieces that are encoded as one text
 
@@ -102,21 +101,11 @@ class PerfectHash:
 # --- aligned pieces ------------------------------------------------------------------------------
 
 
-class Piece(NamedTuple):
-    """The alignment of one piece: numbers of tokens and groups, the pair of each link as 64-bit numbers, groups as text."""
+# The alignment of one piece: numbers of tokens of A, of B and of groups, the pair of each link as 64-bit numbers, groups as
+# text.  A plain tuple, since Python's garbage collector visits remembered named tuples again and again.
+Piece = tuple[int, int, int, bytes, str]
 
-    n_a: int
-    n_b: int
-    n_groups: int
-    pairs: bytes
-    text: str
-
-    @property
-    def n_links(self) -> int:
-        return len(self.pairs) // 8
-
-
-NOTHING = Piece(0, 0, 0, b"", "")
+NOTHING: Piece = (0, 0, 0, b"", "")
 
 
 class Aligner:
@@ -160,7 +149,7 @@ class Aligner:
         """
         whole = b"".join(words)
         text = whole.decode("utf-8")
-        a = self.a.encode(text, add_special_tokens=False).ids
+        a = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids  # without offsets
         b = self.b.encode(text[1:])  # the model puts the space before
         if b"".join(map(self.list_a.__getitem__, a)) != whole or b"".join(map(self.bytes_b.__getitem__, b)) != whole:
             return None
@@ -199,14 +188,14 @@ class Aligner:
         at, link_at = starts_of(n_a + n_b).tolist(), [0, *links.tolist()]
         numbers = zip(n_a.tolist(), n_b.tolist(), n_groups.tolist(), link_at, link_at[1:], at, at[1:])
         if not self.named:
-            return [Piece(x, y, g, raw[8 * i:8 * j], "") for x, y, g, i, j, _, _ in numbers]
+            return [(x, y, g, raw[8 * i:8 * j], "") for x, y, g, i, j, _, _ in numbers]
         # Ids as text in the order of groups, in each those of A before those of B.
         texts = np.concatenate([
             np.where(in_both[end], named[1][ids], named[0][ids])
             for ids, end, named in ((ids_a, end_a, self.named_a), (ids_b, end_b, self.named_b))])
         place = np.concatenate([2 * (upto_both - in_both)[end_a], 2 * (upto_both - in_both)[end_b] + 1])
         texts = texts[np.argsort(place, kind="stable")].tolist()
-        return [Piece(x, y, g, raw[8 * i:8 * j], "".join(texts[k:m])[:-1]) for x, y, g, i, j, k, m in numbers]
+        return [(x, y, g, raw[8 * i:8 * j], "".join(texts[k:m])[:-1]) for x, y, g, i, j, k, m in numbers]
 
     def pieces(self, raw: list[bytes]) -> list[Piece | None]:
         """The alignment of each distinct piece, which begins with a space; None if ids don't give its bytes back."""
@@ -257,7 +246,7 @@ def _ends_white_space(data: np.ndarray) -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)  # the second pass needs no pieces of the first
 def aligner(byte_path: str, piece_path: str, named: bool) -> Aligner:
     return Aligner(byte_path, piece_path, named)
 
@@ -271,8 +260,11 @@ class _Batch:
         bad = np.concatenate(([0], np.cumsum(broken[self.codes]))) if len(self.codes) else np.zeros(1, np.int64)
         self.valid = (self.at[1:] > self.at[:-1]) & (bad[self.at[1:]] == bad[self.at[:-1]])
         self.used = np.repeat(self.valid, np.diff(self.at))
+        columns = list(zip(*[p or NOTHING for p in self.pieces])) or [()] * len(NOTHING)
+        self.n_a, self.n_b, self.n_groups, self.linked, self.texts = columns
+        self.n_links = [len(x) // 8 for x in self.linked]
 
-    def per_text(self, value: list[int]) -> np.ndarray:
+    def per_text(self, value: Sequence[int]) -> np.ndarray:
         """Sums over the pieces of each text of a value per distinct piece, in whole numbers."""
         each = np.array(value, dtype=np.int64)[self.codes] if len(self.codes) else np.zeros(0, np.int64)
         total = np.concatenate(([0], np.cumsum(np.where(self.used, each, 0))))
@@ -282,8 +274,8 @@ class _Batch:
         """(piece, pair, times) of the links of the distinct pieces that texts with tokens hold; ``times`` they occur."""
         times = np.bincount(self.codes[self.used], minlength=len(self.pieces))
         filled = np.flatnonzero(times)
-        size = np.array([self.pieces[k].n_links for k in filled.tolist()], dtype=np.int64)
-        pairs = np.frombuffer(b"".join([self.pieces[k].pairs for k in filled.tolist()]), "<i8")
+        size = np.array(self.n_links, dtype=np.int64)[filled]
+        pairs = np.frombuffer(b"".join([self.linked[k] for k in filled.tolist()]), "<i8")
         return np.repeat(filled, size), pairs, np.repeat(times[filled], size)
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
@@ -481,18 +473,15 @@ def align_tokenizers(documents: DataFrame, options: Alignment) -> DataFrame:
         own, known = aligner(options.byte_tokenizer, options.piece_tokenizer, True), _counts(final, shards)
         for b in batches(parts):
             held = _Batch(own, b["text"])
-            pieces = [p or NOTHING for p in held.pieces]
             piece, linked, _ = held.links()
             pairs, where = np.unique(linked, return_inverse=True)
             count, mark = known.look_up(pairs)
             # What the index says of the links of each piece.
-            sums, best = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+            sums, best = np.zeros((2, len(held.pieces)), np.int64)
             np.add.at(sums, piece, count[where.ravel()])
             np.add.at(best, piece, mark[where.ravel()])
-            numbers = [held.per_text(x) for x in (
-                [p.n_a for p in pieces], [p.n_b for p in pieces], [p.n_groups for p in pieces],
-                [p.n_links for p in pieces], best, sums)]
-            names = np.array([p.text for p in pieces], dtype=object)
+            numbers = [held.per_text(x) for x in (held.n_a, held.n_b, held.n_groups, held.n_links, best, sums)]
+            names = np.array(held.texts, dtype=object)
             texts = [";".join(names[held.codes[i:j]]) if good else ""
                      for i, j, good in zip(held.at[:-1].tolist(), held.at[1:].tolist(), held.valid.tolist())]
             yield pa.RecordBatch.from_arrays(
