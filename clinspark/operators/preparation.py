@@ -46,6 +46,8 @@ class GroupMeans:
     def fit(cls, df: DataFrame, columns: Sequence[str]) -> GroupMeans:
         require_columns(df, ["age", "gender"], "imputer input")
         filled = tuple(c for c in columns if c not in ("age", "gender"))
+        if not filled:
+            return cls((), ())
         # Seven age groups and none, by the values of gender and none.
         found = group_means(df, filled).collect()
         known = [r for r in found if r["age_group"] is not None and r["gender"] is not None]
@@ -67,11 +69,10 @@ class GroupMeans:
         return self.attach(df).select([self.fill(c, _col(c)).alias(c) for c in df.columns])
 
 
-def group_means(df: DataFrame, columns: Sequence[str], count: str | None = None) -> DataFrame:
-    """Mean of each column per age group and gender, and the group's row count under the name ``count``."""
+def group_means(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Mean of each column per age group and gender."""
     grouped = df.groupBy(age_group(F.col("age")).alias("age_group"), "gender")
-    counted = [F.count("*").alias(count)] if count else []
-    return grouped.agg(*[F.avg(_col(c)).alias(c) for c in columns], *counted)
+    return grouped.agg(*[F.avg(_col(c)).alias(c) for c in columns])
 
 
 @dataclass(frozen=True)

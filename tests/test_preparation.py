@@ -30,6 +30,13 @@ def test_needs_age_and_gender(spark):
         GroupMeans.fit(rows(spark).drop("age"), ["x"])
 
 
+def test_no_column_to_fill_by_group(spark):
+    """Age and gender alone have no group mean; the medians still fill them."""
+    prep = Preparation.fit(rows(spark), ["age"], [])
+    assert prep.group_means.columns == () and prep.medians.values["age"] == 25.0
+    assert prep.transform(rows(spark)).where("age IS NULL OR gender IS NULL").count() == 0
+
+
 def test_constant_column_divides_by_one(spark):
     scaling = Scaling.fit(rows(spark), ["const", "gender"])
     new = spark.createDataFrame([(5.0, 1)], "const double, gender int")
