@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from clinspark.operators import ensembles
+from clinspark.operators import ensembles, sampling
 from clinspark.operators.trees import LEAF, Ensemble, Flat, Growth, fit_trees, grown
 
 RNG = np.random.default_rng(5)
@@ -123,3 +123,36 @@ def test_draws_are_balanced_and_bounded(spark):
     for most, each in ((50_000, 300), (200, 100)):
         found = ensembles.drawn(rows, "y", "id", 3, 0, most).groupBy("member", "label").count().collect()
         assert {(r.member, r.label): r["count"] for r in found} == {(m, y): each for m in range(3) for y in (0.0, 1.0)}
+
+
+@pytest.mark.parametrize("leaves, kind", [(4, np.uint8), (9, np.uint16), (30, np.uint32), (60, np.uint64), (200, None)])
+@pytest.mark.parametrize("rate", [0.3, None])
+def test_look_ups_and_walks_agree_with_loops(leaves, kind, rate):
+    x, y = np.round(RNG.standard_normal((900, 4)), 2), (RNG.random(900) < 0.5).astype(float)
+    trees = [list(grown(x[m::2], y[m::2], Growth(3, rate=rate, leaves=leaves), (m,))) for m in (0, 1)]
+    flat = Flat.of(pa.concat_tables([table_of(t, m) for m, t in enumerate(trees)]), rate is not None)
+    assert flat.bits is kind
+    probe = np.vstack([np.round(RNG.standard_normal((60, 4)), 2), [[np.nan, np.inf, -np.inf, 0.0]], x[:40]])
+    for until in (None, 1):
+        sums = [[[walked(n, row) for _, n in member[:until]] for member in trees] for row in probe]
+        want = [np.mean([1 / (1 + math.exp(-sum(s))) if rate else np.mean(s) for s in row]) for row in sums]
+        assert np.allclose(flat.of_rows(probe, until=until), want)
+        assert np.allclose(flat.walked(probe, [(None, until)])[0], want)
+        shallow = [np.mean([np.mean([walked(n, row, 2) for _, n in member[:until]]) for member in trees]) for row in probe]
+        if not rate:
+            assert np.allclose(flat.of_uses(probe, [(2, until), (None, until)]), [shallow, want])
+
+
+def test_draws_hash_each_row_once_and_are_the_balanced_ones(spark, monkeypatch):
+    rows = spark.range(4000).select((F.col("id") % 3500).alias("id"), (F.col("id") % 7 == 0).cast("int").alias("y"),
+                                    F.array(F.col("id").cast("double")).alias("features"))
+    of = lambda df: sorted((r.bag, r.id, r.y, *r.features) for r in df.collect())
+    limits = {most: sampling.balanced_limits(rows, "y", "id", 3, range(4), most=most) for most in (100, 10_000)}
+    want = {most: of(rows.withColumn("bag", F.explode(sampling.bags_of_row("y", "id", 3, 4, limits[most])))) for most in limits}
+    gaps = rows.withColumn("id", F.when(F.col("id") % 2 == 0, F.col("id")))
+    found = sampling.balanced_limits(gaps, "y", "id", 3, range(2))
+    sparse = of(gaps.withColumn("bag", F.explode(sampling.bags_of_row("y", "id", 3, 2, found))))
+    assert of(sampling.bounded_draws(gaps, "y", "id", 3, 2, 10_000)) == sparse
+    monkeypatch.setattr(sampling, "balanced_limits", None)  # the search over all rows
+    for most in want:
+        assert of(sampling.bounded_draws(rows, "y", "id", 3, 4, most)) == want[most]
