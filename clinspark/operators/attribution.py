@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from clinspark.config import Learner
-from clinspark.operators.ensembles import RiskModel, mean_probability
-from clinspark.operators.sampling import hash_order
+from clinspark.operators.ensembles import RiskModel, dealt_evenly, mean_probability
+from clinspark.operators.trees import distinct_places, matrix
 from clinspark.session import stage_table
 
 ALWAYS_KEPT = ("gender", "age")
+PROBE_CELLS = 2_000_000  # feature values of probes that a task makes at once
 
 
 def forest_importance(model: RiskModel) -> DataFrame:
@@ -38,43 +42,72 @@ def shapley_attributions(
     others from the baseline.  ``score`` adds ``raw_score`` to a frame with a list ``features``.  A feature's
     value is the mean score difference when it enters, so the values of a row add up to f(row) - f(baseline).
 
-    A score counts for the feature that entered at its step and against the one that enters next.  These signed
-    scores are summed per row and feature, which combines before the shuffle because all steps of a row come
-    from one input row.
+    Features that have their baseline value change no score when they enter, so permutations go over the others, and
+    equal probes of a row are scored once.  Each counts with a weight per feature: how often that feature entered at its
+    step, less how often it enters next.  Rows are dealt before they are repeated, and ``score`` should leave the probes in
+    their task: then only one row of sums is shuffled for each given row.
     """
     n = len(features)
     row = F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in features])
-    start = F.array(*[F.lit(float(baseline[c])) for c in features])
-    base = df.select(F.col(key), row.alias("_x")).withColumn(
-        "_perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))
-    )
-    # Rank of each feature in this row's permutation: sort positions by a hash of (seed, permutation, key, position).
-    hashes = F.array(
-        *[F.struct(hash_order(key, seed, F.col("_perm"), F.lit(j)).alias("h"), F.lit(j).alias("j")) for j in range(n)]
-    )
-    ordered = base.withColumn("_order", F.transform(F.array_sort(hashes), lambda s: s["j"]))
-    # Ranks are found once per row and permutation, so that a probe costs one comparison per feature.
-    positions = F.array(*[F.lit(j) for j in range(n)])
-    ranked = ordered.withColumn("_rank", F.transform(positions, lambda j: F.array_position("_order", j)))
-    stepped = ranked.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(n))))
-    mixed = F.transform(
-        F.col("_x"), lambda v, j: F.when(F.get("_rank", j) <= F.col("_step"), v).otherwise(F.get(start, j))
-    )
-    # Out of range before the first step and after the last one, which gives NULL.
-    entered_now = F.get(F.col("_order"), F.col("_step") - 1)
-    enters_next = F.get(F.col("_order"), F.col("_step"))
-    probes = stepped.select(
-        key, entered_now.alias("_now"), enters_next.alias("_next"), mixed.alias("features")
-    )
-    signed = F.array(
-        F.struct(F.col("_now").alias("_j"), F.col("raw_score").alias("_s")),
-        F.struct(F.col("_next").alias("_j"), (-F.col("raw_score")).alias("_s")),
-    )
-    name = F.get(F.array(*[F.lit(c) for c in features]), F.col("_j"))
-    return (
-        score(probes).select(key, F.inline(signed)).where("_j IS NOT NULL")
-        .groupBy(key, name.alias("feature")).agg((F.sum("_s") / permutations).alias("attribution"))
-    )
+    base = dealt_evenly(df.select(F.col(key), F.col(key).cast("string").alias("_k"), row.alias("features")))
+    start = np.array([float(baseline[c]) for c in features])
+    kind = df.select(key).schema[0].dataType.simpleString()
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, PROBE_CELLS // (permutations * (n + 1) * n))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                found, cells, weights = probes(matrix(part["features"], n), part["_k"].to_pylist(), start, permutations, seed)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(found)), _lists(cells), _lists(weights)], [key, "features", "_w"])
+
+    scored = score(base.mapInArrow(repeated, f"`{key}` {kind}, features array<double>, _w array<int>"))
+    times = [F.get("_w", F.lit(j)) for j in range(n)]
+    # A score that does not count is left out, as it may be no number.
+    sums = [F.sum(F.when(w != 0, F.col("raw_score") * w).otherwise(0.0)) / permutations for w in times]
+    whole = scored.groupBy(key).agg(*[s.alias(f"_s{j}") for j, s in enumerate(sums)])
+    cells = [F.struct(F.lit(c).alias("feature"), F.col(f"_s{j}").alias("attribution")) for j, c in enumerate(features)]
+    return whole.select(key, F.inline(F.array(*cells)))
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    rows, width = values.shape
+    return pa.ListArray.from_arrays(np.arange(rows + 1, dtype=np.int32) * width, values.ravel())
+
+
+def probes(
+    x: np.ndarray, keys: Sequence[str | None], start: np.ndarray, permutations: int, seed: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, features, weights) of the distinct probes of the rows ``x``.
+
+    The order of a permutation is that of the hashes ``md5("seed:permutation:position:key")``; equal features come last.
+    """
+    rows, n = x.shape
+    moved = x != start
+    prefix = [[f"{seed}:{p}:{j}:".encode() for j in range(n)] for p in range(permutations)]
+    digests = np.zeros((rows, permutations, n), "V16")
+    for i, key in enumerate(keys):
+        if key is not None:
+            text, own = key.encode(), np.flatnonzero(moved[i])
+            joined = b"".join([md5(of[j] + text).digest() for of in prefix for j in own.tolist()])
+            digests[i][:, own] = np.frombuffer(joined, "V16").reshape(permutations, len(own))
+    halves = digests.view(">u8").reshape(rows, permutations, n, 2)
+    still = np.broadcast_to(~moved[:, None, :], halves.shape[:3])
+    order = np.lexsort((halves[..., 1], halves[..., 0], still), axis=-1)
+    rank = np.argsort(order, axis=-1)
+    # Steps after the last moved feature repeat the whole row and count for nothing.
+    count = moved.sum(axis=1)
+    row, permutation, step = np.nonzero(np.broadcast_to(
+        np.arange(n + 1) <= count[:, None, None], (rows, permutations, n + 1)))
+    held = (rank[row, permutation] < step[:, None]) & moved[row]
+    cells = np.where(held, x[row], start)
+    first, where = distinct_places(np.column_stack((cells, row.astype(np.float64))))
+    weights = np.zeros((len(first), n), np.int32)
+    now, later = step > 0, step < count[row]
+    np.add.at(weights, (where[now], order[row[now], permutation[now], step[now] - 1]), 1)
+    np.add.at(weights, (where[later], order[row[later], permutation[later], step[later]]), -1)
+    return row[first], cells[first], weights
 
 
 def top_features(
@@ -106,7 +139,7 @@ def select_by_attribution(
     nothing set among the passed-through columns.
     """
     attributed = shapley_attributions(
-        model.preparation.transform(df), key, model.features, lambda v: mean_probability(v, model.members),
+        model.preparation.transform(df), key, model.features, lambda v: mean_probability(v, model.members, deal=False),
         dict.fromkeys(model.features, 0.0), permutations, seed,
     )
     return top_features(attributed, k)

@@ -1,6 +1,8 @@
+import hashlib
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +136,35 @@ def test_grid_search(data):
     assert grid_search(data, Learner.FOREST, grid, tune=False, **ARGS).best == {}
     with pytest.raises(ValueError):
         grid_search(data, Learner.FOREST, grid, scoring="auc", **ARGS)
+
+
+def test_attributions_are_those_of_plain_permutations(spark):
+    """Whole permutations by loops, with features at their baseline value, equal rows of one key and a missing key."""
+    rows = [(1, 2.0, 0.0, -1.0, 5.0), (2, 0.0, 0.0, 1.0, 1.0), (2, 1.0, 3.0, 1.0, 1.0), (None, 2.0, 2.0, 2.0, 2.0)]
+    names, baseline = ("a", "b", "c", "d"), {"a": 0.0, "b": 0.0, "c": 1.0, "d": 1.0}
+    df = spark.createDataFrame(rows, "row_id bigint, a double, b double, c double, d double")
+    at = lambda j: F.get("features", F.lit(j))
+    score = lambda v: v.withColumn("raw_score", at(0) * at(1) + at(2) * at(3) + at(0))
+    got = attribution.shapley_attributions(df, "row_id", names, score, baseline, permutations=3, seed=2).collect()
+    want, plain = {}, lambda v: v[0] * v[1] + v[2] * v[3] + v[0]
+    for key, *x in rows:
+        for p in range(3):
+            v = [baseline[c] for c in names]
+            text = lambda j: "" if key is None else hashlib.md5(f"2:{p}:{j}:{key}".encode()).hexdigest()
+            for j in sorted(range(4), key=lambda j: (text(j), j)):
+                before, v[j] = plain(v), x[j]
+                want[key, names[j]] = want.get((key, names[j]), 0) + (plain(v) - before) / 3
+    assert {(r.row_id, r.feature): r.attribution for r in got} == pytest.approx(want) and len(got) == len(want)
+
+
+def test_probes_are_few_and_stay_in_their_task(data, forest):
+    """Scoring of probes follows no exchange of probes: one deals the rows, the other moves a row of sums per row."""
+    prepared = forest.preparation.transform(data)
+    dealt = lambda v: ensembles.mean_probability(v, forest.members, deal=False)
+    found = attribution.shapley_attributions(prepared, "row_id", forest.features, dealt, dict.fromkeys(forest.features, 0.0))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan[:plan.index("MapInArrow")].count("Exchange") == 1
+    x = np.array([[0.0, 1.0, 2.0], [0.0, 0.0, 0.0]])
+    rows, cells, weights = attribution.probes(x, ["1", "2"], np.zeros(3), 8, 0)
+    assert len(rows) <= 5 and not weights[:, 0].any() and not weights.sum(axis=0).any()
+    assert len({(r, *c) for r, c in zip(rows.tolist(), cells.tolist())}) == len(rows)
