@@ -14,6 +14,7 @@ from clinspark.operators.cohort import base_admissions
 from clinspark.operators.scores import ClinicalTables
 from clinspark.plans.features import EventTables
 from clinspark.plans.training import StudyData
+from clinspark.session import stage_table
 from clinspark.sources.extract import ExtractBundle
 
 
@@ -115,8 +116,11 @@ def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def severity(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The seven score tables of ``stays``: some stays lack a score, some have a second row."""
-    return _score_tables(stays(spark, sf_dir).select("subject_id", "hadm_id"))
+    """The seven score tables of ``stays``: some stays lack a score, some have a second row.
+
+    The keys are written once: a union of seven tables with the joins of ``stays`` in each would sort them all in one task.
+    """
+    return _score_tables(stage_table(stays(spark, sf_dir).select("subject_id", "hadm_id"), "score-stays"))
 
 
 def _score_tables(stay_keys: DataFrame) -> dict[str, DataFrame]:

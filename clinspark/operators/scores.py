@@ -21,7 +21,9 @@ def merge_severity(tables: Mapping[str, DataFrame], order: str, scores: Sequence
     """One row per stay present in the tables of all ``scores``, with the first value of each by ``order``.
 
     The stacked tables are aggregated once, so all scores share one exchange and no product of repeats is built: the
-    same result as the first row of that product.
+    same result as the first row of that product.  Rows are dealt by key before they are combined: a stay has few rows in
+    a table, and a task that reads many stays would sort all of them only to combine those few.  The number of parts is
+    that of the session and parts are not coalesced, so that what a task sorts stays small.
     """
     missing = [s for s in scores if s not in tables]
     if missing:
@@ -30,17 +32,18 @@ def merge_severity(tables: Mapping[str, DataFrame], order: str, scores: Sequence
         require_columns(tables[name], [*STAY_KEYS, name], name)
     stacked = reduce(
         lambda up, down: up.unionByName(down, allowMissingColumns=True),
-        [tables[s].select(*STAY_KEYS, F.col(order).alias("_order"), F.lit(s).alias("_score"), s) for s in scores],
+        [tables[s].select(*STAY_KEYS, F.col(order).alias("_order"), F.lit(no).alias("_score"), s) for no, s in enumerate(scores)],
     )
     # A struct also marks a stay whose first value is missing; a stay without rows in a table gets no struct.
     first = [
-        F.min_by(F.struct(s), F.when(F.col("_score") == s, F.struct("_order", s))).alias(s) for s in scores
+        F.min_by(F.struct(s), F.when(F.col("_score") == no, F.struct("_order", s))).alias(s) for no, s in enumerate(scores)
     ]
-    complete = stacked.groupBy(*STAY_KEYS).agg(*first).where(reduce(lambda x, y: x & y, [F.col(s).isNotNull() for s in scores]))
     # A missing key matches no other table's rows.
-    return complete.where(F.col(STAY_KEYS[0]).isNotNull() & F.col(STAY_KEYS[1]).isNotNull()).select(
-        *STAY_KEYS, *[F.col(f"{s}.{s}").alias(s) for s in scores]
-    )
+    keyed = stacked.where(F.col(STAY_KEYS[0]).isNotNull() & F.col(STAY_KEYS[1]).isNotNull())
+    parts = int(stacked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    firsts = keyed.repartition(parts, *STAY_KEYS).groupBy(*STAY_KEYS).agg(*first)
+    complete = firsts.where(reduce(lambda x, y: x & y, [F.col(s).isNotNull() for s in scores]))
+    return complete.select(*STAY_KEYS, *[F.col(f"{s}.{s}").alias(s) for s in scores])
 
 
 def aki_by_icustay(icustays: DataFrame, kdigo: DataFrame, hours: int = WINDOW_HOURS) -> DataFrame:

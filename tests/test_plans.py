@@ -91,6 +91,20 @@ def test_scores_share_one_exchange(spark, small_dir):
     assert "min_by" in text and "Join" not in text.split("Union")[0]
 
 
+def test_scores_are_dealt_once_before_they_are_sorted(spark, tmp_path, no_broadcast):
+    """No task that reads stays sorts or joins them for all score tables, and the rows are those of plain Python."""
+    orders = [(k, None if k % 50 == 0 else k % 13, "1-URGENT") for k in range(1, 400)] + [(8, 8, "1-URGENT"), (None, 3, "1-URGENT")]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string").withColumn(
+        "o_orderdate", F.lit("2020-01-01").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k, "BUILDING") for k in range(1, 12)], "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    merged = QUERIES["severity_merge"](spark, str(tmp_path))
+    above, below = plan(merged).split("Exchange hashpartitioning(subject_id")
+    assert above.count("SortAggregate") and not re.search("Sort|Aggregate|Join|Exchange", below)
+    stays = {(c, k) for k, c, _ in orders if k is not None and c is not None and 1 <= c < 12}
+    want = {(c, k, *(k * no % 20 for no in range(1, 8))) for c, k in stays if all((k + no) % 11 for no in range(1, 8))}
+    assert sorted(tuple(r) for r in merged.collect()) == sorted(want)
+
+
 def test_hot_subject(spark, skewed, no_broadcast):
     hosps, _ = skewed
     rows = hosps.collect()
