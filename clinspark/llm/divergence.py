@@ -173,23 +173,27 @@ def kept_terms(counted: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]
     """The kept terms of each language with their occurrences, and the groups (lang, source), both written.
 
     A row per (lang, term) holds its occurrences ``n`` and the list ``by`` of (source, n), with an entry per source that
-    has it.  Rows are dealt once, by language and term: the sums per source and per term happen where they are.
+    has it.  Rows are dealt once, by language and kept prefix: equal terms have one prefix, so the sums per source and per
+    term happen where the prefixes are looked up.
     """
     whole = counted.where(F.col("level") == TERMS).select("lang", "source", "term", "n", "docs")
     kept, levels = kept_prefixes(counted, min_docs)
     groups = stage_table(whole.where("length(term) = 0").select("lang", "source").distinct(), "groups")
     whole = whole.where("length(term) > 0")
     if levels:
-        # The longest level that is shorter than the term; beyond the last refined one nothing was kept.
+        # The longest level that is shorter than the term; beyond the last refined one nothing was kept.  The length of a
+        # prefix is its level; terms of one byte are complete without one.
         size = F.length("term")
         level = F.greatest(F.lit(0), *[F.when(size > lv, F.lit(lv)).otherwise(F.lit(0)) for lv in levels])
-        headed = whole.withColumn("level", level).withColumn("prefix", _head("term", F.col("level")))
-        longer = headed.where("level > 0").join(kept, ["level", "lang", "prefix"], "left_semi")
-        whole = headed.where("level = 0").select(whole.columns).unionByName(longer.select(whole.columns))
-    by_source = whole.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    by_term = by_source.groupBy("lang", "term").agg(
+        known = kept.select("lang", "prefix").unionByName(groups.select("lang", F.lit(b"").alias("prefix")).distinct())
+        # Few prefixes against many terms: they are held per part, and the terms need no order.
+        whole = whole.withColumn("prefix", _head("term", level)).join(known.hint("shuffle_hash"), ["lang", "prefix"], "left_semi")
+    else:
+        whole = whole.withColumn("prefix", F.lit(b"")).repartition("lang", "prefix")
+    by_source = whole.groupBy("lang", "prefix", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    by_term = by_source.groupBy("lang", "prefix", "term").agg(
         F.sum("docs").alias("docs"), F.sum("n").alias("n"), F.collect_list(F.struct("source", "n")).alias("by"))
-    return stage_table(by_term.where(F.col("docs") >= min_docs).drop("docs"), "kept"), groups
+    return stage_table(by_term.where(F.col("docs") >= min_docs).drop("docs", "prefix"), "kept"), groups
 
 
 def _probability(n: Column, total: Column, options: Divergence, vocabulary: Column) -> Column:
@@ -252,16 +256,20 @@ def _pair_values(kept: DataFrame, totals: DataFrame, alike: DataFrame, options:
         "lang", "source", "item", (F.col("terms") * _gap(F.col("p"), F.col("absent_q"))).alias("value"))
     by_right = sides.join(alike.select("lang", F.col("source").alias("item"), F.col("p").alias("q"), "terms"), ["lang", "item"]).select(
         "lang", "source", "item", (F.col("terms") * _gap(F.col("absent_p"), F.col("q"))).alias("value"))
-    # Terms of both sides: how often each pair of numbers of occurrences comes with each pair of sources.
+    # Terms of both sides: how often each pair of numbers of occurrences comes with each pair of sources, counted for one
+    # order of the two sources and valued for both.
     mine = kept.where(F.size("by") > 1).select("lang", "by", F.inline("by"))
     shared = mine.select("lang", "source", F.col("n").alias("n_p"), F.inline(F.col("by"))).toDF("lang", "source", "n_p", "item", "n_q")
-    shared = shared.where(F.col("source") != F.col("item")).groupBy("lang", "source", "item", "n_p", "n_q").agg(F.count("*").alias("terms"))
+    shared = shared.where(F.col("source") < F.col("item")).groupBy("lang", "source", "item", "n_p", "n_q").agg(F.count("*").alias("terms"))
     shared = shared.join(sides, ["lang", "source", "item"])
     p, q = (_probability(F.col(f"n_{x}"), F.col(f"total_{x}"), options, F.col("v")) for x in "pq")
     absent_p, absent_q = F.col("absent_p"), F.col("absent_q")
-    shared = shared.groupBy("lang", "source", "item").agg(
-        F.sum(F.col("terms") * (_gap(p, q) - _gap(p, absent_q) - _gap(absent_p, q))).alias("value"), F.sum("terms").alias("both"))
-    shared = stage_table(shared, "shared")
+    there = _gap(p, q) - _gap(p, absent_q) - _gap(absent_p, q)
+    back = _gap(q, p) - _gap(q, absent_p) - _gap(absent_q, p)
+    shared = stage_table(shared.groupBy("lang", "source", "item").agg(
+        F.sum(F.col("terms") * there).alias("value"), F.sum(F.col("terms") * back).alias("back"), F.sum("terms").alias("both")), "shared")
+    shared = shared.drop("back").unionByName(
+        shared.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), F.col("back").alias("value"), "both"))
     # Terms of neither side, by their number.
     rest = sides.join(shared.select("lang", "source", "item", "both"), ["lang", "source", "item"], "left").select(
         "lang", "source", "item",

@@ -8,6 +8,8 @@ import pytest
 from clinspark.llm import divergence
 from clinspark.llm.divergence import Divergence, audit_sources, counted_levels, kept_prefixes, kept_terms
 
+from clinspark.session import stage_table
+
 from .conftest import DOCUMENTS
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
@@ -90,3 +92,19 @@ def test_refinement_keeps_what_counts_keep(llm, min_docs):
     assert have == {key for key, n in docs.items() if n >= min_docs and key[1] in levels}
     assert {(r["lang"], bytes(r["term"]).decode()) for r in kept_terms(counted, min_docs)[0].collect()} == {
         (g, w) for (g, w), n in Counter((lang or "", w) for _, t, lang, _ in ROWS for w in set(words(t))).items() if n >= min_docs}
+
+
+def test_terms_are_dealt_once_and_pairs_counted_once(llm, monkeypatch):
+    written = {}
+
+    def staged(df, name):
+        written[name], written[f"{name} plan"] = stage_table(df, name), df._jdf.queryExecution().executedPlan().toString()
+        return written[name]
+
+    monkeypatch.setattr(divergence, "stage_table", staged)
+    assert Counter(tuple(r) for r in audit_sources(frame(llm)).collect()) == brute(ROWS)
+    text = written["kept plan"]
+    # Above the look-up of prefixes the rows stay where they are.
+    assert "Exchange" not in text[:text.index("LeftSemi")] and "REPARTITION" not in text
+    pairs = [tuple(r) for r in written["shared"].select("lang", "source", "item").collect()]
+    assert pairs and all(source < item for _, source, item in pairs)
