@@ -7,7 +7,6 @@ import pytest
 
 from clinspark.llm import divergence
 from clinspark.llm.divergence import Divergence, audit_sources, counted_levels, kept_prefixes, kept_terms
-
 from clinspark.session import stage_table
 
 from .conftest import DOCUMENTS
