@@ -6,10 +6,9 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 
-from clinspark.session import shared_folder
+from clinspark.session import resolve, shared_folder
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
@@ -17,10 +16,6 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def resolve(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
-
-
 @contextmanager
 def new_file(uri: str) -> Iterator:
     """A stream whose file gets its name when it is complete, so a retried or doubled task leaves one whole file."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from clinspark.config import FeatureOptions, Learner
 from clinspark.operators import attribution, ensembles, metrics
 from clinspark.operators.ensembles import RiskModel
+from clinspark.plans import tuning
 from clinspark.plans.scoring import outer_join_predictions
 from clinspark.plans.training import train_model
 from clinspark.plans.tuning import expand_grid, grid_search
@@ -168,3 +169,23 @@ def test_probes_are_few_and_stay_in_their_task(data, forest):
     rows, cells, weights = attribution.probes(x, ["1", "2"], np.zeros(3), 8, 0)
     assert len(rows) <= 5 and not weights[:, 0].any() and not weights.sum(axis=0).any()
     assert len({(r, *c) for r, c in zip(rows.tolist(), cells.tolist())}) == len(rows)
+
+
+def test_grid_search_fits_whole_draws(spark, monkeypatch):
+    """The leaves of a tree count every row of a draw, here 60,000 of the 75,000 outside a fold."""
+    rows = spark.range(150_000).select(
+        F.col("id").alias("row_id"), (F.col("id") % 5 < 2).cast("int").alias("y"), F.lit(50).alias("age"),
+        F.lit(1).alias("gender"), (F.col("id") % 3000 == 0).cast("int").alias("vent"))
+    fitted = []
+
+    def caught(scored, found, *rest):
+        fitted.extend(found.collect())
+        return scored_by(scored, found, *rest)
+
+    scored_by = tuning._scored
+    monkeypatch.setattr(tuning, "_scored", caught)
+    grid = {"max_depth": [1], "n_estimators": [1], "max_features": [9]}
+    scores = grid_search(rows, Learner.FOREST, grid, scoring="accuracy", bags=1, folds=2, **ARGS).scores
+    assert scores.count() == 2 and len(fitted) == 2
+    for tree in fitted:
+        assert tree.value[:2] == [0.5, (30_000 - 25) / (60_000 - 25)]

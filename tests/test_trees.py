@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from clinspark.config import Learner
 from clinspark.operators import ensembles, sampling
 from clinspark.operators.trees import LEAF, Ensemble, Flat, Growth, fit_trees, grown
 
@@ -156,3 +157,38 @@ def test_draws_hash_each_row_once_and_are_the_balanced_ones(spark, monkeypatch):
     monkeypatch.setattr(sampling, "balanced_limits", None)  # the search over all rows
     for most in want:
         assert of(sampling.bounded_draws(rows, "y", "id", 3, 4, most)) == want[most]
+
+
+def test_draws_are_fitted_whole(spark):
+    """The leaves of a tree count every row of a draw, here 120,000 of 150,000."""
+    rows = spark.range(150_000).select(
+        F.col("id"), (F.col("id") % 5 < 2).cast("int").alias("y"), F.array((F.col("id") % 3000 == 0).cast("double")).alias("features"))
+    model = ensembles.fit_members(rows, 1, "y", "id", Learner.FOREST, {"max_depth": 1, "n_estimators": 2}, 2, 0)
+    for tree in model.table.collect():
+        assert tree.feature[0] == 0 and tree.value[:2] == [0.5, (60_000 - 50) / (120_000 - 50)]
+
+
+@pytest.mark.parametrize("rate", [0.3, None])
+def test_rows_in_pieces_and_scratch_files_give_the_same_trees(monkeypatch, rate):
+    x = np.column_stack([np.round(RNG.standard_normal(3000), 2), RNG.standard_normal(3000), np.ones(3000)])
+    y = (x[:, 0] + RNG.standard_normal(3000) > 0).astype(float)
+    growth = Growth(3, rate=rate, leaves=20, min_leaf=5, bins=100)
+    want = list(grown(x, y, growth, (0,)))
+    monkeypatch.setattr("clinspark.operators.trees.ROWS_AT_ONCE", 37)
+    monkeypatch.setattr("clinspark.operators.trees.HELD_BYTES", 0)
+    got = list(grown(x, y, growth, (0,)))
+    for (_, some), (_, others) in zip(got, want, strict=True):
+        assert [n[:3] for n in some] == [n[:3] for n in others]
+        assert np.allclose([n[3:] for n in some], [n[3:] for n in others])
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+def test_limits_of_large_classes_come_from_rows_near_them(spark, monkeypatch, gaps):
+    key = F.when(F.col("id") % 10 > 0, F.col("id")) if gaps else F.col("id") % 35_000
+    rows = spark.range(40_000).select(key.alias("id"), (F.col("id") % 7 < 3).cast("int").alias("y"))
+    want = sampling.balanced_limits(rows, "y", "id", 3, range(3))
+    if not gaps:
+        monkeypatch.setattr(sampling, "balanced_limits", None)  # the search over all rows
+    found = sampling.draw_limits(rows, "y", "id", 3, 3)
+    of = lambda limits: sorted(map(tuple, rows.select("id", F.explode(sampling.bags_of_row("y", "id", 3, 3, limits))).collect()))
+    assert of(found) == of(want) and len(of(found)) > 0
